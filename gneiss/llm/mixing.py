@@ -84,7 +84,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size:
     u = uniform(seed, F.col("doc_id"))
     count = F.col("mix_fixed") + F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_u")))
     copies = (rated.withColumn("mix_u", u).withColumn("mix_count", count).where("mix_count > 0")
-              .select(*keep, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).cast("long").alias("mix_copy")))
+              .select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_count").cast("long"))).alias("mix_copy")))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
     copies = copies.withColumn("mix_key", key)
     dealt = copies.repartition(partitions, "mix_key") if partitions else copies.repartition("mix_key")
