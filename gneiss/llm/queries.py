@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, media, mixing
+from gneiss.llm import bpe, html_text, language, media, mixing
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
@@ -57,9 +57,22 @@ def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, TOKENIZER))
 
 
+def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model fitted outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_media_archives": op3_media_archives,
     "op5_backtracking_bpe": op5_backtracking_bpe,
+    "op8_line_block_text": op8_line_block_text,
+    "op9_crf_language": op9_crf_language,
 }
 SQL = {"op2_poisson_mixing": OP2_SQL}
