@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, html_text, language, media, mixing
+from gneiss.llm import bpe, html_text, language, line_dedup, media, mixing, pii
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
@@ -57,6 +57,11 @@ def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, TOKENIZER))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, digest of the patterned spans, all spans."""
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -68,11 +73,18 @@ def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after deleting aligned common blocks from the later one of each pair."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_media_archives": op3_media_archives,
     "op5_backtracking_bpe": op5_backtracking_bpe,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_line_block_text": op8_line_block_text,
     "op9_crf_language": op9_crf_language,
+    "op10_patience_line_dedup": op10_patience_line_dedup,
 }
 SQL = {"op2_poisson_mixing": OP2_SQL}
