@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, html_text, language, line_dedup, media, mixing, pii
+from gneiss.llm import bpe, html_text, language, line_dedup, media, mixing, ngram_join, pii
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
@@ -52,6 +52,11 @@ def op3_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.read_archives(spark, folder))
 
 
+def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingle sets at similarity 0.9: every document's set size and component."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document under the public byte-level vocabulary."""
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, TOKENIZER))
@@ -81,6 +86,7 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_media_archives": op3_media_archives,
+    "op4_combination_prefix_join": op4_combination_prefix_join,
     "op5_backtracking_bpe": op5_backtracking_bpe,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_line_block_text": op8_line_block_text,
