@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, html_text, language, line_dedup, media, mixing, ngram_join, pii
+from gneiss.llm import bpe, html_text, language, licenses, line_dedup, media, mixing, ngram_join, pii
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
@@ -62,6 +62,11 @@ def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, TOKENIZER))
 
 
+def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts, digest of the patterned spans, all spans."""
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
@@ -88,6 +93,7 @@ QUERIES = {
     "op3_media_archives": op3_media_archives,
     "op4_combination_prefix_join": op4_combination_prefix_join,
     "op5_backtracking_bpe": op5_backtracking_bpe,
+    "op6_license_minhash": op6_license_minhash,
     "op7_bootstrapped_pii": op7_bootstrapped_pii,
     "op8_line_block_text": op8_line_block_text,
     "op9_crf_language": op9_crf_language,
