@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
-from gneiss.plans.storage import stored
+from gneiss.plans.storage import release, stored
 
 #: A shingle that more documents hold than this is frequent.
 FREQUENT = 32
 #: The table of frequent shingles goes to every task; while it would have more rows, the bound above is doubled.
 FREQUENT_ROWS = 1_000_000
+#: Up to so many ids (64 MB) are broadcast to pick texts.
+BROADCAST_IDS = 4_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,33 +48,41 @@ def _prefix(n: int | np.ndarray, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _classified(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Per document its prefix of rare shingles with positions, and whether the prefix needs frequent ones too."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _rare_prefix(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """Per row (node, n, tokens: its least ones in order) the prefix of rare shingles, and whether it is complete:
+    all that ``tokens`` holds, and still too few, so that frequent ones would have to follow."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            values, offsets, stubborn = [], [0], []
-            column = batch.column("set")
+            values, offsets, complete = [np.zeros(0, np.int64)], [0], []
+            column, sizes = batch.column("tokens"), batch.column("n").to_numpy()
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             ends = ends - ends[0]
             if len(hot):
-                at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-                rare = hot[at] != flat
+                rare = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] != flat
             else:
                 rare = np.ones(len(flat), bool)
-            for a, b in zip(ends[:-1], ends[1:]):
-                need = _prefix(int(b - a), percent)
+            for a, b, n in zip(ends[:-1], ends[1:], sizes):
+                need = _prefix(int(n), percent)
                 mine = flat[a:b][rare[a:b]][:need]
                 values.append(mine)
                 offsets.append(offsets[-1] + len(mine))
-                stubborn.append(len(mine) < need)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("h"), prefix, pa.array(stubborn, pa.bool_())], names=["doc_id", "n", "h", "prefix", "stubborn"])
+                complete.append(len(mine) < need)
+            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), prefix, pa.array(complete, pa.bool_())], names=["node", "n", "prefix", "complete"])
 
-    sets = _sets(docs, size).where(F.col("n") >= _least(percent))
-    return sets.mapInArrow(run, "doc_id long, n int, h long, prefix array<bigint>, stubborn boolean")
+    return rows.select("node", "n", "tokens").mapInArrow(run, "node long, n int, prefix array<bigint>, complete boolean")
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(node, h, n, set) of the documents whose id is in ``ids`` (column ``node``), from their texts. Few ids are
+    broadcast, so that the other texts stay where they are; more than ``BROADCAST_IDS`` are joined by an exchange."""
+    few = ids.count() <= BROADCAST_IDS
+    wanted = ids.select(F.col("node").alias("wanted"))
+    some = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    return _sets(some, size).withColumnRenamed("doc_id", "node")
 
 
 def _least(percent: int) -> int:
@@ -91,33 +101,39 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _index(sets: DataFrame, frequent: np.ndarray, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (key, node, n, reach) of keys with several nodes. Two nodes of a key can be similar only if both
-    ``reach`` the overlap that their sizes need: it is the size less what stands before the key in the order."""
-    classified = _classified(docs, frequent, size, percent)
-    mine = stored(classified.join(nodes, (F.col("doc_id") == F.col("node")) & (F.col("h") == F.col("node_h"))).select("node", "n", "prefix", "stubborn"), "prefixes")
-    single = mine.select(F.col("node"), "n", "stubborn", F.posexplode("prefix").alias("pos", "key"))
-    rows = single.select("key", "node", "n", (F.col("n") - F.col("pos")).alias("reach"), "stubborn")
-    # A stubborn document's rare shingles meet the others' here and each other's below.
-    keys = rows.groupBy("key").agg(F.count_if(~F.col("stubborn")).alias("plain"), F.count(F.lit(1)).alias("all")).where("plain > 0 and all > 1").select("key")
-    first = rows.join(keys, "key")
-
-    stubborn = mine.where("stubborn").select(F.col("node").alias("s"))
-    whole = stored(docs.join(stubborn, F.col("doc_id") == F.col("s"), "left_semi").transform(lambda d: _sets(d, size)).join(nodes, (F.col("doc_id") == F.col("node")) & (F.col("h") == F.col("node_h"))).select("node", "n", "set"), "stubborn")
+def _stubborn_index(whole: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node, n, reach) among documents made of frequent shingles, from their whole sets.
+
+    Counts are taken anew among these documents; prefixes are extended by one, so two similar ones share two
+    shingles there: a rare one, which is a key, or two frequent ones, whose combination is.
+    """
     tokens = whole.select("node", "n", F.explode("set").alias("t"))
     counts = tokens.groupBy("t").agg((F.count(F.lit(1)) > FREQUENT).alias("hot"))
     extent = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 2).cast("int")
-    ordered = (tokens.join(counts, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("hot", "t"))).alias("order"))
-               .select("node", "n", F.slice("order", F.lit(1), extent).alias("order")))
-    ordered = stored(ordered, "orders")
+    ordered = stored(tokens.join(counts, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("hot", "t"))).alias("order"))
+                     .select("node", "n", F.slice("order", F.lit(1), extent).alias("order")), "orders")
     placed = ordered.select("node", "n", F.posexplode("order").alias("pos", "x")).select("node", "n", "pos", "x.hot", "x.t")
     rare = placed.where("not hot").select(F.col("t").alias("key"), "node", "n", (F.col("n") - F.col("pos") + 1).alias("reach"))
     hot = ordered.select("node", "n", F.filter(F.transform("order", lambda x, k: F.struct(k.alias("pos"), x["hot"].alias("hot"), x["t"].alias("t"))), lambda x: x["hot"]).alias("hots"))
     pairs = hot.select("node", "n", "hots", F.explode("hots").alias("second")).select(
         "node", "n", "second", F.explode(F.filter("hots", lambda x: x["pos"] < F.col("second")["pos"])).alias("one"))
     combined = pairs.select(F.xxhash64(F.col("one.t"), F.col("second.t")).alias("key"), "node", "n", (F.col("n") - F.col("second.pos") + 1).alias("reach"))
-    second = _several(rare.union(combined))
-    return stored(first.select("key", "node", "n", "reach").union(second), "index")
+    return _several(rare.union(combined))
+
+
+def _index(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node, n, reach) of keys with several nodes. Two nodes of a key can be similar only if both
+    ``reach`` the overlap that their sizes need: it is the size less what stands before the key in the order."""
+    rows = prefixes.select("node", "n", "stubborn", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("reach"), "stubborn")
+    plain = rows.where("not stubborn").drop("stubborn")
+    # A rare shingle stands in few prefixes, so its nodes fit in one row.
+    together = plain.repartition("key").groupBy("key").agg(F.collect_list(F.struct("node", "n", "reach")).alias("nodes")).where(F.size("nodes") > 1)
+    among = together.select("key", F.explode("nodes").alias("x")).select("key", "x.*")
+    # Stubborn documents' rare shingles meet plain documents' here; each other's are in their own index.
+    others = rows.where("stubborn").drop("stubborn")
+    met = plain.join(others.select("key").distinct(), "key")
+    mixed = met.union(others.join(met.select("key").distinct(), "key"))
+    return stored(among.union(mixed).union(_stubborn_index(whole, percent)), "index")
 
 
 def _possible(percent: int) -> Column:
@@ -125,10 +141,29 @@ def _possible(percent: int) -> Column:
     return (F.col("ra") >= need) & (F.col("rb") >= need) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs (a, b) whose prefixes alone differ by more than their whole sets may.
+
+    A prefix holds all of a document's rare shingles up to its last one (all there are, if it is complete), so up
+    to the lesser last one of both, what one prefix lacks its document lacks.
+    """
+    last = F.when(F.col("complete"), F.lit(2**63 - 1)).otherwise(F.element_at("prefix", -1))
+    sides = prefixes.select("node", "n", "prefix", last.alias("last"))
+    left = sides.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), F.col("last").alias("ea"))
+    right = sides.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.col("last").alias("eb"))
+    joined = pairs.join(left, "a").join(right, "b").withColumn("end", F.least("ea", "eb"))
+    seen = F.size(F.filter("pa", lambda t: t <= F.col("end"))) + F.size(F.filter("pb", lambda t: t <= F.col("end")))
+    both = F.size(F.filter(F.array_intersect("pa", "pb"), lambda t: t <= F.col("end")))
+    return joined.where(seen - 2 * both <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their whole sets."""
+    plausible = stored(_plausible(pairs, prefixes, percent), "plausible")
+    ids = stored(plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    sets = stored(_whole_sets(docs, ids, size).select("node", "set"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    joined = plausible.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
@@ -145,28 +180,35 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     one key that are still in different components meet each other, and only if their positions allow a link.
     So a group of near copies costs links to its leader, not all pairs.
     """
-    spark = docs.sparkSession
+    least = _least(percent)
     sketch = F.slice("set", F.lit(1), (2 * (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9)) + 8).cast("int"))
-    scanned = stored(_sets(docs, size).select("doc_id", "n", "h", sketch.alias("sketch")), "sketches")
+    scanned = stored(_sets(docs, size).select("doc_id", "n", "h", sketch.alias("tokens")), "sketches")
     nodes = stored(scanned.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes")
-    big = nodes.where(F.col("n") >= _least(percent)).select("node", F.col("h").alias("node_h"))
+    big = nodes.where(F.col("n") >= least).select("node", F.col("h").alias("node_h"))
 
-    counts = scanned.where(F.col("n") >= _least(percent)).select(F.explode("sketch").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > FREQUENT)
+    counts = scanned.where(F.col("n") >= least).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > FREQUENT)
     counts, bound = stored(counts, "frequent"), FREQUENT
+    release(docs.sparkSession)
     while counts.where(F.col("docs") > bound).count() > FREQUENT_ROWS:
         bound *= 2
     frequent = np.sort(np.array(counts.where(F.col("docs") > bound).select("t").toPandas()["t"], np.int64))
 
-    index = _index(scanned, frequent, docs, big, size, percent)
-    candidates = index.select(F.col("node").alias("s")).distinct()
-    sets = stored(docs.join(candidates, F.col("doc_id") == F.col("s"), "left_semi").transform(lambda d: _sets(d, size)).select(F.col("doc_id").alias("node"), "set"), "candidate-sets")
+    sketched = _rare_prefix(scanned.where(F.col("n") >= least).withColumnRenamed("doc_id", "node"), frequent, percent)
+    first = sketched.withColumn("stubborn", F.col("complete")).join(nodes.select("node", F.col("n").alias("size")), "node")
+    first = stored(first.where("n = size").drop("size").dropDuplicates(["node"]), "first-prefixes")
+    whole = stored(_whole_sets(docs, first.where("stubborn").select("node"), size).join(big, "node").where("h = node_h").select("node", "n", "set"), "stubborn")
+    again = _rare_prefix(whole.withColumnRenamed("set", "tokens"), frequent, percent)
+    prefixes = stored(first.where("not stubborn").unionByName(again.withColumn("stubborn", F.lit(True))), "prefixes")
+    release(docs.sparkSession)
+    index = _index(prefixes, whole, percent)
+    release(docs.sparkSession)
 
     # Each key's leader is the node with most of its order before the key's reach, the smallest on ties.
     leaders = index.groupBy("key").agg(F.max(F.struct("reach", -F.col("node"), "n")).alias("m")).select("key", (-F.col("m.col2")).alias("a"), F.col("m.n").alias("na"), F.col("m.reach").alias("ra"))
     star = (index.join(leaders, "key").select("a", "na", "ra", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
             .where("a <> b").where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     tried = stored(star, "tried")
-    links = stored(_verified(tried, sets, percent), "links")
+    links = stored(_verified(tried, prefixes, docs, size, percent), "links")
     labels = stored(connected_components(links), "labels")
 
     labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -175,7 +217,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     left = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("label").alias("la"))
     right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("label").alias("lb"))
     rest = left.join(right, "key").where("a < b and la <> lb").where(_possible(percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest, "rest"), sets, percent), "more")
+    more = stored(_verified(stored(rest, "rest"), prefixes, docs, size, percent), "more")
     final = stored(connected_components(links.union(more)), "components")
 
     known = nodes.join(final, "node", "left").select("h", F.col("n").alias("size"), F.coalesce("label", "node").alias("label"), "n_copies")
