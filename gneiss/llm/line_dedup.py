@@ -19,6 +19,8 @@ MIN_WORDS = 20
 #: Lines in at most so many documents are rare: all documents that share one are paired in a chain of neighbours
 #: as well as with the first. Lines in more documents pair each of them with the first only.
 RARE = 16
+#: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
+BROADCAST_LINES = 6_000_000
 
 
 def patience(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,7 +133,9 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE
     """
     gone = stored(doomed_lines(docs, min_words=min_words, rare=rare), "doomed")
     keep = [c for c in docs.columns if c.lower() != "lines_removed"]
-    marked = docs.select(*keep).join(gone.withColumnRenamed("doc_id", "dedup_id"), F.col("doc_id") == F.col("dedup_id"), "left")
+    lines = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
+    gone = gone.withColumnRenamed("doc_id", "dedup_id")
+    marked = docs.select(*keep).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, F.col("doc_id") == F.col("dedup_id"), "left")
     left = F.array_join(F.filter(_lines(F.col("text")), lambda x, k: ~F.array_contains(F.col("gone"), k)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     out = marked.select(*(text.alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"))
