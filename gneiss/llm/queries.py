@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, html_text, language, licenses, line_dedup, media, mixing, ngram_join, pii
+from gneiss.llm import bpe, html_text, language, licenses, line_dedup, media, mixing, neighbours, ngram_join, pii
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
@@ -12,6 +13,11 @@ from gneiss.sources.tables import table
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose vec_id 20 divides."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents replicated to equal source weights and shuffled: all columns, ``mix_copy`` and ``mix_key``."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -89,6 +95,7 @@ def op10_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_additive_neighbours": op1_additive_neighbours,
     "op2_poisson_mixing": op2_poisson_mixing,
     "op3_media_archives": op3_media_archives,
     "op4_combination_prefix_join": op4_combination_prefix_join,
