@@ -299,3 +299,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
+
+
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` (input columns of these names are replaced).
+
+    Rows keep all their columns; the texts pass through Arrow once and nothing is shuffled.
+    """
+    from pyspark.sql import types as T
+
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    at = keep.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value.model
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = label_texts(fitted, texts) if fitted else [(UNKNOWN, 0.0)] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "lang_score"])
+
+    return docs.select(*keep).mapInArrow(run, schema)
