@@ -16,7 +16,7 @@ def block_means(series: DataFrame, keys: list[str], sizes: list[int], *, phase:
 
     Every size is made from the same scan; block numbers count from 0 and incomplete last blocks are left out.
     """
-    rows = series.where(F.col("day_idx") >= phase).select(*keys, "day_idx", "value", F.explode(F.array(*(F.lit(n) for n in sizes))).cast("long").alias("n"))
+    rows = series.where(F.col("day_idx") >= phase).select(*keys, "day_idx", "value", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("n"))
     rows = rows.withColumn("block", F.floor((F.col("day_idx") - phase) / F.col("n")))
     grouped = rows.groupBy(*keys, "n", "block").agg(F.count(F.lit(1)).alias("days"), F.count("value").alias("seen"), F.avg("value").alias("mean"))
     return grouped.where(F.col("days") == F.col("n")).select(*keys, "n", "block", F.when(F.col("seen") >= F.ceil(LEAST_FRACTION * F.col("n")), F.col("mean")).alias("value"))
@@ -50,7 +50,7 @@ def block_persistence(series: DataFrame, keys: list[str], sizes: list[int], *, p
 
 def rolling_persistence(series: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     """(keys, n, score): lag-1 correlation of rolling n-day means with at least 80 % observed days, from 30 pairs."""
-    rows = series.select(*keys, "day_idx", "value", F.explode(F.array(*(F.lit(n) for n in sizes))).cast("long").alias("n"))
+    rows = series.select(*keys, "day_idx", "value", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("n"))
     out = None
     for n in sizes:
         order = Window.partitionBy(*keys, "n").orderBy("day_idx")

@@ -11,23 +11,33 @@ from gneiss.operators.nulls import draw
 LOCAL_ALPHA, FAMILY_ALPHA, UI_MIN, NSS_MIN = 0.05, 0.05, 0.5, 1.0
 
 
-def parent_cells(observed: DataFrame, nulls: DataFrame, keys: list[str], children: int, *, score: str = "score") -> DataFrame:
-    """Per cell: observed score, null median and MAD, local p = (1 + #{null >= observed}) / (children + 1), robust z.
+def _median_of(ordered: Column) -> Column:
+    n = F.size(ordered)
+    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle)
 
-    A cell is eligible if its score and all its null scores are known; others have nulls and an issue code.
+
+def parent_cells(scores: DataFrame, keys: list[str], children: int, *, score: str = "score") -> DataFrame:
+    """Per cell, from the scores of child 0 (observed) and of its null children 1..``children``: observed score, null
+    median and MAD, local p = (1 + #{null >= observed}) / (children + 1), robust z.
+
+    A cell is eligible if its score and all its null scores are known; others have nulls and an issue code. A cell's
+    null scores, at most ``children``, are gathered in one row, so scores are computed and exchanged once.
     """
-    joined = nulls.select(*keys, F.col(score).alias("null_score")).join(observed.select(*keys, F.col(score).alias("observed")), keys)
-    medians = joined.groupBy(*keys).agg(
-        F.first("observed").alias("observed"), F.count("null_score").alias("known"), F.median("null_score").alias("null_median"),
-        F.count_if(F.col("null_score") >= F.col("observed")).alias("up"), F.count_if(F.col("null_score") <= F.col("observed")).alias("down"), F.count_if(F.col("null_score") < F.col("observed")).alias("below"))
-    spread = robust_scale_of(joined, keys, "null_score").select(*keys, F.col("mad").alias("null_mad"))
-    cells = medians.join(spread, keys).withColumn("eligible", F.col("observed").isNotNull() & (F.col("known") == children))
-    known = lambda c: F.when(F.col("eligible"), c)
+    known = F.array_sort(F.collect_list(F.when(F.col("child") > 0, F.col(score))))
+    cells = scores.groupBy(*keys).agg(F.max(F.when(F.col("child") == 0, F.col(score))).alias("observed"), known.alias("known"))
+    cells = cells.withColumn("null_median", _median_of(F.col("known"))).withColumn("null_mad", _median_of(F.array_sort(F.transform("known", lambda x: F.abs(x - F.col("null_median"))))))
+    cells = cells.withColumn("eligible", F.col("observed").isNotNull() & (F.size("known") == children))
+
+    def count(test) -> Column:
+        return F.size(F.filter("known", test)).cast("long")
+
+    only = lambda c: F.when(F.col("eligible"), c)
     effect = F.col("observed") - F.col("null_median")
     return cells.select(
-        *keys, "eligible", known(F.col("observed")).alias("observed"), known(F.col("null_median")).alias("null_median"), known(F.col("null_mad")).alias("null_mad"),
-        known((F.col("up") + 1) / (children + 1)).alias("local_p"), known(effect / F.greatest(1.4826 * F.col("null_mad"), F.lit(1e-12))).alias("robust_z"),
-        known((F.col("down") + 1) / (children + 1)).alias("lower_p"), known(F.col("below") + 1).alias("rank"),
+        *keys, "eligible", only(F.col("observed")).alias("observed"), only(F.col("null_median")).alias("null_median"), only(F.col("null_mad")).alias("null_mad"),
+        only((count(lambda x: x >= F.col("observed")) + 1) / (children + 1)).alias("local_p"), only(effect / F.greatest(1.4826 * F.col("null_mad"), F.lit(1e-12))).alias("robust_z"),
+        only((count(lambda x: x <= F.col("observed")) + 1) / (children + 1)).alias("lower_p"), only(count(lambda x: x < F.col("observed")) + 1).alias("rank"),
         F.when(F.col("eligible"), "").otherwise("CELL_NONFINITE_OR_INCOMPLETE_NULLS").alias("issue"))
 
 

@@ -39,8 +39,20 @@ def permuted_within(rows: DataFrame, keys: list[str], index: str, strata: list[C
 
 
 def month_strata_nulls(panel: DataFrame, children: int, *, seed: str = "null") -> DataFrame:
-    """Complete days permuted within each calendar month of a parent."""
-    return permuted_within(panel, ["parent"], "day_idx", [F.trunc("day", "month")], children, seed=seed)
+    """Complete days permuted within each calendar month of a parent.
+
+    A month has at most 31 days, so it is gathered once into an array; children are then made row by row without
+    another exchange, and the canonical series is computed once whatever their number.
+    """
+    months = panel.groupBy("parent", F.trunc("day", "month").alias("month")).agg(F.sort_array(F.collect_list(F.struct("day_idx", "value"))).alias("days"))
+    kids = with_children(months, children)
+
+    def key(x: Column) -> Column:
+        return F.struct(hashed(seed, F.col("child"), F.col("parent"), x["day_idx"]).alias("h"), x["day_idx"].alias("d"), x["value"].alias("value"))
+
+    shuffled = F.array_sort(F.transform("days", key))
+    paired = F.zip_with("days", shuffled, lambda a, b: F.struct(a["day_idx"].alias("day_idx"), b["value"].alias("value")))
+    return kids.select("parent", "child", F.explode(paired).alias("x")).select("parent", "child", "x.day_idx", "x.value")
 
 
 def shift_nulls(panel: DataFrame, children: int, *, seed: str = "shift", least: int = 31) -> DataFrame:

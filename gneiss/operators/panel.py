@@ -34,17 +34,19 @@ def densify(daily: DataFrame) -> DataFrame:
 
 
 def month_centred(panel: DataFrame) -> DataFrame:
-    """Subtract each parent's month-of-year median (over observed days)."""
-    seasons = panel.groupBy("parent", F.month("day").alias("season")).agg(F.median("value").alias("centre"))
-    return panel.withColumn("season", F.month("day")).join(seasons, ["parent", "season"]).select(
-        "parent", "day_idx", "day", (F.col("value") - F.col("centre")).alias("value"))
+    """Subtract each parent's month-of-year median (over observed days).
+
+    The median is a window over the parent's days of that month, so the panel is computed once.
+    """
+    centre = F.median("value").over(Window.partitionBy("parent", F.month("day")))
+    return panel.select("parent", "day_idx", "day", (F.col("value") - centre).alias("value"))
 
 
 def scaled(panel: DataFrame) -> DataFrame:
     """Divide by 1.4826 times the median absolute deviation; null where that is at most 1e-12."""
-    scale = robust_scale_of(panel, ["parent"], "value").select("parent", "scale")
-    value = F.when(F.col("scale") > SCALE_FLOOR, F.col("value") / F.col("scale"))
-    return panel.join(scale, "parent").select("parent", "day_idx", "day", value.alias("value"))
+    whole = Window.partitionBy("parent")
+    spread = panel.withColumn("_c", F.median("value").over(whole)).withColumn("_s", MAD_TO_SIGMA * F.median(F.abs(F.col("value") - F.col("_c"))).over(whole))
+    return spread.select("parent", "day_idx", "day", F.when(F.col("_s") > SCALE_FLOOR, F.col("value") / F.col("_s")).alias("value"))
 
 
 def canonical(panel: DataFrame) -> DataFrame:
