@@ -6,6 +6,9 @@ from gneiss.queries import audits, fields, ladders, panels
 
 MODULES = (panels, ladders, fields, audits)
 
+#: Queries over Python kernels (spectra, eigenvalues, sequential random streams), which have no SQL.
+ROWS_ONLY: frozenset[str] = frozenset()
+
 
 def queries() -> dict:
     return {name: function for module in MODULES for name, function in module.QUERIES.items()}
