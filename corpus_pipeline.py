@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ngram_join.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
     surplus = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("surplus")).distinct(), "surplus")
     few = surplus.count() <= ngram_join.BROADCAST_IDS
-    return docs.join(F.broadcast(surplus) if few else surplus, F.col("doc_id") == F.col("surplus"), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(F.broadcast(surplus) if few else surplus, F.col("doc_id") == F.col("surplus"), "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

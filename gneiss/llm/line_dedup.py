@@ -21,6 +21,8 @@ MIN_WORDS = 20
 RARE = 16
 #: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
 BROADCAST_LINES = 6_000_000
+#: Names that the join adds; they hold a character that no column of a table here does.
+DEDUP_ID, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7gone"
 
 
 def patience(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +105,7 @@ def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RAR
     chain = near.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.get("ids", k - 1).alias("a"), F.get("ids", k).alias("b")))).alias("p")).select("p.*")
     star = holders.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     pairs = chain.union(star).distinct()
-    sides = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "words"))).alias("lines"))
+    sides = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "words"))).alias("lines"))
     joined = (pairs.join(sides.select(F.col("doc_id").alias("b"), F.col("lines").alias("right")), "b")
               .join(sides.select(F.col("doc_id").alias("a"), F.col("lines").alias("left")), "a"))
 
@@ -134,11 +136,11 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE
     gone = stored(doomed_lines(docs, min_words=min_words, rare=rare), "doomed")
     keep = [c for c in docs.columns if c.lower() != "lines_removed"]
     lines = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
-    gone = gone.withColumnRenamed("doc_id", "dedup_id")
-    marked = docs.select(*keep).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, F.col("doc_id") == F.col("dedup_id"), "left")
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, k: ~F.array_contains(F.col("gone"), k)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    out = marked.select(*(text.alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    gone = gone.select(F.col("doc_id").alias(DEDUP_ID), F.col("gone").alias(DEDUP_GONE))
+    marked = docs.select(*keep).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, F.col("doc_id") == F.col(DEDUP_ID), "left")
+    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, k: ~F.array_contains(F.col(DEDUP_GONE), k)), "\n")
+    text = F.when(F.col(DEDUP_GONE).isNull(), F.col("text")).otherwise(left)
+    out = marked.select(*(text.alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size(DEDUP_GONE), F.lit(0)).cast("long").alias("lines_removed"))
     if "n_chars" in keep:
         out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out

@@ -180,7 +180,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     one key that are still in different components meet each other, and only if their positions allow a link.
     So a group of near copies costs links to its leader, not all pairs.
     """
-    least = _least(percent)
+    docs, least = docs.select("doc_id", "text"), _least(percent)
     sketch = F.slice("set", F.lit(1), (2 * (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9)) + 8).cast("int"))
     scanned = stored(_sets(docs, size).select("doc_id", "n", "h", sketch.alias("tokens")), "sketches")
     nodes = stored(scanned.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes")

@@ -90,7 +90,7 @@ def candidates(text: Column, base: Column) -> Column:
         lead = F.length(F.regexp_extract(r["match"], trimmed, 1))
         core = F.regexp_extract(r["match"], trimmed, 2)
         begin, end = r["start"] + lead, r["start"] + lead + F.length(core)
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(core, 1, 48), "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(core, 1, 48), "[0-9]++", "9"), "[a-z]++", "a"), "[A-Z]++", "A")
         left = F.lower(F.regexp_extract(r["gap"], r"(\S+\s+)?(\S+)\s*$", 2))
         return F.struct(begin.alias("start"), end.alias("end"), F.xxhash64(core).alias("instance"), F.xxhash64(left, shape).alias("pattern"),
                         (F.length(_digits(core)) >= 4).alias("numeric"), F.length(core).alias("size"), (left == "").alias("bare"),
