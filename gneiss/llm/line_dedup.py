@@ -20,7 +20,7 @@ MIN_WORDS = 20
 #: as well as with the first. Lines in more documents pair each of them with the first only.
 RARE = 16
 #: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
-BROADCAST_LINES = 6_000_000
+BROADCAST_LINES = 2_000_000
 #: Names that the join adds; they hold a character that no column of a table here does.
 DEDUP_ID, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7gone"
 
