@@ -241,26 +241,21 @@ def load_vocabulary(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-class Shared:
-    """Travels as the tokenizer's text; each worker process builds its codec once and keeps it for later tasks."""
-
-    def __init__(self, spec: str) -> None:
-        self.spec, self.codec = spec, None
-
-    def get(self) -> Codec:
-        if self.codec is None:
-            self.codec = Codec(self.spec)
-        return self.codec
+def _codec(shared: dict) -> Codec:
+    """The worker process's codec: built once, kept in the broadcast value for its later tasks."""
+    if "codec" not in shared:
+        shared["codec"] = Codec(shared["spec"])
+    return shared["codec"]
 
 
 def _over_texts(docs: DataFrame, spec: str, made: str, one) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Shared(spec))
+    shared = docs.sparkSession.sparkContext.broadcast({"spec": spec})
     names = [x.split()[0] for x in made.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value.get()
+        codec = _codec(shared.value)
         for batch in batches:
             rows = [one(codec, doc_id.as_py(), text.as_py()) for doc_id, text in zip(batch.column(0), batch.column(1))]
             if rows:

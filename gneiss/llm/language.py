@@ -71,9 +71,6 @@ class Model:
     #: Words whose scores a worker keeps; between texts it starts anew beyond this many.
     CACHED = 400_000
 
-    def __getstate__(self):
-        return {"languages": self.languages, "index": self.index, "weights": self.weights, "transitions": self.transitions, "cache": {}, "table": None}
-
     def scores(self, word: str) -> np.ndarray:
         rows = [r for f in word_features(word) if (r := self.index.get(f)) is not None]
         return self.weights[rows].sum(0) if rows else np.zeros(len(self.languages), np.float32)
@@ -273,11 +270,16 @@ def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -
     return out
 
 
-class Shared:
-    """The model as executors get it; a worker process keeps its table of words between tasks."""
+def _plain(model: Model | None) -> dict:
+    """What goes to executors: plain data, from which a worker process builds its model once."""
+    return {} if model is None else {"languages": model.languages, "index": model.index, "weights": model.weights, "transitions": model.transitions}
+
 
-    def __init__(self, model: Model | None) -> None:
-        self.model = model
+def _fitted(shared: dict) -> Model | None:
+    """The worker process's model; its table of words is kept in the broadcast value between tasks."""
+    if shared and "model" not in shared:
+        shared["model"] = Model(shared["languages"], shared["index"], shared["weights"], shared["transitions"])
+    return shared.get("model")
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -286,10 +288,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Without a model (no labelled text) every row is ``und``. Repeated rows give repeated rows; lang, source and
     doc_id play no part in a prediction.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value.model
+        fitted = _fitted(shared.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             found = label_texts(fitted, texts) if fitted else [(UNKNOWN, 0.0)] * len(texts)
@@ -308,13 +310,13 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(Shared(model))
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value.model
+        fitted = _fitted(shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = label_texts(fitted, texts) if fitted else [(UNKNOWN, 0.0)] * len(texts)
