@@ -40,7 +40,7 @@ def population_endpoints(surface: DataFrame, *, least_parents: int = 10, least_p
     return out.crossJoin(F.broadcast(longest)).select("t_e", "region_size", "s_e", "auc_sep", "longest_run", "perturbation_survival")
 
 
-def parent_endpoints(cells: DataFrame, grid_size: int, *, alpha: float = 0.05, least_z: float = 1.0) -> DataFrame:
+def parent_endpoints(cells: DataFrame, grid_size: int, *, alpha: float = 0.05, least_z: float = 2.0) -> DataFrame:
     """Per parent: T_e, the number of contiguous passing n from it, and their share of the grid (0 without T_e)."""
     flagged = cells.withColumn("passes", F.coalesce(F.col("eligible") & (F.col("local_p") <= alpha) & (F.col("robust_z") >= least_z), F.lit(False)))
     runs = contiguous_runs(flagged, ["parent"], "n", "passes")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.robust import binomial_upper, holm, robust_scale_of, tie_tolerance, two_sided_sign, wilson
 from gneiss.operators.nulls import draw
 
-LOCAL_ALPHA, FAMILY_ALPHA, UI_MIN, NSS_MIN = 0.05, 0.05, 0.5, 1.0
+LOCAL_ALPHA, FAMILY_ALPHA, UI_MIN, NSS_MIN = 0.05, 0.05, 0.5, 2.0
 
 
 def _median_of(ordered: Column) -> Column:

@@ -100,7 +100,7 @@ def surface_ctes(cells: str, family: str, least: int) -> dict[str, str]:
             median(robust_z) FILTER (WHERE eligible) AS nss, count(*) FILTER (WHERE eligible AND observed > null_median) AS positive FROM {cells} GROUP BY {family}, n""",
         "tested": f"SELECT *, {binomial_sql('positive', 'parents')} AS sign_p FROM raw_surface",
         "stepped": f"SELECT *, least(1.0, (count(*) OVER (PARTITION BY {family}, sign_p IS NOT NULL) - row_number() OVER (PARTITION BY {family}, sign_p IS NOT NULL ORDER BY round(sign_p, 12), n) + 1) * sign_p) AS step FROM tested",
-        "surface": f"""SELECT * EXCLUDE (step), coalesce(parents >= {least} AND ui >= 0.5 AND nss >= 1.0 AND holm_p <= 0.05, false) AS sep FROM (
+        "surface": f"""SELECT * EXCLUDE (step), coalesce(parents >= {least} AND ui >= 0.5 AND nss >= 2.0 AND holm_p <= 0.05, false) AS sep FROM (
             SELECT *, CASE WHEN sign_p IS NOT NULL THEN max(step) OVER (PARTITION BY {family}, sign_p IS NOT NULL ORDER BY round(sign_p, 12), n ROWS UNBOUNDED PRECEDING) END AS holm_p FROM stepped)""",
     }
 
