@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The pattern of the byte-level pre-tokenizer (fixed by the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words longer than this are encoded but not remembered, and a worker forgets its words beyond this many.
-CACHED_CHARS, CACHED_WORDS = 40, 600_000
+CACHED_CHARS, CACHED_WORDS = 40, 400_000
 #: Pairs of tokens whose compatibility a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:

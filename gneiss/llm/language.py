@@ -45,14 +45,13 @@ def letters(piece: str) -> str:
 
 
 def word_features(word: str) -> list[str]:
-    """Lexicon entry, prefixes, suffixes and inner n-grams of one word (words over 40 letters by their ends)."""
+    """Lexicon entry, prefixes, suffixes and 3-grams of one word (words over 40 letters by their ends)."""
     if len(word) > 40:
         word = word[:20] + word[-20:]
     n, marked = len(word), f"^{word}$"
     out = ["w" + word]
-    out += ["p" + word[:k] for k in range(1, min(4, n) + 1)]
-    out += ["s" + word[-k:] for k in range(1, min(4, n) + 1)]
-    out += ["n" + marked[k : k + 2] for k in range(n + 1)]
+    out += ["p" + word[:k] for k in range(1, min(3, n) + 1)]
+    out += ["s" + word[-k:] for k in range(1, min(3, n) + 1)]
     out += ["n" + marked[k : k + 3] for k in range(n)]
     return out
 
@@ -69,7 +68,7 @@ class Model:
     table: np.ndarray | None = None
 
     #: Words whose scores a worker keeps; between texts it starts anew beyond this many.
-    CACHED = 400_000
+    CACHED = 300_000
 
     def scores(self, word: str) -> np.ndarray:
         rows = [r for f in word_features(word) if (r := self.index.get(f)) is not None]
