@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss.queries import audits, fields, kernels, ladders, panels
+from gneiss.queries import audits, fields, kernels, ladders, panels, predicates
 
-MODULES = (panels, ladders, fields, audits, kernels)
+MODULES = (panels, ladders, fields, audits, kernels, predicates)
 
 #: Queries over Python kernels (spectra, eigenvalues, sequential random streams), which have no SQL.
 ROWS_ONLY = frozenset(
