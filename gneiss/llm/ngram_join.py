@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
-from gneiss.plans.storage import release, stored
+from gneiss.plans.storage import release, remove, scratch_path, stored
 
 #: A shingle that more documents hold than this is frequent.
 FREQUENT = 32
@@ -182,26 +182,34 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
     sketch = F.slice("set", F.lit(1), (2 * (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9)) + 8).cast("int"))
-    scanned = stored(_sets(docs, size).select("doc_id", "n", "h", sketch.alias("tokens")), "sketches")
+    spark, sketches, firsts = docs.sparkSession, scratch_path(docs.sparkSession, "sketches"), scratch_path(docs.sparkSession, "first-prefixes")
+    _sets(docs, size).select("doc_id", "n", "h", sketch.alias("tokens")).write.parquet(sketches)
+    sketched = spark.read.parquet(sketches)
+    scanned = stored(sketched.select("doc_id", "n", "h"), "documents")
     nodes = stored(scanned.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes")
     big = nodes.where(F.col("n") >= least).select("node", F.col("h").alias("node_h"))
 
-    counts = scanned.where(F.col("n") >= least).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > FREQUENT)
+    counts = sketched.where(F.col("n") >= least).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > FREQUENT)
     counts, bound = stored(counts, "frequent"), FREQUENT
-    release(docs.sparkSession)
+    release(spark)
     while counts.where(F.col("docs") > bound).count() > FREQUENT_ROWS:
         bound *= 2
     frequent = np.sort(np.array(counts.where(F.col("docs") > bound).select("t").toPandas()["t"], np.int64))
 
-    sketched = _rare_prefix(scanned.where(F.col("n") >= least).withColumnRenamed("doc_id", "node"), frequent, percent)
-    first = sketched.withColumn("stubborn", F.col("complete")).join(nodes.select("node", F.col("n").alias("size")), "node")
-    first = stored(first.where("n = size").drop("size").dropDuplicates(["node"]), "first-prefixes")
+    # Only nodes' sketches go on; prefixes alone are joined and what they were made from is deleted.
+    rare = _rare_prefix(sketched.where(F.col("n") >= least).withColumnRenamed("doc_id", "node"), frequent, percent)
+    first = rare.withColumn("stubborn", F.col("complete")).join(nodes.select("node", F.col("n").alias("size")), "node")
+    first.where("n = size").drop("size").dropDuplicates(["node"]).write.parquet(firsts)
+    remove(spark, sketches)
+    release(spark)
+    first = spark.read.parquet(firsts)
     whole = stored(_whole_sets(docs, first.where("stubborn").select("node"), size).join(big, "node").where("h = node_h").select("node", "n", "set"), "stubborn")
     again = _rare_prefix(whole.withColumnRenamed("set", "tokens"), frequent, percent)
     prefixes = stored(first.where("not stubborn").unionByName(again.withColumn("stubborn", F.lit(True))), "prefixes")
-    release(docs.sparkSession)
+    remove(spark, firsts)
+    release(spark)
     index = _index(prefixes, whole, percent)
-    release(docs.sparkSession)
+    release(spark)
 
     # Each key's leader is the node with most of its order before the key's reach, the smallest on ties.
     leaders = index.groupBy("key").agg(F.max(F.struct("reach", -F.col("node"), "n")).alias("m")).select("key", (-F.col("m.col2")).alias("a"), F.col("m.n").alias("na"), F.col("m.reach").alias("ra"))
