@@ -16,11 +16,13 @@ from gneiss.plans.storage import stored
 
 #: A common block goes if it has at least so many words.
 MIN_WORDS = 20
-#: Lines in at most so many documents are rare: all documents that share one are paired in a chain of neighbours
-#: as well as with the first. Lines in more documents pair each of them with the first only.
+#: Runs in at most so many documents are rare: all documents that share one are paired in a chain of neighbours
+#: as well as with the first. Runs in more documents pair each of them with the first only, which holds the whole run.
 RARE = 16
 #: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
 BROADCAST_LINES = 2_000_000
+#: The odd factor of the hash of a run.
+FACTOR = 0x9E3779B97F4A7C15
 #: Names that the join adds; they hold a character that no column of a table here does.
 DEDUP_ID, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7gone"
 
@@ -80,6 +82,58 @@ def blocks(aligned: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(first index, last index, hash) of the shortest runs of at least ``least`` words from each line and up to each line.
+
+    ``lines`` are (position, hash, words) in order; a run's positions follow one another. Any longer run is covered
+    by those inside it, so two documents that hold a run of so many words share the hashes that cover it.
+    """
+    spans: set[tuple[int, int]] = set()
+    start = 0
+    for end in range(1, len(lines) + 1):
+        if end < len(lines) and lines[end][0] == lines[end - 1][0] + 1:
+            continue
+        first, from_first, last, up_to_last = start, 0, start, 0
+        for k in range(start, end):
+            from_first += lines[k][2]
+            up_to_last += lines[k][2]
+            while last < k and up_to_last - lines[last][2] >= least:
+                up_to_last -= lines[last][2]
+                last += 1
+            if up_to_last >= least:
+                spans.add((last, k))
+            while first <= k and from_first >= least:
+                spans.add((first, k))
+                from_first -= lines[first][2]
+                first += 1
+        start = end
+    sums, powers = [0], [1]
+    for _, h, _ in lines:
+        sums.append((sums[-1] * FACTOR + h) & _MASK)
+        powers.append(powers[-1] * FACTOR & _MASK)
+    out = []
+    for a, b in spans:
+        h = (sums[b + 1] - sums[a] * powers[b + 1 - a]) & _MASK
+        out.append((a, b, h - (1 << 64) if h >> 63 else h))
+    return out
+
+
+_MASK = (1 << 64) - 1
+
+
+def common(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], least: int) -> set[int]:
+    """Positions of the right document's lines in blocks of at least ``least`` words that the left one holds too.
+
+    Lines are (position, hash, words).
+    """
+    words = {p: w for p, _, w in right}
+    out: set[int] = set()
+    for block in blocks(patience([x[:2] for x in left], [x[:2] for x in right])):
+        if sum(words[b] for _, b in block) >= least:
+            out.update(b for _, b in block)
+    return out
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -87,25 +141,38 @@ def _lines(text: Column) -> Column:
 def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """``doc_id`` and the sorted positions (from 0) of the lines that alignment deletes from it.
 
-    Plan: one exchange of (line hash, document) counts documents a line is in and its first; lines in one document
-    end there. What remains is regrouped by document. Pairs are (first holder, later holder) for every shared line
-    and (holder, next holder) for rare ones: as many as shared lines, never all pairs of a group. Each pair brings
-    the shared lines of both sides to one task; the first holder of a very common line is on one side of many
-    pairs, which AQE splits. Lines are compared by 64-bit hash and white space at their ends doesn't count.
+    Plan: one exchange of (line hash, document) counts documents a line is in; lines in one document end there.
+    What remains is regrouped by document, and each document's runs of ``min_words`` words are hashed. Pairs are
+    (first holder, later holder) for every shared run and (holder, next holder) for rare ones: as many as shared
+    runs, never all pairs of a group. Every block finds its earliest holder, however frequent its lines are. Each
+    pair brings the shared lines of both sides to one task; the first holder of a very common run is on one side of
+    many pairs, which AQE splits. Lines are compared by 64-bit hash and white space at their ends doesn't count.
     """
     line = F.trim(F.col("line"))
-    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
             .where(F.length(line) > 0)
-            .select("doc_id", "pos", F.xxhash64(line).alias("h"), (F.size(F.split(line, r"\s+"))).alias("words")))
-    once = rows.groupBy("h", "doc_id").agg(F.min("pos").alias("pos"))
-    counts = once.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
-    shared = stored(rows.join(counts, "h"), "lines")
-    holders = shared.select("h", "docs", "first", "doc_id").distinct()
+            .select("doc_id", "at", F.col("at").alias("pos"), F.xxhash64(line).alias("h"), F.size(F.split(line, r"\s+")).alias("words")))
+    once = rows.select("h", "doc_id").distinct()
+    counts = once.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    shared = rows.join(counts.select("h"), "h")
+    sides = stored(shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "words", "pos"))).alias("lines")), "lines")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for doc, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = {h for _, _, h in runs([(x["at"], x["h"], x["words"]) for x in lines], min_words)}
+                ids.extend([doc] * len(mine))
+                found.extend(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "h"])
+
+    held = stored(sides.select(F.col("doc_id").cast("long"), "lines").mapInArrow(hashed, "doc_id long, h long"), "runs")
+    firsts = held.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
+    holders = held.join(firsts, "h")
     near = holders.where(F.col("docs") <= rare).groupBy("h").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
     chain = near.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.get("ids", k - 1).alias("a"), F.get("ids", k).alias("b")))).alias("p")).select("p.*")
     star = holders.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     pairs = chain.union(star).distinct()
-    sides = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "words"))).alias("lines"))
     joined = (pairs.join(sides.select(F.col("doc_id").alias("b"), F.col("lines").alias("right")), "b")
               .join(sides.select(F.col("doc_id").alias("a"), F.col("lines").alias("left")), "a"))
 
@@ -113,12 +180,10 @@ def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RAR
         for batch in batches:
             ids, places = [], []
             for b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = {x["pos"]: x["words"] for x in right}
-                found = patience([(x["pos"], x["h"]) for x in left], [(x["pos"], x["h"]) for x in right])
-                for block in blocks(found):
-                    if sum(words[p] for _, p in block) >= min_words:
-                        ids.extend([b] * len(block))
-                        places.extend(p for _, p in block)
+                found = common(*([(x["at"], x["h"], x["words"]) for x in side] for side in (left, right)), min_words)
+                gone = [x["pos"] for x in right if x["at"] in found]
+                ids.extend([b] * len(gone))
+                places.extend(gone)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["doc_id", "pos"])
 
     gone = joined.select("b", "left", "right").mapInArrow(align, "doc_id long, pos int")

@@ -329,6 +329,14 @@ def test_patience_takes_the_longest_common_order():
     assert line_dedup.patience([], left) == []
 
 
+def test_blocks_of_frequent_lines_find_their_holder(spark):
+    """Two short lines in many documents, together in two only; neither line's first holder holds the block."""
+    a, b = LONG[:41], LONG[42:]
+    docs = make(spark, [(k, f"{a if k < 20 else b}\nown {k}") for k in range(40)] + [(k, f"x{k}\n{a}\n{b}\ny{k}") for k in (40, 41)])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).where("doc_id >= 39").collect()}
+    assert got == {39: f"{b}\nown 39", 40: f"x40\n{a}\n{b}\ny40", 41: "x41\ny41"}
+
+
 # neighbours
 
 def test_neighbours_recall_and_odd_vectors(spark):
