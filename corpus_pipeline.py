@@ -30,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without blocks that an earlier one holds; those of which nothing is left go."""
     cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.where((F.col("lines_removed") == 0) | (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)).select(*COLUMNS)
+    return cleaned.where((F.col("lines_removed") == 0) | F.coalesce("text", F.lit("")).rlike(r"\S")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

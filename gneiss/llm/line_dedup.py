@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them.
+"""Line dedup by pairwise alignment: shared runs of lines find overlapping documents, patience diff aligns them.
 
 The later document (larger doc_id) of a pair loses the blocks that the earlier one holds too.
 """
@@ -21,8 +21,9 @@ MIN_WORDS = 20
 RARE = 16
 #: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
 BROADCAST_LINES = 2_000_000
-#: The odd factor of the hash of a run.
-FACTOR = 0x9E3779B97F4A7C15
+#: What doesn't count at the ends of a line, and the odd factor of the hash of a run.
+WHITE, FACTOR = " \t\x0b\f\r", 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
 #: Names that the join adds; they hold a character that no column of a table here does.
 DEDUP_ID, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7gone"
 
@@ -118,19 +119,23 @@ def runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[int, int,
     return out
 
 
-_MASK = (1 << 64) - 1
-
-
 def common(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], least: int) -> set[int]:
     """Positions of the right document's lines in blocks of at least ``least`` words that the left one holds too.
 
-    Lines are (position, hash, words).
+    Lines are (position, hash, words). Patience alignment finds the blocks in common order; runs that it leaves,
+    as their lines are repeated or in another order, are looked up in the whole left document.
     """
     words = {p: w for p, _, w in right}
     out: set[int] = set()
     for block in blocks(patience([x[:2] for x in left], [x[:2] for x in right])):
         if sum(words[b] for _, b in block) >= least:
             out.update(b for _, b in block)
+    rest = [(a, b, h) for a, b, h in runs(right, least) if any(right[k][0] not in out for k in range(a, b + 1))]
+    if rest:
+        held = {h for _, _, h in runs(left, least)}
+        for a, b, h in rest:
+            if h in held:
+                out.update(right[k][0] for k in range(a, b + 1))
     return out
 
 
@@ -146,12 +151,13 @@ def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RAR
     (first holder, later holder) for every shared run and (holder, next holder) for rare ones: as many as shared
     runs, never all pairs of a group. Every block finds its earliest holder, however frequent its lines are. Each
     pair brings the shared lines of both sides to one task; the first holder of a very common run is on one side of
-    many pairs, which AQE splits. Lines are compared by 64-bit hash and white space at their ends doesn't count.
+    many pairs, which AQE splits. Lines are compared by 64-bit hash; white space at their ends doesn't count, and
+    lines follow one another if only blank ones are between.
     """
-    line = F.trim(F.col("line"))
-    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-            .where(F.length(line) > 0)
-            .select("doc_id", "at", F.col("at").alias("pos"), F.xxhash64(line).alias("h"), F.size(F.split(line, r"\s+")).alias("words")))
+    full = F.filter(F.transform(_lines(F.col("text")), lambda x, k: F.struct(k.alias("pos"), F.trim(x, F.lit(WHITE)).alias("line"))), lambda x: x["line"] != "")
+    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(full).alias("at", "row"))
+            .select("doc_id", "at", "row.pos", "row.line")
+            .select("doc_id", "at", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", r"\s+")).alias("words")))
     once = rows.select("h", "doc_id").distinct()
     counts = once.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = rows.join(counts.select("h"), "h")
@@ -195,7 +201,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE
 
     All columns and rows are kept; ``n_chars`` (if there) is that of what is left, and ``lines_removed`` is added
     (an input column of that name is replaced). Null texts stay null, rows with a null doc_id stay as they are,
-    empty lines never count, ties cannot occur between different doc_ids; rows that repeat a doc_id are one
+    blank lines never count and stay, ties cannot occur between different doc_ids; rows that repeat a doc_id are one
     document to the alignment, and each loses the same lines. An empty table gives an empty one.
     """
     gone = stored(doomed_lines(docs, min_words=min_words, rare=rare), "doomed")

@@ -337,6 +337,29 @@ def test_blocks_of_frequent_lines_find_their_holder(spark):
     assert got == {39: f"{b}\nown 39", 40: f"x40\n{a}\n{b}\ny40", 41: "x41\ny41"}
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    """Blocks whose lines have other first holders, repeated lines, swapped passages: against every earlier document."""
+    rng = random.Random(11)
+    texts = ["\n".join("\n" * (rng.random() < 0.1) + f"w{rng.randrange(9)} " * rng.choice([2, 5, 5, 9, 20]) for _ in range(rng.randrange(14))) for _ in range(150)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, list(enumerate(texts))), rare=2).collect()}
+    full = [[(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    seen = set()
+    for doc, rows in enumerate(full):
+        spans = [(a, b) for a in range(len(rows)) for b in range(a, len(rows)) if sum(len(x.split()) for _, x in rows[a : b + 1]) >= 20]
+        gone = {rows[k][0] for a, b in spans if tuple(x for _, x in rows[a : b + 1]) in seen for k in range(a, b + 1)}
+        assert got[doc] == "\n".join(x for k, x in enumerate(texts[doc].split("\n")) if k not in gone), doc
+        seen |= {tuple(x for _, x in rows[a : b + 1]) for a, b in spans}
+    assert sum(len(got[k]) for k in got) < 0.9 * sum(map(len, texts))
+
+
+def test_line_dedup_of_repeated_and_double_spaced_passages(spark):
+    short = [f"{a} one two three four five six" for a in "abcdef"]
+    passage = "\n".join(short)
+    docs = make(spark, [(1, f"{passage}\nmiddle\n{passage}"), (2, f"own\n{passage}\nend"), (3, f"{passage}\n\nthree\n{passage}"), (4, "\r\n \t\n".join(short)), (5, "\n\n".join(short) + "\nfive")])
+    got = {r.doc_id: r.text.split() for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: f"{passage} middle {passage}".split(), 2: ["own", "end"], 3: ["three"], 4: [], 5: ["five"]}
+
+
 # neighbours
 
 def test_neighbours_recall_and_odd_vectors(spark):
