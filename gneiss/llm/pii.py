@@ -24,6 +24,10 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 #: A word that holds a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Two or more words of digits and signs; a plus begins another one.
+SPACED = r"(?<!\S)[+(]*+[0-9][0-9()./+-]*+(?![^\s,;:!?])(?:[\x20\t]\(*+[0-9][0-9()./+-]*+(?![^\s,;:!?]))++"
+#: A word with a letter that is no candidate.
+PLAIN = r"(?<!\S)[^\s0-9@]*\p{L}[^\s0-9@]*+(?!\S)"
 
 ROUNDS = 3
 #: A pattern is kept with this confidence and so much weight of known instances.
@@ -56,49 +60,71 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _located(text: Column, form: str) -> Column:
-    """(start, match, what stands before it since the last match) of each leftmost non-overlapping match."""
+    """(start, match, left context) of each leftmost non-overlapping match.
+
+    The context is the last plain word before the match, that of the match before it if none is between, or empty.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string,gap:string>>").alias("out"))
+    rows = F.array().cast("array<struct<start:int,match:string,left:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("left"), rows.alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["gap"])
-        row = F.struct(at.alias("start"), pair["match"].alias("match"), F.substring(pair["gap"], -48, 48).alias("gap"))
-        return F.struct((at + F.length(pair["match"])).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+        left = F.coalesce(F.lower(F.try_element_at(F.regexp_extract_all(F.substring(pair["gap"], -48, 48), F.lit(PLAIN), F.lit(0)), F.lit(-1))), acc["left"])
+        row = F.struct(at.alias("start"), pair["match"].alias("match"), left.alias("left"))
+        return F.struct((at + F.length(pair["match"])).alias("at"), left.alias("left"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(rows)
+
 
+SEEDS = "array<struct<start:int,kind:int,end:int,instance:bigint,pattern:bigint>>"
+SEEN = "array<struct<start:int,end:int,instance:bigint,pattern:bigint,seed:boolean>>"
 
-def base_spans(text: Column) -> Column:
-    """Seeds: structs (start, kind number, end), sorted, of a non-null text."""
+
+def seeds(text: Column) -> Column:
+    """Structs (start, kind number, end, instance, pattern), sorted, of the patterned entities of a non-null text."""
     return F.array_sort(F.concat(*(_spans(text, number, kind) for number, kind in enumerate(KINDS))))
 
 
+def base_spans(marked: Column) -> Column:
+    """Structs (start, kind number, end) of seeds."""
+    return F.transform(marked, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+
+
 def _spans(text: Column, number: int, kind: str) -> Column:
     rows = F.filter(_located(text, FORMS[kind]), lambda r: _valid(kind, r["match"]))
     rows = F.transform(rows, lambda r: F.struct(
-        r["start"].alias("start"), F.lit(number).alias("kind"), (r["start"] + F.length(r["match"])).alias("end")))
+        r["start"].alias("start"), F.lit(number).alias("kind"), (r["start"] + F.length(r["match"])).alias("end"),
+        F.xxhash64(r["match"]).alias("instance"), _pattern(r["left"], r["match"]).alias("pattern")))
     need = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]")
-    return F.when(need, rows).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return F.when(need, rows).otherwise(F.array().cast(SEEDS))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Words that look like identifiers: their place, shape, left context, hash, and whether a seed starts in them."""
-    trimmed = r"^([^A-Za-z0-9]*)(.*[A-Za-z0-9])"
+def _pattern(left: Column, core: Column) -> Column:
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(core, 1, 48), "[0-9]++", "9"), "[a-z]++", "a"), "[A-Z]++", "A")
+    return F.xxhash64(left, shape)
+
+
+def candidates(text: Column, marked: Column) -> Column:
+    """What may be an identifier: place, instance and pattern (left context and shape), and whether it is a seed.
+
+    Each seed is one candidate, whatever words it spans. The others are single words and runs of number words that
+    no seed overlaps; a run and its words are all candidates, and the patterns tell which of them is meant.
+    """
+    trimmed = r"^([^A-Za-z0-9+]*)(.*[A-Za-z0-9])"
 
     def row(r: Column) -> Column:
-        lead = F.length(F.regexp_extract(r["match"], trimmed, 1))
         core = F.regexp_extract(r["match"], trimmed, 2)
-        begin, end = r["start"] + lead, r["start"] + lead + F.length(core)
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(core, 1, 48), "[0-9]++", "9"), "[a-z]++", "a"), "[A-Z]++", "A")
-        left = F.lower(F.regexp_extract(r["gap"], r"(\S+\s+)?(\S+)\s*$", 2))
-        return F.struct(begin.alias("start"), end.alias("end"), F.xxhash64(core).alias("instance"), F.xxhash64(left, shape).alias("pattern"),
-                        (F.length(_digits(core)) >= 4).alias("numeric"), F.length(core).alias("size"), (left == "").alias("bare"),
-                        F.exists(base, lambda b: (b["start"] < end) & (b["end"] > begin)).alias("seed"))
+        begin = r["start"] + F.length(F.regexp_extract(r["match"], trimmed, 1))
+        return F.struct(begin.alias("start"), (begin + F.length(core)).alias("end"), F.xxhash64(core).alias("instance"),
+                        _pattern(r["left"], core).alias("pattern"), F.lit(False).alias("seed"))
+
+    def unseen(form: str) -> Column:
+        return F.filter(F.transform(_located(text, form), row), lambda c: (c["end"] > c["start"]) & ~F.exists(marked, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
 
-    rows = F.filter(F.transform(_located(text, CANDIDATE), row), lambda c: c["numeric"] & (c["size"] >= 6) & ~c["bare"])
-    empty = F.array().cast("array<struct<start:int,end:int,instance:bigint,pattern:bigint,numeric:boolean,size:int,bare:boolean,seed:boolean>>")
-    return F.when(text.rlike("[0-9]"), rows).otherwise(empty)
+    known = F.transform(marked, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["instance"].alias("instance"), b["pattern"].alias("pattern"), F.lit(True).alias("seed")))
+    return F.when(text.rlike("[0-9@]"), F.concat(known, unseen(CANDIDATE), unseen(SPACED))).otherwise(F.array().cast(SEEN))
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -126,8 +152,8 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     columns are left out. Each text is scanned once; what goes on is positions and hashes, never texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).withColumn("base", base_spans(F.col("body")))
-    rows = stored(scanned.select("doc_id", "base", candidates(F.col("body"), F.col("base")).alias("seen"), F.monotonically_increasing_id().alias("row")), "pii")
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).withColumn("marked", seeds(F.col("body")))
+    rows = stored(scanned.select("doc_id", base_spans(F.col("marked")).alias("base"), candidates(F.col("body"), F.col("marked")).alias("seen"), F.monotonically_increasing_id().alias("row")), "pii")
     words = rows.select("row", F.explode("seen").alias("c")).select("row", "c.*")
     edges = stored(words.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     kept = confident_patterns(edges, rounds)

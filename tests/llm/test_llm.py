@@ -245,6 +245,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert rows[40] == [(10, 4, 20)] and rows[41] == [] and all(len(rows[k]) == 1 for k in range(40))
 
 
+def test_contexts_of_all_kinds_find_unseen_identifiers(spark):
+    texts = [f"please phone +1 (0{k}) 555-77{k} today" for k in range(10, 40)] + [f"my mail user.{k}@mail7.example.com works" for k in range(30)]
+    texts += [f"the ids: 10.0.{k}.7 or so" for k in range(30)] + [f"call {k}: 3{k}5 555" for k in range(30)]
+    n = len(texts)
+    texts += ["please phone +1 (017) 555-77 today", "the ids: 10.0.399.7 10.0.398.7", "the ids: 1.2.3.999"]
+    rows = {r.doc_id: [tuple(x) for x in r.found] for r in pii.find_personal_data(make(spark, list(enumerate(texts)))).collect()}
+    assert rows[n] == [(13, 4, 28)] and rows[n + 1] == [(9, 4, 19), (20, 4, 30)] and rows[n + 2] == [(9, 4, 18)]
+    assert all(len(rows[k]) == (k < 90) for k in range(n))
+    kinds = spark.createDataFrame([("mail user.3@mail.example.com and phone +1 (017) 555-7713",)], "t string").select(pii.candidates(F.col("t"), pii.seeds(F.col("t"))).alias("c")).first().c
+    assert [(c.start, c.end) for c in kinds if c.seed] == [(5, 28), (39, 56)] and all(c.seed for c in kinds)
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- ad --><div class="ad">Buy now.</div>
