@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block. A line weighs its characters outside links, and nothing where the
-markup marks it as furniture. Weights are summed over windows of a few lines; text between a surge of that sum
-and the next dive is kept.
+markup marks it as furniture; no line weighs more than a paragraph. Weights are summed over windows of a few lines;
+text between a surge of that sum and the next dive is kept.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
+#: Characters beyond so many add nothing to a line's weight, so one long line doesn't hide ordinary ones.
+PARAGRAPH = 200
 #: Without an article element, windows under this share of the heaviest one count as a dive.
 DIVE = 0.15
 
@@ -37,17 +39,22 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HINTS, _FURNITURE, _INLINE, _VOID = frozenset(HINTS), frozenset(FURNITURE), frozenset(INLINE), frozenset(VOID)
+_ABOUT = frozenset("with without has have no".split())  # a class such as with-sidebar is not the sidebar's
 _COMMENT = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 
 def _hints(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    return {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())} & _HINTS
+    names = (set(_WORDS.findall(x)) for m in _ATTRIBUTE.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split())
+    return {w for words in names if not words & _ABOUT for w in words} & _HINTS
 
 
 def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, place) of each block in page order; place is 2 inside an article, 1 inside main, else 0."""
+    """(text, characters outside links, place) of each block in page order.
+
+    Place is 2 inside an article, 1 inside main, else 0, and -1 in furniture.
+    """
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     outside_links = 0
@@ -60,8 +67,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                place = 2 if inside["article"] else 1 if inside["main"] else 0
-                out.append((text, 0 if skip else min(outside_links, len(text)), place))
+                place = -1 if skip else 2 if inside["article"] else 1 if inside["main"] else 0
+                out.append((text, min(outside_links, len(text)), place))
         parts, outside_links = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -118,8 +125,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """Blocks between surge and dive points, joined by one line feed; empty if there is none."""
     found = lines(page or "")
-    place = max((p for _, w, p in found if w), default=0)
-    weights = [w if p >= place else 0 for _, w, p in found]
+    place = max((p for _, w, p in found if w and p >= 0), default=0)
+    weights = [min(w, PARAGRAPH) if p >= place else 0 for _, w, p in found]
     n = len(weights)
     if not any(weights):
         return ""
@@ -137,11 +144,14 @@ def main_text(page: str | None) -> str:
                 end += 1
             runs.append([k, min(n, end + (WINDOW - 1 if floor else 0))])
             k = runs[-1][1]
-        k += 1
-    if not place:  # furniture without marks is far lighter than the article
-        mass = [sum(weights[a:b]) for a, b in runs]
-        runs = [r for r, m in zip(runs, mass) if m >= 0.2 * max(mass)]
-    return "\n".join(found[k][0] for a, b in runs for k in range(a, b) if weights[k])
+        else:
+            k += 1
+    kept: list[str] = []
+    for a, b in runs:
+        while not weights[b - 1]:  # links after the text
+            b -= 1
+        kept.extend(found[k][0] for k in range(a, b) if found[k][2] >= place)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

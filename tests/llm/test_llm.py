@@ -275,6 +275,16 @@ def test_main_text_of_pages(spark, none):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_uneven_pages():
+    usual = ["ordinary words " * 13 + str(k) for k in range(40)]
+    page = "<p>" + "</p><p>".join(["very long " * 3000, *usual, "so long " * 4000, *usual]) + "</p>"
+    assert html_text.main_text(page).split("\n")[1:41] == usual and html_text.main_text(page).split("\n")[42:] == usual
+    text = f"<p>{usual[0]}</p><p><a href=x>all of it a link</a></p><p>{usual[1]}</p>"
+    want = f"{usual[0]}\nall of it a link\n{usual[1]}"
+    assert html_text.main_text(text + "<p><a href=y>next page</a></p>") == want
+    assert html_text.main_text(f"<div class='page with-sidebar'>{text}<div class='sidebar left'><p>{usual[2]}</p></div></div>") == want
+
+
 # languages
 
 def test_language_held_out_accuracy(spark, odd, none):
