@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block. A line weighs its characters outside links, and nothing where the
-markup marks it as furniture; no line weighs more than a paragraph. Weights are summed over windows of a few lines;
+markup marks it as furniture; no line weighs more than a paragraph, which lines in an article or main weigh besides. Weights are summed over windows of a few lines;
 text between a surge of that sum and the next dive is kept.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: Characters beyond so many add nothing to a line's weight, so one long line doesn't hide ordinary ones.
 PARAGRAPH = 200
-#: Without an article element, windows under this share of the heaviest one count as a dive.
+#: Windows under this share of the heaviest one count as a dive.
 DIVE = 0.15
 
 # HTML element names by their part in a page, and words that name furniture in class, id and role.
@@ -51,10 +51,7 @@ def _hints(attributes: str) -> set[str]:
 
 
 def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, place) of each block in page order.
-
-    Place is 2 inside an article, 1 inside main, else 0, and -1 in furniture.
-    """
+    """(text, characters outside links, place) of each block; place is 1 inside article or main, else 0, and -1 in furniture."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     outside_links = 0
@@ -67,7 +64,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                place = -1 if skip else 2 if inside["article"] else 1 if inside["main"] else 0
+                place = -1 if skip else int(inside["article"] + inside["main"] > 0)
                 out.append((text, min(outside_links, len(text)), place))
         parts, outside_links = [], 0
 
@@ -125,32 +122,34 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """Blocks between surge and dive points, joined by one line feed; empty if there is none."""
     found = lines(page or "")
-    place = max((p for _, w, p in found if w and p >= 0), default=0)
-    weights = [min(w, PARAGRAPH) if p >= place else 0 for _, w, p in found]
+    weights = [min(w, PARAGRAPH) * (p >= 0) + PARAGRAPH * (p > 0) for _, w, p in found]
     n = len(weights)
     if not any(weights):
         return ""
-    sums, total = [0] * n, 0
-    for k in range(n - 1, -1, -1):  # of this line and the next ones
-        total += weights[k] - (weights[k + WINDOW] if k + WINDOW < n else 0)
-        sums[k] = total
-    floor = 0 if place else DIVE * max(sums)
+    region: list[int] = []  # text beside an article is judged by itself
+    for _, _, p in found:
+        region.append(p if p >= 0 else region[-1] if region else 0)
+    sums = [sum(weights[j] for j in range(k, min(n, k + WINDOW)) if region[j] == region[k]) for k in range(n)]  # of this line and the next ones
+    floor = DIVE * min(max(sums), WINDOW * PARAGRAPH)
     runs: list[list[int]] = []
     k = 0
     while k < n:
         if sums[k] > floor and weights[k]:  # surge
             end = k
-            while end < n and (sums[end] > floor or weights[end] and not floor):  # until the dive
+            while end < n and sums[end] > floor and region[end] == region[k]:  # until the dive
+                end += 1
+            tail = min(n, end + WINDOW - 1)
+            while end < tail and region[end] == region[k]:
                 end += 1
-            runs.append([k, min(n, end + (WINDOW - 1 if floor else 0))])
-            k = runs[-1][1]
+            runs.append([k, end])
+            k = end
         else:
             k += 1
     kept: list[str] = []
     for a, b in runs:
         while not weights[b - 1]:  # links after the text
             b -= 1
-        kept.extend(found[k][0] for k in range(a, b) if found[k][2] >= place)
+        kept.extend(found[k][0] for k in range(a, b) if found[k][2] >= 0)
     return "\n".join(kept)
 
 

@@ -285,6 +285,13 @@ def test_main_text_of_uneven_pages():
     assert html_text.main_text(f"<div class='page with-sidebar'>{text}<div class='sidebar left'><p>{usual[2]}</p></div></div>") == want
 
 
+def test_main_text_beside_an_article():
+    usual = ["ordinary words " * 13 + str(k) for k in range(5)]
+    body = "<div><p>" + "</p><p>".join(usual) + "</p></div>"
+    assert html_text.main_text(f"{body}<article><p>A teaser.</p></article>") == "\n".join([*usual, "A teaser."])
+    assert html_text.main_text(f"<div>Skip</div><article>{body}<p><a href=x>linked</a></p><p>4</p></article><div>Top</div>") == "\n".join([*usual, "linked", "4"])
+
+
 # languages
 
 def test_language_held_out_accuracy(spark, odd, none):
