@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Longer pieces between white space are cut into parts of so many letters.
+LONGEST = 40
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -44,10 +46,14 @@ def letters(piece: str) -> str:
     return piece[a:b].lower()
 
 
+def chunks(piece: str) -> list[str]:
+    """The words of a piece between white space: itself, or consecutive parts of one longer than ``LONGEST``."""
+    word = letters(piece)
+    return [w for k in range(0, len(word), LONGEST) if (w := letters(word[k : k + LONGEST]))]
+
+
 def word_features(word: str) -> list[str]:
-    """Lexicon entry, prefixes, suffixes and 3-grams of one word (words over 40 letters by their ends)."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
+    """Lexicon entry, prefixes, suffixes and 3-grams of one word."""
     n, marked = len(word), f"^{word}$"
     out = ["w" + word]
     out += ["p" + word[:k] for k in range(1, min(3, n) + 1)]
@@ -75,9 +81,12 @@ class Model:
         return self.weights[rows].sum(0) if rows else np.zeros(len(self.languages), np.float32)
 
     def rows(self, text: str) -> np.ndarray:
-        """A row of ``table`` for each piece between white space that holds a letter; row 0 is for padding."""
+        """A row of ``table`` for each piece between white space that holds a letter (or chunk of it); row 0 is for padding."""
         cache, out = self.cache, []
         for piece in text.split():
+            if len(piece) > LONGEST:
+                out.extend(self._row(w) for w in chunks(piece))
+                continue
             row = cache.get(piece)
             if row is None:
                 row = cache[piece] = self._row(letters(piece))
@@ -143,7 +152,7 @@ def fit(texts: list[str], labels: list[str], settings: Training = Training()) ->
     by_language: list[list[list[str]]] = [[] for _ in languages]
     counts: dict[str, int] = {}
     for text, label in sorted(zip(texts, labels)):
-        words = [w for p in text.split() if (w := letters(p))]
+        words = [w for p in text.split() for w in chunks(p)]
         if words:
             by_language[languages.index(label)].append(words)
             for w in words:

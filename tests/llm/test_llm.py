@@ -314,6 +314,17 @@ def test_language_held_out_accuracy(spark, odd, none):
     assert language.annotate(odd, model).columns.count("lang_pred") == 1
 
 
+def test_language_of_text_without_spaces():
+    rng = random.Random(2)
+    make_word = {"aa": lambda: "".join(rng.choice("abcd") for _ in range(6)), "zz": lambda: "".join(rng.choice("wxyz") for _ in range(6))}
+    texts = [(" ".join(make_word[lang]() for _ in range(30)), lang) for _ in range(40) for lang in make_word]
+    model = language.fit([t for t, _ in texts], [lang for _, lang in texts], language.Training(steps=30))
+    ends, middle = "".join(make_word["aa"]() for _ in range(7)), "".join(make_word["zz"]() for _ in range(60))
+    (found, score), = language.label_texts(model, [ends + middle + ends])
+    assert found == "zz" and 0.6 < score < 0.95
+    assert language.chunks("ab" + "1" * 100 + "cd") == ["ab", "cd"] and "".join(language.chunks("é" * 95)) == "é" * 95
+
+
 def test_posteriors_equal_enumeration():
     import itertools
 
