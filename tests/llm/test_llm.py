@@ -429,6 +429,46 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(vectors.where("vec_id in (2000, 2020)"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """A vec_id with two vectors: each is a candidate with its own score, and 9 has its own, not that of an equal id."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    rows = [(k, x[k].tolist()) for k in range(300)] + [(5, x[9].tolist()), (40, x[41].tolist()), (40, x[40].tolist())]
+    settings = neighbours.Settings(books=6, words=32, sample=300, list_size=32, iterations=3, list_recall=1.0, rerank=300)
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20, settings).collect()
+    vectors = collections.defaultdict(list)
+    for k, v in rows:
+        if v not in vectors[k]:
+            vectors[k].append(v)
+    lists = collections.defaultdict(list)
+    for r in got:
+        assert any(r.score == pytest.approx(float(np.dot(a, b)), rel=1e-12) for a in vectors[r.query_id] for b in vectors[r.vec_id]) and r.query_id != r.vec_id
+        lists[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in range(0, 300, 20):
+        want = [sorted(((-float(np.dot(v, w)), k) for k in vectors for w in vectors[k] if k != q))[:20] for v in vectors[q]]
+        assert sorted((rank, round(s, 9)) for rank, _, s in lists[q]) == sorted((rank, round(-s, 9)) for w in want for rank, (s, _) in enumerate(w, 1))
+    assert len(lists[40]) == 40
+
+
+def test_neighbours_recall_with_the_querys_settings(spark):
+    """The small table's vectors, the settings that the query runs with, all queries against brute force."""
+    if not os.path.exists("/root/testdata/sf0.01/embeddings.parquet"):
+        pytest.skip("no tables here")
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.select("vec_id", "embedding").collect() if r.embedding]
+    rows = [(k, v) for k, v in rows if np.isfinite(v).all() and v.any()]
+    ids, matrix = np.array([k for k, _ in rows]), np.stack([v for _, v in rows])
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q, v in rows:
+        if q % 20 == 0:
+            order = [int(ids[k]) for k in np.argsort(-(matrix @ v)) if ids[k] != q][:20]
+            hits, total = hits + len(set(order) & got[q]), total + len(order)
+    assert total and hits >= 0.9 * total
+
+
 # pipeline
 
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
