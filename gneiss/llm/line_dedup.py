@@ -16,16 +16,16 @@ from gneiss.plans.storage import stored
 
 #: A common block goes if it has at least so many words.
 MIN_WORDS = 20
-#: Runs in at most so many documents are rare: all documents that share one are paired in a chain of neighbours
-#: as well as with the first. Runs in more documents pair each of them with the first only, which holds the whole run.
-RARE = 16
-#: Up to so many deleted lines (about 60 MB) are broadcast, so that texts stay where they are; more are joined by an exchange.
-BROADCAST_LINES = 2_000_000
+#: Up to so many shared runs, ids of texts or deleted lines are broadcast; more are joined by an exchange, where AQE
+#: splits hot keys.
+BROADCAST_RUNS, BROADCAST_IDS, BROADCAST_LINES = 500_000, 2_000_000, 1_000_000
+#: Rows that a worker gathers before it hands them on.
+FLUSH = 50_000
 #: What doesn't count at the ends of a line, and the odd factor of the hash of a run.
 WHITE, FACTOR = " \t\x0b\f\r", 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Names that the join adds; they hold a character that no column of a table here does.
-DEDUP_ID, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7gone"
+DEDUP_ID, DEDUP_TAG, DEDUP_GONE = "dedup\u00b7id", "dedup\u00b7tag", "dedup\u00b7gone"
 
 
 def patience(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -143,73 +143,114 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """``doc_id`` and the sorted positions (from 0) of the lines that alignment deletes from it.
+def _tag() -> Column:
+    """Tells apart texts of rows that repeat a doc_id."""
+    return F.xxhash64("text").alias("tag")
 
-    Plan: one exchange of (line hash, document) counts documents a line is in; lines in one document end there.
-    What remains is regrouped by document, and each document's runs of ``min_words`` words are hashed. Pairs are
-    (first holder, later holder) for every shared run and (holder, next holder) for rare ones: as many as shared
-    runs, never all pairs of a group. Every block finds its earliest holder, however frequent its lines are. Each
-    pair brings the shared lines of both sides to one task; the first holder of a very common run is on one side of
-    many pairs, which AQE splits. Lines are compared by 64-bit hash; white space at their ends doesn't count, and
-    lines follow one another if only blank ones are between.
-    """
+
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``tag`` and, of the lines that are not blank, ``pos``, hash ``hs`` and number of words ``ws``."""
     full = F.filter(F.transform(_lines(F.col("text")), lambda x, k: F.struct(k.alias("pos"), F.trim(x, F.lit(WHITE)).alias("line"))), lambda x: x["line"] != "")
-    rows = (docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(full).alias("at", "row"))
-            .select("doc_id", "at", "row.pos", "row.line")
-            .select("doc_id", "at", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", r"\s+")).alias("words")))
-    once = rows.select("h", "doc_id").distinct()
-    counts = once.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    shared = rows.join(counts.select("h"), "h")
-    sides = stored(shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "h", "words", "pos"))).alias("lines")), "lines")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), full.alias("full"))
+    rows = rows.select("doc_id", "tag", F.transform("full", lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h"), F.size(F.split(x["line"], r"\s+")).alias("w"))).alias("full"))
+    return rows.select("doc_id", "tag", F.col("full.pos").alias("pos"), F.col("full.h").alias("hs"), F.col("full.w").alias("ws"))
+
+
+def _slices(column: pa.Array) -> list[list]:
+    flat, ends = column.flatten().to_pylist(), column.offsets.to_pylist()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
+
+
+def run_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """Rows (doc_id, tag, h, at, upto): the first place of each of a document's runs, lines numbered without blank ones."""
+    schema = "doc_id long, tag long, h long, at int, upto int"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "tag", "h", "at", "upto"])
+
+        rows: list[tuple] = []
         for batch in batches:
-            ids, found = [], []
-            for doc, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = {h for _, _, h in runs([(x["at"], x["h"], x["words"]) for x in lines], min_words)}
-                ids.extend([doc] * len(mine))
-                found.extend(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "h"])
-
-    held = stored(sides.select(F.col("doc_id").cast("long"), "lines").mapInArrow(hashed, "doc_id long, h long"), "runs")
-    firsts = held.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
-    holders = held.join(firsts, "h")
-    near = holders.where(F.col("docs") <= rare).groupBy("h").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"))
-    chain = near.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.get("ids", k - 1).alias("a"), F.get("ids", k).alias("b")))).alias("p")).select("p.*")
-    star = holders.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    pairs = chain.union(star).distinct()
-    joined = (pairs.join(sides.select(F.col("doc_id").alias("b"), F.col("lines").alias("right")), "b")
-              .join(sides.select(F.col("doc_id").alias("a"), F.col("lines").alias("left")), "a"))
+            for doc, tag, hs, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _slices(batch.column(2)), _slices(batch.column(3))):
+                seen: set[int] = set()
+                for a, b, h in sorted(runs(list(zip(range(len(hs)), hs, ws)), min_words)):
+                    if h not in seen:
+                        seen.add(h)
+                        rows.append((doc, tag, h, a, b))
+                        if len(rows) == FLUSH:
+                            yield batch_of(rows)
+                            rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return marked_lines(docs).select("doc_id", "tag", "hs", "ws").mapInArrow(hashed, schema)
+
+
+def doomed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id``, ``tag`` (hash of the text) and the sorted positions (from 0) of the lines that alignment deletes.
+
+    Plan: each document's runs of ``min_words`` words are hashed where it is read; one exchange finds each shared
+    run's first holder (least doc_id). Later holders are paired with the first one of each of their runs: as many
+    pairs as shared runs, never all pairs of a group, and each block finds its earliest holder, however frequent its
+    lines are. A pair brings only the earlier document's lines inside shared runs, so what meets in one task is as
+    long as the later document. Joins by run or by first holder read written tables, so AQE splits a hot one. Lines
+    are compared by 64-bit hash; white space at their ends doesn't count, and lines follow one another if only
+    blank ones are between.
+    """
+    held = stored(run_table(docs, min_words), "runs")
+    shared = stored(held.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), "shared")
+    few = shared.count() <= BROADCAST_RUNS
+    holders = stored(held.join(F.broadcast(shared) if few else shared, "h"), "holders")
+    heads = stored(holders.where("doc_id = first").groupBy("h").agg(F.min(F.struct("tag", "at", "upto")).alias("s"))
+                   .select("h", F.col("s.tag").alias("a_tag"), F.struct("s.at", "s.upto").alias("span")), "heads")
+    later = holders.where("doc_id > first").select("h", "first", "doc_id", "tag")
+    pairs = stored(later.join(F.broadcast(heads) if few else heads, "h").groupBy("first", "a_tag", "doc_id", "tag").agg(F.array_sort(F.collect_set("span")).alias("spans")), "pairs")
+
+    ids = stored(pairs.select(F.col("first").alias("id"), F.col("a_tag").alias("id_tag")).union(pairs.select("doc_id", "tag")).distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sides = stored(marked_lines(docs).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("tag") == F.col("id_tag")), "left_semi").dropDuplicates(["doc_id", "tag"]), "sides")
+
+    left = sides.select(F.col("doc_id").alias("first"), F.col("tag").alias("a_tag"), "hs", "ws")
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["upto"])))))
+    lines = pairs.join(left, ["first", "a_tag"]).select("doc_id", "tag", "hs", "ws", places.alias("at"))
+    lines = lines.select("doc_id", "tag", F.struct("at", F.transform("at", lambda k: F.get("hs", k)).alias("hs"), F.transform("at", lambda k: F.get("ws", k)).alias("ws")).alias("earlier"))
+    joined = lines.groupBy("doc_id", "tag").agg(F.collect_list("earlier").alias("earlier")).join(sides, ["doc_id", "tag"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = [], []
-            for b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = common(*([(x["at"], x["h"], x["words"]) for x in side] for side in (left, right)), min_words)
-                gone = [x["pos"] for x in right if x["at"] in found]
-                ids.extend([b] * len(gone))
-                places.extend(gone)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["doc_id", "pos"])
+            places = []
+            for earlier, pos, hs, ws in zip(batch.column(2), *(_slices(batch.column(k)) for k in (3, 4, 5))):
+                where: dict[int, list[int]] = {}
+                for k, h in enumerate(hs):
+                    where.setdefault(h, []).append(k)
+                found: set[int] = set()
+                for side in earlier.as_py():
+                    mine = sorted(k for h in set(side["hs"]) for k in where.get(h, ()))
+                    found |= common(list(zip(side["at"], side["hs"], side["ws"])), [(k, hs[k], ws[k]) for k in mine], min_words)
+                places.append([pos[k] for k in sorted(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "tag", "gone"])
 
-    gone = joined.select("b", "left", "right").mapInArrow(align, "doc_id long, pos int")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return joined.select("doc_id", "tag", "earlier", "pos", "hs", "ws").mapInArrow(align, "doc_id long, tag long, gone array<int>").where(F.size("gone") > 0)
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, with aligned common blocks deleted from the later document of each pair.
 
     All columns and rows are kept; ``n_chars`` (if there) is that of what is left, and ``lines_removed`` is added
     (an input column of that name is replaced). Null texts stay null, rows with a null doc_id stay as they are,
-    blank lines never count and stay, ties cannot occur between different doc_ids; rows that repeat a doc_id are one
-    document to the alignment, and each loses the same lines. An empty table gives an empty one.
+    blank lines never count and stay, ties cannot occur between different doc_ids. Rows that repeat a doc_id are
+    judged text by text against documents of smaller ids, never against one another. Texts may be of any length.
+    An empty table gives an empty one.
     """
-    gone = stored(doomed_lines(docs, min_words=min_words, rare=rare), "doomed")
+    gone = stored(doomed_lines(docs, min_words=min_words), "doomed")
     keep = [c for c in docs.columns if c.lower() != "lines_removed"]
     lines = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
-    gone = gone.select(F.col("doc_id").alias(DEDUP_ID), F.col("gone").alias(DEDUP_GONE))
-    marked = docs.select(*keep).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, F.col("doc_id") == F.col(DEDUP_ID), "left")
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, k: ~F.array_contains(F.col(DEDUP_GONE), k)), "\n")
+    gone = gone.select(F.col("doc_id").alias(DEDUP_ID), F.col("tag").alias(DEDUP_TAG), F.col("gone").alias(DEDUP_GONE))
+    mine = (F.col("doc_id") == F.col(DEDUP_ID)) & (F.xxhash64("text") == F.col(DEDUP_TAG))
+    marked = docs.select(*keep).join(F.broadcast(gone) if lines <= BROADCAST_LINES else gone, mine, "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col(DEDUP_GONE))
+    left = F.transform(F.array(F.struct(_lines(F.col("text")).alias("x"), kept.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda k: F.get(s["x"], k)), "\n"))[0]
     text = F.when(F.col(DEDUP_GONE).isNull(), F.col("text")).otherwise(left)
     out = marked.select(*(text.alias(c) if c == "text" else F.col(c) for c in keep), F.coalesce(F.size(DEDUP_GONE), F.lit(0)).cast("long").alias("lines_removed"))
     if "n_chars" in keep:

@@ -359,7 +359,7 @@ def test_line_dedup_keeps_the_first(spark, odd, none):
 
 def test_frequent_lines_leave_all_later_documents(spark):
     docs = make(spark, [(k, f"own {k}\n{LONG}") for k in range(60)])
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, rare=4).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {0: f"own 0\n{LONG}"} | {k: f"own {k}" for k in range(1, 60)}
 
 
@@ -381,7 +381,7 @@ def test_line_dedup_equals_all_pairs(spark):
     """Blocks whose lines have other first holders, repeated lines, swapped passages: against every earlier document."""
     rng = random.Random(11)
     texts = ["\n".join("\n" * (rng.random() < 0.1) + f"w{rng.randrange(9)} " * rng.choice([2, 5, 5, 9, 20]) for _ in range(rng.randrange(14))) for _ in range(150)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, list(enumerate(texts))), rare=2).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(spark, list(enumerate(texts)))).collect()}
     full = [[(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
     seen = set()
     for doc, rows in enumerate(full):
@@ -400,6 +400,25 @@ def test_line_dedup_of_repeated_and_double_spaced_passages(spark):
     assert got == {1: f"{passage} middle {passage}".split(), 2: ["own", "end"], 3: ["three"], 4: [], 5: ["five"]}
 
 
+def test_line_dedup_of_long_texts_and_repeated_ids(spark):
+    """A document of 30,000 short lines twice, one of them with the halves swapped; two texts of one id."""
+    many = [f"line {k} of it" for k in range(30_000)]
+    swapped = many[15_000:] + many[:15_000]
+    docs = make(spark, [(1, "\n".join(many)), (2, "\n".join(["new", *swapped])), (3, f"{LONG}\na"), (4, f"{LONG}\nb"), (4, f"c\n{LONG}\nd"), (4, "other")])
+    got = collections.defaultdict(set)
+    for r in line_dedup.dedup_lines(docs).collect():
+        got[r.doc_id].add(r.text)
+    assert got[2] == {"new"} and got[1] == {"\n".join(many)} and got[4] == {"b", "c\nd", "other"} and got[3] == {f"{LONG}\na"}
+
+
+def test_line_dedup_of_lines_in_twenty_other_documents(spark):
+    """A block of three lines, each of which also stands in 20 other documents without the others."""
+    block = [LONG[:24], LONG[25:70], LONG[71:]]
+    rows = [(3 * k + j, f"{line}\nown {k}") for k in range(20) for j, line in enumerate(block)] + [(k, "\n".join([f"x{k}", *block])) for k in (100, 101)]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(make(spark, rows)).where("doc_id >= 100").collect()}
+    assert got == {100: 0, 101: 3}
+
+
 # neighbours
 
 def test_neighbours_recall_and_odd_vectors(spark):
