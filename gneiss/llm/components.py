@@ -14,7 +14,8 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     Alternating star contraction: every node hands its larger neighbours, then itself and its smaller neighbours,
     to its smallest neighbour, until every edge points at a component's smallest node; as many rounds as the
     logarithm of the longest chain. Minima combine on the map side, and the join that hands them on can be split,
-    so a node with a third of all links is no hot spot. Tables are written between rounds.
+    so a node with a third of all links is no hot spot. Tables are written between rounds. Links with a null end
+    count for nothing. Raises if ``rounds`` don't suffice.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -29,4 +30,6 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())

@@ -3,8 +3,10 @@
 Two sets whose Jaccard similarity reaches t overlap in at least ``need`` shingles, so under one order of all
 shingles their first ``n - need + k`` ones share k. Shingles that many documents hold go last in the order. While
 enough rare ones come first, a single shared shingle (k = 1) retrieves a pair. For documents made of frequent
-shingles the prefix is extended (k = 2): what they share there is a rare shingle or a pair of frequent ones, and
-both are indexed. All candidates are verified on whole sets.
+shingles the prefix is extended until similar ones share a number of shingles there that grows with their size: one of
+these is rare, or two of them stand close together in both orders, so rare shingles and combinations (k = 2) of close
+frequent ones are indexed, as many as a document has shingles times a constant. All candidates are verified on whole
+sets.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
@@ -23,6 +25,8 @@ from gneiss.plans.storage import release, remove, scratch_path, stored
 FREQUENT = 32
 #: The table of frequent shingles goes to every task; while it would have more rows, the bound above is doubled.
 FREQUENT_ROWS = 1_000_000
+#: Longs of the parity sketch that bounds how much two sets differ.
+SKETCH = 8
 #: Up to so many ids (64 MB) are broadcast to pick texts.
 BROADCAST_IDS = 4_000_000
 
@@ -71,18 +75,21 @@ def _rare_prefix(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
                 offsets.append(offsets[-1] + len(mine))
                 complete.append(len(mine) < need)
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), prefix, pa.array(complete, pa.bool_())], names=["node", "n", "prefix", "complete"])
+            rest = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), prefix, pa.array(complete, pa.bool_()), *rest], names=["node", "n", "prefix", "complete", *keep])
 
-    return rows.select("node", "n", "tokens").mapInArrow(run, "node long, n int, prefix array<bigint>, complete boolean")
+    keep = [c for c in ("h", "h2") if c in rows.columns]
+    return rows.select("node", "n", "tokens", *keep).mapInArrow(run, ", ".join(["node long, n int, prefix array<bigint>, complete boolean", *(f"{c} long" for c in keep)]))
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, h, n, set) of the documents whose id is in ``ids`` (column ``node``), from their texts. Few ids are
-    broadcast, so that the other texts stay where they are; more than ``BROADCAST_IDS`` are joined by an exchange."""
+    """(node, n, set) of the documents in ``ids`` (columns ``node``, ``node_h``), from the texts that have this hash.
+    Few ids are broadcast, so that the other texts stay where they are; more than ``BROADCAST_IDS`` are joined by an
+    exchange."""
     few = ids.count() <= BROADCAST_IDS
-    wanted = ids.select(F.col("node").alias("wanted"))
-    some = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    return _sets(some, size).withColumnRenamed("doc_id", "node")
+    some = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("node")).where("doc_id is not null")
+    sets = some.select("node", "node_h", shingle_set(F.col("text"), size).alias("set"))
+    return sets.where(F.xxhash64("set") == F.col("node_h")).select("node", F.size("set").alias("n"), "set")
 
 
 def _least(percent: int) -> int:
@@ -92,7 +99,7 @@ def _least(percent: int) -> int:
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     sets = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), shingle_set(F.col("text"), size).alias("set"))
-    return sets.select("doc_id", F.size("set").alias("n"), F.xxhash64("set").alias("h"), "set")
+    return sets.select("doc_id", F.size("set").alias("n"), F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("h2"), "set")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -101,23 +108,41 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
+def _extent(n: Column, level: Column, percent: int) -> tuple[Column, Column, Column]:
+    """Of a set of ``n`` shingles on a level: what similar sets share in their prefixes, the prefix's length, and how
+    far apart two of these may be.
+
+    Two similar sets share the c first of their common shingles in prefixes of ``n - ceil(t n) + c``. Their gaps in both
+    prefixes sum up to less than both lengths, so two that follow one another have gaps that sum up to at most
+    (both lengths - 2) / (c - 1).
+    """
+    c = F.greatest(F.lit(2), F.ceil(F.pow(F.lit(2.0), level) * (100 - percent) / F.lit(100) - 1e-9)).cast("int")
+    length = F.least(n, n - F.ceil(n * percent / F.lit(100) - 1e-9) + c).cast("int")
+    other = F.floor(n * (100 - percent) / F.lit(percent) + 1e-9) + c
+    return c, length, F.greatest(F.lit(1), F.floor((length + other - 2) / (c - 1) + 1e-9) - 1).cast("int")
+
+
 def _stubborn_index(whole: DataFrame, percent: int) -> DataFrame:
     """Rows (key, node, n, reach) among documents made of frequent shingles, from their whole sets.
 
-    Counts are taken anew among these documents; prefixes are extended by one, so two similar ones share two
-    shingles there: a rare one, which is a key, or two frequent ones, whose combination is.
+    Counts are taken anew among these documents. A document is on the level of its size's power of two and on that of
+    the largest size which can be similar to it; similar ones meet on the larger one's level. There they share a rare
+    shingle, which is a key, or two frequent ones close together, whose combination is.
     """
     tokens = whole.select("node", "n", F.explode("set").alias("t"))
     counts = tokens.groupBy("t").agg((F.count(F.lit(1)) > FREQUENT).alias("hot"))
-    extent = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 2).cast("int")
+    low, high = F.floor(F.log2(F.col("n"))), F.floor(F.log2(F.col("n") * F.lit(100) / F.lit(percent) + 1e-9))
+    extent = _extent(F.col("n"), high, percent)[1]
     ordered = stored(tokens.join(counts, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("hot", "t"))).alias("order"))
                      .select("node", "n", F.slice("order", F.lit(1), extent).alias("order")), "orders")
     placed = ordered.select("node", "n", F.posexplode("order").alias("pos", "x")).select("node", "n", "pos", "x.hot", "x.t")
-    rare = placed.where("not hot").select(F.col("t").alias("key"), "node", "n", (F.col("n") - F.col("pos") + 1).alias("reach"))
-    hot = ordered.select("node", "n", F.filter(F.transform("order", lambda x, k: F.struct(k.alias("pos"), x["hot"].alias("hot"), x["t"].alias("t"))), lambda x: x["hot"]).alias("hots"))
-    pairs = hot.select("node", "n", "hots", F.explode("hots").alias("second")).select(
-        "node", "n", "second", F.explode(F.filter("hots", lambda x: x["pos"] < F.col("second")["pos"])).alias("one"))
-    combined = pairs.select(F.xxhash64(F.col("one.t"), F.col("second.t")).alias("key"), "node", "n", (F.col("n") - F.col("second.pos") + 1).alias("reach"))
+    rare = placed.where("not hot").select(F.col("t").alias("key"), "node", "n", (F.col("n") - F.col("pos")).alias("reach"))
+    levels = ordered.select("node", "n", F.explode(F.array_distinct(F.array(low, high))).alias("level"), "order")
+    _, length, gap = _extent(F.col("n"), F.col("level"), percent)
+    hot = levels.select("node", "n", "level", gap.alias("gap"), F.transform(F.filter(F.slice("order", F.lit(1), length), lambda x: x["hot"]), lambda x: x["t"]).alias("hots"))
+    pairs = hot.select("node", "n", "level", "gap", "hots", F.posexplode("hots").alias("k", "one")).select(
+        "node", "n", "level", "one", F.explode(F.slice("hots", F.col("k") + 2, F.col("gap"))).alias("second"))
+    combined = pairs.select(F.xxhash64("level", "one", "second").alias("key"), "node", "n", F.col("n").alias("reach"))
     return _several(rare.union(combined))
 
 
@@ -126,9 +151,8 @@ def _index(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     ``reach`` the overlap that their sizes need: it is the size less what stands before the key in the order."""
     rows = prefixes.select("node", "n", "stubborn", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("reach"), "stubborn")
     plain = rows.where("not stubborn").drop("stubborn")
-    # A rare shingle stands in few prefixes, so its nodes fit in one row.
-    together = plain.repartition("key").groupBy("key").agg(F.collect_list(F.struct("node", "n", "reach")).alias("nodes")).where(F.size("nodes") > 1)
-    among = together.select("key", F.explode("nodes").alias("x")).select("key", "x.*")
+    of_key = Window.partitionBy("key")
+    among = plain.withColumn("x", F.min("node").over(of_key)).withColumn("y", F.max("node").over(of_key)).where("x <> y").drop("x", "y")
     # Stubborn documents' rare shingles meet plain documents' here; each other's are in their own index.
     others = rows.where("stubborn").drop("stubborn")
     met = plain.join(others.select("key").distinct(), "key")
@@ -157,37 +181,77 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     return joined.where(seen - 2 * both <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, hashes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their whole sets."""
     plausible = stored(_plausible(pairs, prefixes, percent), "plausible")
-    ids = stored(plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    ids = stored(plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(hashes, "node"), "ids")
     sets = stored(_whole_sets(docs, ids, size).select("node", "set"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     joined = plausible.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def parity_sketches(sets: DataFrame) -> DataFrame:
+    """(node, sketch): for 64 * ``SKETCH`` buckets of shingle hashes, whether a set has an odd number in each.
+
+    Sketches of two sets differ in at most as many bits as the sets in shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column("set").flatten().to_numpy(zero_copy_only=False), batch.column("set").offsets.to_numpy()
+            place = ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % (64 * SKETCH)
+            rows = [np.packbits((np.bincount(place[a:b], minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64) for a, b in zip(ends - ends[0], ends[1:] - ends[0])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([list(r) for r in rows], pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, sketch array<bigint>")
+
+
+def _rest(index: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, hashes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of nodes that share a key, are still in different components and differ in few enough bits of their
+    sketches; None if all nodes of each key are linked. Only such pairs leave the join of a key's rows."""
+    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_rows = stored(labelled.join(mixed, "key"), "open")
+    ids = stored(open_rows.select("node").distinct().join(hashes, "node"), "open-ids")
+    if ids.isEmpty():
+        return None
+    sketches = stored(parity_sketches(_whole_sets(docs, ids, size)).dropDuplicates(["node"]).select("node", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH))), "parities")
+    rows = stored(open_rows.join(sketches, "node"), "open-rows")
+    left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)), F.lit(0))
+    near = differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)
+    meet = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent) & near
+    return stored(left.join(right, meet).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+
+
 def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``n_copies`` of every row of ``docs``.
 
     Documents link when their shingle sets' Jaccard similarity is at least ``percent`` / 100; ``component_id`` is
     the smallest doc_id that links reach. Null and empty texts (and those of white space) have an empty set and are
-    alone. A null doc_id gives a null component. Rows that repeat a doc_id are one document. ``n_copies`` is the
-    number of rows with the same set. An empty table gives an empty one; other columns are left out.
+    alone. A null doc_id gives a null component. Rows that repeat a doc_id are one document; if their texts differ, the
+    one with the least set (by size, then hash) stands for all. ``n_copies`` is the number of rows with the same set.
+    An empty table gives an empty one; other columns are left out.
 
     Plan: equal sets are folded into their smallest doc_id by a map-side combined minimum, so a group of copies is
-    one node. Each index key links its nodes to a leader first; components are contracted; only then do nodes of
-    one key that are still in different components meet each other, and only if their positions allow a link.
-    So a group of near copies costs links to its leader, not all pairs.
+    one node; sets are equal if size and 128 bits of hash are. Each index key links its nodes to a leader first;
+    components are contracted; only then do nodes of one key that are still in different components meet, and only
+    pairs whose positions and parity sketches allow a link leave that join. So a group of near copies costs links
+    to its leader, not all pairs.
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
     sketch = F.slice("set", F.lit(1), (2 * (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9)) + 8).cast("int"))
     spark, sketches, firsts = docs.sparkSession, scratch_path(docs.sparkSession, "sketches"), scratch_path(docs.sparkSession, "first-prefixes")
-    _sets(docs, size).select("doc_id", "n", "h", sketch.alias("tokens")).write.parquet(sketches)
+    _sets(docs, size).select("doc_id", "n", "h", "h2", sketch.alias("tokens")).write.parquet(sketches)
     sketched = spark.read.parquet(sketches)
-    scanned = stored(sketched.select("doc_id", "n", "h"), "documents")
-    nodes = stored(scanned.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes")
-    big = nodes.where(F.col("n") >= least).select("node", F.col("h").alias("node_h"))
+    scanned, identity = sketched.select("doc_id", F.struct("n", "h", "h2").alias("own")), F.struct("n", "h", "h2")
+    several = stored(sketched.groupBy("doc_id").agg(F.min(identity).alias("least"), F.max(identity).alias("most")).where("least <> most").select("doc_id", "least"), "several")
+    if not several.isEmpty():
+        scanned = scanned.join(several, "doc_id", "left").select("doc_id", F.coalesce("least", "own").alias("own"))
+    scanned = stored(scanned.select("doc_id", "own.n", "own.h", "own.h2"), "documents")
+    nodes = stored(scanned.where("n > 0").groupBy("h", "h2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies")), "nodes")
+    hashes = nodes.where(F.col("n") >= least).select("node", F.col("h").alias("node_h"))
 
     counts = sketched.where(F.col("n") >= least).select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > FREQUENT)
     counts, bound = stored(counts, "frequent"), FREQUENT
@@ -198,12 +262,14 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
 
     # Only nodes' sketches go on; prefixes alone are joined and what they were made from is deleted.
     rare = _rare_prefix(sketched.where(F.col("n") >= least).withColumnRenamed("doc_id", "node"), frequent, percent)
-    first = rare.withColumn("stubborn", F.col("complete")).join(nodes.select("node", F.col("n").alias("size")), "node")
-    first.where("n = size").drop("size").dropDuplicates(["node"]).write.parquet(firsts)
+    own = nodes.select("node", F.col("n").alias("own_n"), F.col("h").alias("own_h"), F.col("h2").alias("own_h2"))
+    first = rare.withColumn("stubborn", F.col("complete")).join(own, "node").where("n = own_n and h = own_h and h2 = own_h2")
+    first.drop("own_n", "own_h", "own_h2", "h", "h2").dropDuplicates(["node"]).write.parquet(firsts)
     remove(spark, sketches)
     release(spark)
     first = spark.read.parquet(firsts)
-    whole = stored(_whole_sets(docs, first.where("stubborn").select("node"), size).join(big, "node").where("h = node_h").select("node", "n", "set"), "stubborn")
+    stubborn = stored(first.where("stubborn").select("node").join(hashes, "node"), "stubborn-ids")
+    whole = stored(_whole_sets(docs, stubborn, size).dropDuplicates(["node"]), "stubborn")
     again = _rare_prefix(whole.withColumnRenamed("set", "tokens"), frequent, percent)
     prefixes = stored(first.where("not stubborn").unionByName(again.withColumn("stubborn", F.lit(True))), "prefixes")
     remove(spark, firsts)
@@ -216,20 +282,17 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     star = (index.join(leaders, "key").select("a", "na", "ra", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
             .where("a <> b").where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     tried = stored(star, "tried")
-    links = stored(_verified(tried, prefixes, docs, size, percent), "links")
+    links = stored(_verified(tried, prefixes, docs, hashes, size, percent), "links")
     labels = stored(connected_components(links), "labels")
 
-    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_rows = stored(labelled.join(mixed, "key"), "open")
-    left = open_rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("label").alias("la"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("label").alias("lb"))
-    rest = left.join(right, "key").where("a < b and la <> lb").where(_possible(percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(rest, "rest"), prefixes, docs, size, percent), "more")
-    final = stored(connected_components(links.union(more)), "components")
-
-    known = nodes.join(final, "node", "left").select("h", F.col("n").alias("size"), F.coalesce("label", "node").alias("label"), "n_copies")
-    rows = scanned.select("doc_id", "n", "h").join(known, (scanned.h == known.h) & (F.col("n") == F.col("size")), "left")
+    rest = _rest(index, labels, tried, docs, hashes, size, percent)
+    final = labels
+    if rest is not None and not rest.isEmpty():
+        more = stored(_verified(rest, prefixes, docs, hashes, size, percent), "more")
+        final = stored(connected_components(links.union(more)), "components")
+
+    known = nodes.join(final, "node", "left").select("h", "h2", "n", F.coalesce("label", "node").alias("label"), "n_copies")
+    rows = scanned.join(known, ["h", "h2", "n"], "left")
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
     lost = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.size(shingle_set(F.col("text"), size)).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     return out.union(lost)

@@ -170,6 +170,75 @@ def test_components_equal_brute_force(spark, monkeypatch, size, percent, frequen
     assert got == brute_components(rows, size, percent)
 
 
+def test_components_of_long_sets_of_frequent_shingles(spark, monkeypatch):
+    """Sizes on both sides of powers of two, similarities around the threshold, nothing but frequent shingles."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    rng = random.Random(21)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (128, 250, 262, 520)]
+    texts = []
+    for base in bases:
+        for _ in range(24):
+            cut = rng.randrange(0, max(1, len(base) // 9))
+            t = base[cut:] if rng.random() < 0.5 else base[: len(base) - cut]
+            if rng.random() < 0.4:
+                t[rng.randrange(len(t))] = "x"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    for size, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(make(spark, rows), size=size, percent=percent).collect()}
+        assert got == brute_components(rows, size, percent)
+
+
+def test_index_of_frequent_shingles_grows_with_the_length(spark):
+    made = []
+    for n in (1000, 2000, 4000):
+        whole = spark.createDataFrame([(k, n, list(range(n))) for k in range(40)], "node long, n int, `set` array<bigint>")
+        made.append(ngram_join._stubborn_index(whole, 90).count())
+    assert made[0] < 40 * 5 * 1000 and made[1] < 2.3 * made[0] and made[2] < 2.3 * made[1]
+
+
+def test_pairs_of_a_family_below_the_threshold(spark, monkeypatch):
+    """Documents that each change 3 of the same 200 words: rows written between the steps grow with their number."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    sizes = {}
+    real = ngram_join.stored
+    for m in (100, 200, 400):
+        rows = []
+        for doc in range(m):
+            t = list(base)
+            for k in rng.sample(range(200), 3):
+                t[k] = f"c{doc}.{k}"
+            rows.append((doc, " ".join(t)))
+        counts = sizes[m] = collections.Counter()
+
+        def counted(df, name, counts=counts):
+            out = real(df, name)
+            counts[name] += out.count()
+            return out
+
+        monkeypatch.setattr(ngram_join, "stored", counted)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(make(spark, rows)).collect()}
+        if m == 100:
+            assert got == brute_components(rows, 3, 90)
+    for name in ("index", "tried", "open", "rest"):
+        assert sizes[400][name] <= 6 * max(sizes[100][name], 100), (name, sizes)
+
+
+def test_components_of_one_id_with_several_texts(spark):
+    docs = make(spark, [(1, LONG + " a"), (2, LONG + " b"), (2, "short one"), (3, "short one"), (4, LONG + " b")])
+    got = collections.defaultdict(set)
+    for r in ngram_join.jaccard_components(docs).collect():
+        got[r.doc_id].add((r.n_shingles, r.component_id))
+    n = len(LONG.split()) - 1
+    assert got == {1: {(n, 1)}, 2: {(1, 2)}, 3: {(1, 2)}, 4: {(n, 1)}}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"), rounds=2)
+
+
 def test_components_of_odd_rows(odd, none):
     rows = ngram_join.jaccard_components(odd).collect()
     assert len(rows) == 10
