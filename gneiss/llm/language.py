@@ -2,11 +2,14 @@
 
 Every word of a text gets a language; affix, n-gram and lexicon features score words, learned transitions score
 neighbours, and forward-backward gives each word's distribution. A document's language is the one with the
-largest mean probability over its words, so code-switched text is judged by what it mostly is.
+largest mean probability over its words, so code-switched text is judged by what it mostly is. Features are hashed to
+a table of weights; words are scored many at a time. Labels are known by text only, so transitions are learned from
+sequences that are put together from spans of differently labelled texts: the switching is simulated.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +24,25 @@ LONGEST = 40
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+#: Longer texts go through forward-backward in segments of so many words.
+SEGMENT = 50_000
+#: Texts are split into words by so many characters at a time.
+PIECE = 1 << 20
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)  # mixing constants
+_WHITE = re.compile(r"\s")
+
+
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of the fit. ``documents`` bounds the labelled sample that the driver collects."""
+    """Bounds and settings of the fit: at most ``documents`` labelled texts, of each at most ``spans`` spans of ``span``
+    words and ``span_chars`` characters, go to the driver. ``bits``: of the table of weights."""
 
     documents: int = 1500
-    least_count: int = 3
-    features: int = 60_000
+    spans: int = 8
     span: int = 64
+    span_chars: int = 4_096
+    least_count: int = 3
+    bits: int = 18
     batch: int = 192
     steps: int = 120
     rate: float = 0.3
@@ -52,64 +66,122 @@ def chunks(piece: str) -> list[str]:
     return [w for k in range(0, len(word), LONGEST) if (w := letters(word[k : k + LONGEST]))]
 
 
-def word_features(word: str) -> list[str]:
-    """Lexicon entry, prefixes, suffixes and 3-grams of one word."""
-    n, marked = len(word), f"^{word}$"
-    out = ["w" + word]
-    out += ["p" + word[:k] for k in range(1, min(3, n) + 1)]
-    out += ["s" + word[-k:] for k in range(1, min(3, n) + 1)]
-    out += ["n" + marked[k : k + 3] for k in range(n)]
-    return out
+def _mixed(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * np.uint64(_ODD[0])
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(_ODD[1])) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def features(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words (not empty, at most ``LONGEST`` letters) as (row of the table, word it belongs to):
+    lexicon entry, prefixes and suffixes of 1 to 4 letters, 2-grams and 3-grams with the word's ends."""
+    codes = np.frombuffer("".join(["\x02" + w + "\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 2)
+    first, last = ends - sizes - 1, ends - 2  # of each word's letters
+    owner = np.repeat(np.arange(len(words)), sizes + 2)
+    odd = [np.uint64(x) for x in _ODD]
+    power = np.cumprod(np.full(LONGEST + 3, odd[2]))
+    place = np.arange(len(codes)) - np.repeat(first - 1, sizes + 2)
+    rows = [_mixed(np.add.reduceat(codes * power[np.minimum(place, LONGEST + 2)], first - 1), 1, bits)]
+    owners = [np.arange(len(words))]
+    head, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for k in range(4):
+        has = np.flatnonzero(sizes > k)
+        head[has] = head[has] * odd[3] + codes[first[has] + k]
+        tail[has] = tail[has] * odd[3] + codes[last[has] - k]
+        rows += [_mixed(head[has], 2 + k, bits), _mixed(tail[has], 6 + k, bits)]
+        owners += [has, has]
+    two = codes[:-1] * odd[2] + codes[1:]
+    same = owner[:-1] == owner[1:]
+    rows.append(_mixed(two[same], 10, bits))
+    owners.append(owner[:-1][same])
+    same = owner[:-2] == owner[2:]
+    rows.append(_mixed((two[:-1] * odd[2] + codes[2:])[same], 11, bits))
+    owners.append(owner[:-2][same])
+    return np.concatenate(rows), np.concatenate(owners)
+
+
+class Rows(dict):
+    """The table row of each piece between white space; a piece that is new gets the next one and waits to be scored.
+
+    Pieces without a letter are row 0. A piece of more than ``LONGEST`` letters is several words; it gets a negative
+    number, ``parts[-number]`` has their rows.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[str] = []
+        self.parts: list[list[int]] = [[]]
+        self.used = 0
+
+    def __missing__(self, piece: str) -> int:
+        if len(piece) > LONGEST:
+            self.parts.append([self[w] for w in chunks(piece)])
+            row = 1 - len(self.parts)
+        elif word := piece.lower() if piece.isalpha() else letters(piece):
+            if len(word) > LONGEST:  # lower case may be longer
+                word = word[:LONGEST]
+            self.used += 1
+            row = self.used
+            self.waiting.append(word)
+        else:
+            row = 0
+        if len(piece) <= LONGEST:
+            self[piece] = row
+        return row
 
 
 @dataclass
 class Model:
-    """Weights by feature (a row for each), transitions and starts by language, all as log scores."""
+    """Weights by hashed feature (a row for each), transitions by language, as log scores."""
 
     languages: list[str]
-    index: dict[str, int]
     weights: np.ndarray
     transitions: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
+    cache: Rows = field(default_factory=Rows)
     table: np.ndarray | None = None
 
-    #: Words whose scores a worker keeps; between texts it starts anew beyond this many.
+    #: Pieces whose scores a worker keeps; between texts it starts anew beyond this many.
     CACHED = 300_000
 
-    def scores(self, word: str) -> np.ndarray:
-        rows = [r for f in word_features(word) if (r := self.index.get(f)) is not None]
-        return self.weights[rows].sum(0) if rows else np.zeros(len(self.languages), np.float32)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log scores (word, language)."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        bits = len(self.weights).bit_length() - 1
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            rows, owners = features(part, bits)
+            for k in range(len(self.languages)):
+                out[a : a + len(part), k] = np.bincount(owners, self.weights[rows, k], len(part))
+        return out
 
     def rows(self, text: str) -> np.ndarray:
-        """A row of ``table`` for each piece between white space that holds a letter (or chunk of it); row 0 is for padding."""
-        cache, out = self.cache, []
-        for piece in text.split():
-            if len(piece) > LONGEST:
-                out.extend(self._row(w) for w in chunks(piece))
-                continue
-            row = cache.get(piece)
-            if row is None:
-                row = cache[piece] = self._row(letters(piece))
-            out.append(row)
-        found = np.array(out, np.int64)
-        return found[found > 0]
-
-    def _row(self, word: str) -> int:
-        if not word:
-            return 0
+        """The row of each word of a text."""
+        found, cache, at = [], self.cache, 0
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):
+                end = m.end() if (m := _WHITE.search(text, end)) else len(text)
+            rows = list(map(cache.__getitem__, text[at:end].split()))
+            if len(cache.parts) > 1 and rows and min(rows) < 0:
+                rows = [r for k in rows for r in (cache.parts[-k] if k < 0 else (k,))]
+            found.append(np.array(rows, np.int64))
+            at = end
+        out = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return out[out > 0]
+
+    def settle(self) -> np.ndarray:
+        """Score what is waiting; the table of all rows (row 0 is for padding)."""
         if self.table is None:
-            self.table, self.used = np.zeros((1 << 16, len(self.languages)), np.float32), 0
-        if (row := self.cache.get("\0" + word)) is None:
-            self.used += 1
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            row, self.table[self.used] = self.used, self.scores(word)
-            self.cache["\0" + word] = row
-        return row
+            self.table = np.zeros((1, len(self.languages)), np.float32)
+        if self.cache.waiting:
+            self.table = np.concatenate([self.table, self.scores(self.cache.waiting)])
+            self.cache.waiting = []
+        return self.table
 
     def forget(self) -> None:
-        self.cache.clear()
-        self.table = None
+        self.cache, self.table = Rows(), None
 
 
 def posteriors(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -141,6 +213,40 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarr
     return np.divide(alpha, total, out=alpha, where=total > 0)
 
 
+def segmented_means(table: np.ndarray, rows: np.ndarray, transitions: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Mean probabilities over one long text's words, exact, in memory for one segment: the forward pass keeps its
+    message at each segment's begin, the backward pass goes through each segment's forward messages again."""
+    move = np.exp(transitions - transitions.max()).astype(np.float64)
+
+    def local(a: int) -> np.ndarray:
+        scores = table[rows[a : a + segment]].astype(np.float64)
+        return np.exp(scores - scores.max(1, keepdims=True))
+
+    def forward(state: np.ndarray | None, part: np.ndarray) -> np.ndarray:
+        out = np.empty_like(part)
+        for t, x in enumerate(part):
+            state = x if state is None else (state @ move) * x
+            state = state / state.sum()
+            out[t] = state
+        return out
+
+    starts, kept, state = list(range(0, len(rows), segment)), [], None
+    for a in starts:
+        kept.append(state)
+        state = forward(state, local(a))[-1]
+    beta, total = np.ones(len(move)), np.zeros(len(move))
+    for a, state in zip(reversed(starts), reversed(kept)):
+        part = local(a)
+        alpha, betas = forward(state, part), np.empty_like(part)
+        for t in range(len(part) - 1, -1, -1):
+            betas[t] = beta
+            beta = move @ (part[t] * beta)
+            beta = beta / beta.sum()
+        gamma = alpha * betas
+        total += (gamma / gamma.sum(1, keepdims=True)).sum(0)
+    return total / len(rows)
+
+
 def fit(texts: list[str], labels: list[str], settings: Training = Training()) -> Model | None:
     """Learn weights and transitions by gradient ascent on the likelihood of code-switched word sequences.
 
@@ -161,16 +267,13 @@ def fit(texts: list[str], labels: list[str], settings: Training = Training()) ->
     if not keep:
         return None
     languages, by_language = [languages[k] for k in keep], [by_language[k] for k in keep]
-    features: dict[str, int] = {}
-    for w, c in counts.items():
-        for f in word_features(w):
-            features[f] = features.get(f, 0) + c
-    chosen = sorted((f for f, c in features.items() if c >= settings.least_count), key=lambda f: (-features[f], f))[: settings.features]
-    model = Model(languages, {f: k for k, f in enumerate(chosen)}, np.zeros((len(chosen), len(languages)), np.float32), np.zeros((len(languages), len(languages)), np.float32))
-    n = len(languages)
+    n, buckets = len(languages), 1 << settings.bits
+    model = Model(languages, np.zeros((buckets, n), np.float32), np.zeros((n, n), np.float32))
     if n == 1:
         return model
-    rows_of: dict[str, np.ndarray] = {}
+    known = sorted(counts)
+    rows, owner = features(known, settings.bits)
+    often = np.bincount(rows, np.array([counts[w] for w in known], float)[owner], buckets) >= settings.least_count
     squares, squares_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)
     for _ in range(settings.steps):
         words, gold = [], np.zeros((settings.span, settings.batch), np.int64)
@@ -185,14 +288,8 @@ def fit(texts: list[str], labels: list[str], settings: Training = Training()) ->
                 sequence += doc[begin : begin + size]
             words.append(sequence)
         flat = [w for t in zip(*words) for w in t]
-        lists = []
-        for w in flat:
-            if (r := rows_of.get(w)) is None:
-                r = rows_of[w] = np.array([x for f in word_features(w) if (x := model.index.get(f)) is not None] or [0], np.int64)
-            lists.append(r)
-        sizes = np.array([len(r) for r in lists])
-        rows, owner = np.concatenate(lists), np.repeat(np.arange(len(flat)), sizes)
-        emissions = np.add.reduceat(model.weights[rows], np.cumsum(sizes) - sizes).reshape(settings.span, settings.batch, n)
+        rows, owner = features(flat, settings.bits)
+        emissions = np.stack([np.bincount(owner, model.weights[rows, k], len(flat)) for k in range(n)], 1).reshape(settings.span, settings.batch, n)
         local = np.exp(emissions - emissions.max(2, keepdims=True))
         move = np.exp(model.transitions)
         gamma = posteriors(emissions, np.full(settings.batch, settings.span), model.transitions)
@@ -207,7 +304,7 @@ def fit(texts: list[str], labels: list[str], settings: Training = Training()) ->
         seen = np.zeros((n, n))
         np.add.at(seen, (gold[:-1].ravel(), gold[1:].ravel()), 1)
         residual = (np.eye(n)[gold] - gamma).reshape(-1, n).astype(np.float32) / settings.batch
-        gradient = np.stack([np.bincount(rows, residual[owner, k], len(chosen)) for k in range(n)], 1) - settings.decay * model.weights
+        gradient = np.stack([np.bincount(rows, residual[owner, k], buckets) * often for k in range(n)], 1) - settings.decay * model.weights
         squares += gradient**2
         model.weights += (settings.rate * gradient / np.sqrt(squares)).astype(np.float32)
         gradient_t = (seen - expected) / settings.batch
@@ -221,18 +318,31 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _spans(settings: Training) -> F.Column:
+    """Spans of a text's words, one from each of equal parts, as many as it has spans; short texts go whole."""
+    words, n = F.split("text", r"\s+"), F.size(F.split("text", r"\s+"))
+    parts = F.least(F.lit(settings.spans), F.ceil(n / settings.span).cast("int"))
+
+    def span(s: F.Column, j: F.Column) -> F.Column:
+        part = F.floor(s["n"] / s["parts"])
+        begin = (F.floor(j * s["n"] / s["parts"]) + F.pmod(F.xxhash64("doc_id", j), F.greatest(part - settings.span + 1, F.lit(1)))).cast("int")
+        return F.substring(F.array_join(F.slice(s["words"], begin + 1, F.lit(settings.span)), " "), 1, settings.span_chars)
+
+    return F.transform(F.array(F.struct(words.alias("words"), n.alias("n"), parts.alias("parts"))), lambda s: F.transform(F.sequence(F.lit(0), s["parts"] - 1), lambda j: span(s, j)))[0]
+
+
 def train(docs: DataFrame, settings: Training = Training()) -> Model | None:
-    """Fit on at most ``settings.documents`` labelled documents outside the held-out third, chosen by hash of doc_id."""
+    """Fit on at most ``settings.documents`` labelled documents outside the held-out third, chosen by hash of doc_id, of
+    which bounded spans go to the driver. Rows that repeat a doc_id count once (the least)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = [r[0] for r in labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents).collect()]
     if not chosen:
         return None
     ids = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(chosen))], "doc_id long")
-    # Rows that repeat a doc_id count once (the smallest), so the sample stays bounded.
-    sample = (labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-              .groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.*"))
-    rows = sample.collect()
-    return fit([r.text for r in rows], [r.lang for r in rows], settings)
+    sample = (labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", _spans(settings).alias("spans"))
+              .groupBy("doc_id").agg(F.min(F.struct("lang", "spans")).alias("row")).select("row.*"))
+    rows = [(span, r.lang) for r in sample.collect() for span in r.spans]
+    return fit([x for x, _ in rows], [x for _, x in rows], settings)
 
 
 def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -> list[tuple[str, float]]:
@@ -240,21 +350,30 @@ def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     group: list[tuple[int, np.ndarray]] = []
 
+    def put(k: int, mean: np.ndarray) -> None:
+        best = int(mean.argmax())
+        out[k] = (model.languages[best], float(min(1.0, max(0.0, mean[best]))))
+
     def score(part: list[tuple[int, np.ndarray]]) -> None:
         lengths = np.array([len(r) for _, r in part])
-        steps = int(lengths[0])
-        where = np.zeros((steps, len(part)), np.int64)
+        where = np.zeros((int(lengths[0]), len(part)), np.int64)
         for b, (_, rows) in enumerate(part):
             where[: len(rows), b] = rows
         means = posteriors(model.table[where], lengths, model.transitions).sum(0) / lengths[:, None]
-        for (k, _), best, mean in zip(part, means.argmax(1), means.max(1)):
-            out[k] = (model.languages[best], float(min(1.0, max(0.0, mean))))
+        for (k, _), mean in zip(part, means):
+            put(k, mean)
 
     def drain() -> None:
+        table = model.settle()
         group.sort(key=lambda x: -len(x[1]))
         begin = 0
         while begin < len(group):
-            count = max(1, cells // len(group[begin][1]))
+            k, rows = group[begin]
+            if len(rows) > SEGMENT:
+                put(k, segmented_means(table, rows, model.transitions))
+                begin += 1
+                continue
+            count = max(1, cells // len(rows))
             score(group[begin : begin + count])
             begin += count
         group.clear()
@@ -280,21 +399,22 @@ def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -
 
 def _plain(model: Model | None) -> dict:
     """What goes to executors: plain data, from which a worker process builds its model once."""
-    return {} if model is None else {"languages": model.languages, "index": model.index, "weights": model.weights, "transitions": model.transitions}
+    return {} if model is None else {"languages": model.languages, "weights": model.weights, "transitions": model.transitions}
 
 
 def _fitted(shared: dict) -> Model | None:
     """The worker process's model; its table of words is kept in the broadcast value between tasks."""
     if shared and "model" not in shared:
-        shared["model"] = Model(shared["languages"], shared["index"], shared["weights"], shared["transitions"])
+        shared["model"] = Model(shared["languages"], shared["weights"], shared["transitions"])
     return shared.get("model")
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Language of every whole text: no shuffle, words scored where they are read.
 
-    Without a model (no labelled text) every row is ``und``. Repeated rows give repeated rows; lang, source and
-    doc_id play no part in a prediction.
+    Without a model (no labelled text) every row is ``und``. Repeated rows give repeated rows; an empty table gives an
+    empty one; other columns are left out, and lang, source and doc_id play no part in a prediction. Of languages with
+    equal probability the first by name is taken. Texts of any length are scored whole, in bounded memory.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_plain(model))
 

@@ -18,7 +18,7 @@ from gneiss.plans.storage import stored
 MIN_WORDS = 20
 #: Up to so many shared runs, ids of texts or deleted lines are broadcast; more are joined by an exchange, where AQE
 #: splits hot keys.
-BROADCAST_RUNS, BROADCAST_IDS, BROADCAST_LINES = 500_000, 2_000_000, 1_000_000
+BROADCAST_RUNS, BROADCAST_IDS, BROADCAST_LINES = 300_000, 500_000, 1_000_000
 #: Rows that a worker gathers before it hands them on.
 FLUSH = 50_000
 #: What doesn't count at the ends of a line, and the odd factor of the hash of a run.

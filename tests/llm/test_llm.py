@@ -394,6 +394,39 @@ def test_language_of_text_without_spaces():
     assert language.chunks("ab" + "1" * 100 + "cd") == ["ab", "cd"] and "".join(language.chunks("é" * 95)) == "é" * 95
 
 
+def test_segments_equal_one_pass():
+    rng = np.random.default_rng(2)
+    table, transitions = rng.normal(size=(50, 3)).astype(np.float32) * 3, rng.normal(size=(3, 3)).astype(np.float32)
+    rows = rng.integers(1, 50, 1000)
+    want = language.posteriors(table[rows][:, None], np.array([1000]), transitions).sum(0)[0] / 1000
+    for segment in (1, 7, 333, 1000, 5000):
+        assert np.allclose(language.segmented_means(table, rows, transitions, segment), want, atol=1e-5)
+
+
+def test_features_are_those_of_each_word_alone():
+    words = ["a", "ab", "straße", "x" * 40, "漢字", "ab"]
+    rows, owner = language.features(words, 20)
+    alone = [sorted(language.features([w], 20)[0].tolist()) for w in words]
+    assert [sorted(rows[owner == k].tolist()) for k in range(len(words))] == alone and alone[1] == alone[5]
+    assert [len(x) for x in alone] == [1 + 2 * min(4, len(w)) + (len(w) + 1) + len(w) for w in words]
+
+
+def test_language_of_a_very_long_text(spark, monkeypatch):
+    model = language.fit(["the house of water " * 20, "der haus von wasser " * 20], ["en", "de"], language.Training(steps=20))
+    long = "the house of water " * 20_000 + "der haus von wasser " * 9_000
+    whole = language.label_texts(model, [long])
+    monkeypatch.setattr(language, "SEGMENT", 1000)
+    monkeypatch.setattr(language, "PIECE", 777)
+    cut = language.label_texts(model, [long, None, "der"])
+    assert cut[0][0] == whole[0][0] == "en" and cut[0][1] == pytest.approx(whole[0][1], abs=1e-5) and cut[1] == ("und", 0.0) and cut[2][0] == "de"
+
+
+def test_spans_are_bounded(spark):
+    docs = make(spark, [(k, "word " * 5000 + "x" * 100_000) for k in range(4)] + [(9, "one two three")])
+    rows = docs.select("doc_id", language._spans(language.Training()).alias("s")).collect()
+    assert all(len(r.s) <= 8 and max(map(len, r.s)) <= 4096 for r in rows) and rows[4].s == ["one two three"]
+
+
 def test_posteriors_equal_enumeration():
     import itertools
 
