@@ -308,10 +308,15 @@ def test_base_spans_equal_plain_regex(spark, odd, none):
     assert len(pii.digests(pii.find_personal_data(odd)).collect()) == 10 and pii.find_personal_data(none).count() == 0
 
 
+def seen_of(spark, text):
+    frame = spark.createDataFrame([(text,)], "body string").withColumn("marked", pii.seeds(F.col("body")))
+    return pii.candidates(frame).first().seen
+
+
 def test_contexts_find_unseen_identifiers(spark):
     texts = [f"our host: 10.0.{k}.7 is up" for k in range(40)] + ["our host: 10.0.399.7 is up", "we saw 10.0.399.8 there"]
     rows = {r.doc_id: [tuple(x) for x in r.found] for r in pii.find_personal_data(make(spark, list(enumerate(texts)))).collect()}
-    assert rows[40] == [(10, 4, 20)] and rows[41] == [] and all(len(rows[k]) == 1 for k in range(40))
+    assert rows[40] == [(10, 5, 20)] and rows[41] == [] and all(len(rows[k]) == 1 for k in range(40))
 
 
 def test_contexts_of_all_kinds_find_unseen_identifiers(spark):
@@ -320,10 +325,75 @@ def test_contexts_of_all_kinds_find_unseen_identifiers(spark):
     n = len(texts)
     texts += ["please phone +1 (017) 555-77 today", "the ids: 10.0.399.7 10.0.398.7", "the ids: 1.2.3.999"]
     rows = {r.doc_id: [tuple(x) for x in r.found] for r in pii.find_personal_data(make(spark, list(enumerate(texts)))).collect()}
-    assert rows[n] == [(13, 4, 28)] and rows[n + 1] == [(9, 4, 19), (20, 4, 30)] and rows[n + 2] == [(9, 4, 18)]
+    assert rows[n] == [(13, 7, 28)] and rows[n + 1] == [(9, 5, 19), (20, 5, 30)] and rows[n + 2] == [(9, 5, 18)]
     assert all(len(rows[k]) == (k < 90) for k in range(n))
-    kinds = spark.createDataFrame([("mail user.3@mail.example.com and phone +1 (017) 555-7713",)], "t string").select(pii.candidates(F.col("t"), pii.seeds(F.col("t"))).alias("c")).first().c
-    assert [(c.start, c.end) for c in kinds if c.seed] == [(5, 28), (39, 56)] and all(c.seed for c in kinds)
+    kinds = seen_of(spark, "mail user.3@mail.example.com and phone +1 (017) 555-7713")
+    assert [(c.start, c.end) for c in kinds ] == [(5, 28), (39, 56)] and [c.kind for c in kinds] == [0, 3]
+
+
+def test_contexts_after_an_identifier_and_mails_without_digits(spark):
+    texts = [f"{a}{k} wrote to me ann.{a}@host.example.org yesterday" for k, a in enumerate("bcdefghijklmnopqrstuvw")] + ["nobody wrote to eve@host", "x eve@host.local. yesterday", "the eve@host works"]
+    rows = {r.doc_id: [tuple(x) for x in r.found] for r in pii.find_personal_data(make(spark, list(enumerate(texts)))).collect()}
+    assert rows[22] == [] and rows[24] == [] and all(len(rows[k]) == 1 for k in range(22))
+    odd = "user@mail and user@mail.org 5 or 10.0.0.1x10.0.0.2 @ 7"
+    got = seen_of(spark, odd)
+    want = [(s, e) for s, _, e in brute_spans(odd)]
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", odd) if re.search("[0-9@]", m[0])]
+    assert [(c.start, c.end) for c in got if c.kind is not None] == want
+    assert [(c.start, c.end) for c in got if c.kind is None] == [(0, 9), (28, 29), (53, 54)] and all(any(a <= s and e <= b for a, b in words) for s, e in want)
+
+
+def test_spans_apart_equal_pairwise_comparison(spark):
+    rng = random.Random(9)
+
+    def spans(n):
+        cuts = sorted(rng.sample(range(400), 2 * n))
+        return list(zip(cuts[::2], cuts[1::2]))
+
+    cases = []
+    for _ in range(40):
+        marked = sorted(spans(rng.randrange(12)) + spans(rng.randrange(4)))
+        cases.append((spans(rng.randrange(30)), marked))
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(cases)], "k int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    for r in df.select("k", pii._apart(F.col("a"), F.col("b")).alias("x")).collect():
+        a, b = cases[r.k]
+        assert [tuple(x) for x in r.x] == [x for x in a if not any(s < x[1] and e > x[0] for s, e in b)]
+
+
+def test_patterns_equal_a_plain_loop(spark):
+    rng = random.Random(12)
+    edges = {(rng.randrange(40), rng.randrange(300)): None for _ in range(1500)}
+    kinds = {i: rng.randrange(4) for i in range(300) if rng.random() < 0.85}
+    rows = [(p, i, kinds.get(i)) for p, i in edges]
+    by_pattern = collections.defaultdict(list)
+    for p, i, _ in rows:
+        by_pattern[p].append(i)
+    for rounds in (1, 2, 4):
+        weight = {i: float(i in kinds) for i in range(300)}
+        for k in range(rounds):
+            kept = {}
+            for p, members in by_pattern.items():
+                support = sum(weight[i] for i in members)
+                if support >= pii.SUPPORT and support / (len(members) + 1) >= pii.CONFIDENCE:
+                    votes = [sum(kinds.get(i) == n for i in members) for n in range(4)]
+                    kept[p] = (support / (len(members) + 1), votes.index(max(votes)))
+            for i in weight:
+                wrong = np.prod([1 - min(kept[p][0], 0.99) for p in kept if (p, i) in edges] or [1.0])
+                weight[i] = max(float(i in kinds), 1 - wrong)
+        got = {r.pattern: (r.confidence, r.kind) for r in pii.confident_patterns(spark.createDataFrame(rows, "pattern long, instance long, kind int"), rounds).collect()}
+        assert set(got) == set(kept) and (0 < len(kept) < 40 if rounds == 1 else kept)
+        assert all(got[p][1] == kept[p][1] and got[p][0] == pytest.approx(kept[p][0]) for p in kept)
+
+
+def test_personal_data_of_a_long_text_in_time(spark):
+    """A text of 2 MB with a numbered word every few characters and many seeds; work that grows with its square would not end."""
+    import time
+
+    text = " ".join(f"word{k} at 10.0.{k % 250}.{k % 200} or" if k % 3 == 0 else f"x{k} some words" for k in range(100_000))
+    began = time.time()
+    (row,) = pii.find_personal_data(make(spark, [(1, text)])).select(F.size("base").alias("n"), F.slice("base", 1000, 1).alias("b")).collect()
+    spans = brute_spans(text)
+    assert row.n == len(spans) and tuple(row.b[0]) == spans[999] and time.time() - began < 90
 
 
 # pages
