@@ -26,7 +26,7 @@ FREQUENT = 32
 #: The table of frequent shingles goes to every task; while it would have more rows, the bound above is doubled.
 FREQUENT_ROWS = 1_000_000
 #: Longs of the parity sketch that bounds how much two sets differ.
-SKETCH = 8
+SKETCH = 4
 #: Up to so many ids (64 MB) are broadcast to pick texts.
 BROADCAST_IDS = 4_000_000
 
@@ -78,8 +78,9 @@ def _rare_prefix(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), prefix, pa.array(complete, pa.bool_()), *rest], names=["node", "n", "prefix", "complete", *keep])
 
-    keep = [c for c in ("h", "h2") if c in rows.columns]
-    return rows.select("node", "n", "tokens", *keep).mapInArrow(run, ", ".join(["node long, n int, prefix array<bigint>, complete boolean", *(f"{c} long" for c in keep)]))
+    keep = [c for c in ("h", "h2", "sketch") if c in rows.columns]
+    kinds = ["node long, n int, prefix array<bigint>, complete boolean", *(f"{c} {kind}" for c, kind in rows.dtypes if c in keep)]
+    return rows.select("node", "n", "tokens", *keep).mapInArrow(run, ", ".join(kinds))
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -87,9 +88,10 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     Few ids are broadcast, so that the other texts stay where they are; more than ``BROADCAST_IDS`` are joined by an
     exchange."""
     few = ids.count() <= BROADCAST_IDS
-    some = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("node")).where("doc_id is not null")
-    sets = some.select("node", "node_h", shingle_set(F.col("text"), size).alias("set"))
-    return sets.where(F.xxhash64("set") == F.col("node_h")).select("node", F.size("set").alias("n"), "set")
+    some = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("node"))
+    # A generator works the set out once, and only of the texts that the join has picked.
+    mine = F.filter(F.array(shingle_set(F.col("text"), size)), lambda x: F.xxhash64(x) == F.col("node_h"))
+    return some.select("node", F.explode(mine).alias("set")).select("node", F.size("set").alias("n"), "set")
 
 
 def _least(percent: int) -> int:
@@ -102,6 +104,31 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return sets.select("doc_id", F.size("set").alias("n"), F.xxhash64("set").alias("h"), F.xxhash64(F.lit(1), "set").alias("h2"), "set")
 
 
+def _sketched(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``_sets`` with the least ``tokens`` of the set, enough for a prefix, and its parity ``sketch``: for
+    64 * ``SKETCH`` buckets of shingle hashes, whether the set has an odd number in each. Sketches of two sets differ
+    in at most as many bits as the sets in shingles."""
+    bits = 64 * SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("set")
+            flat, ends, sizes = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy(), batch.column("n").to_numpy()
+            begins, stops = ends[:-1] - ends[0], ends[1:] - ends[0]
+            place = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % bits
+            odd = np.zeros((batch.num_rows, bits), np.uint8)
+            for k, (a, b) in enumerate(zip(begins, stops)):
+                odd[k] = np.bincount(place[a:b], minlength=bits) & 1
+            least = np.minimum(sizes, 2 * (sizes + -(sizes * percent // 100)) + 10)
+            offsets = np.concatenate([[0], np.cumsum(least)])
+            kept = flat[np.repeat(begins - offsets[:-1], least) + np.arange(offsets[-1])]
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kept, pa.int64()))
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd, axis=1).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "h", "h2")), tokens, sketch], names=["doc_id", "n", "h", "h2", "tokens", "sketch"])
+
+    return sets.mapInArrow(run, "doc_id long, n int, h long, h2 long, tokens array<bigint>, sketch array<bigint>")
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """The rows of keys that more than one node has, in any number; a key's nodes are counted with map-side sums."""
     keys = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
@@ -191,33 +218,13 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, hashes: Da
     return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
-def parity_sketches(sets: DataFrame) -> DataFrame:
-    """(node, sketch): for 64 * ``SKETCH`` buckets of shingle hashes, whether a set has an odd number in each.
-
-    Sketches of two sets differ in at most as many bits as the sets in shingles.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = batch.column("set").flatten().to_numpy(zero_copy_only=False), batch.column("set").offsets.to_numpy()
-            place = ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64) % (64 * SKETCH)
-            rows = [np.packbits((np.bincount(place[a:b], minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64) for a, b in zip(ends - ends[0], ends[1:] - ends[0])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([list(r) for r in rows], pa.list_(pa.int64()))], names=["node", "sketch"])
-
-    return sets.select("node", "set").mapInArrow(run, "node long, sketch array<bigint>")
-
-
-def _rest(index: DataFrame, labels: DataFrame, tried: DataFrame, docs: DataFrame, hashes: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _rest(index: DataFrame, labels: DataFrame, tried: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a key, are still in different components and differ in few enough bits of their
-    sketches; None if all nodes of each key are linked. Only such pairs leave the join of a key's rows."""
-    labelled = index.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_rows = stored(labelled.join(mixed, "key"), "open")
-    ids = stored(open_rows.select("node").distinct().join(hashes, "node"), "open-ids")
-    if ids.isEmpty():
-        return None
-    sketches = stored(parity_sketches(_whole_sets(docs, ids, size)).dropDuplicates(["node"]).select("node", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH))), "parities")
-    rows = stored(open_rows.join(sketches, "node"), "open-rows")
+    sketches. Only such pairs leave the join of a key's rows."""
+    known = stored(parities.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
+    labelled = index.join(known, "node")
+    mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
+    rows = stored(labelled.join(mixed, "key"), "open")
     left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)
@@ -241,9 +248,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     to its leader, not all pairs.
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
-    sketch = F.slice("set", F.lit(1), (2 * (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9)) + 8).cast("int"))
     spark, sketches, firsts = docs.sparkSession, scratch_path(docs.sparkSession, "sketches"), scratch_path(docs.sparkSession, "first-prefixes")
-    _sets(docs, size).select("doc_id", "n", "h", "h2", sketch.alias("tokens")).write.parquet(sketches)
+    _sketched(_sets(docs, size), percent).write.parquet(sketches)
     sketched = spark.read.parquet(sketches)
     scanned, identity = sketched.select("doc_id", F.struct("n", "h", "h2").alias("own")), F.struct("n", "h", "h2")
     several = stored(sketched.groupBy("doc_id").agg(F.min(identity).alias("least"), F.max(identity).alias("most")).where("least <> most").select("doc_id", "least"), "several")
@@ -268,6 +274,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     remove(spark, sketches)
     release(spark)
     first = spark.read.parquet(firsts)
+    parities = stored(first.select("node", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH))), "parities")
+    first = first.drop("sketch")
     stubborn = stored(first.where("stubborn").select("node").join(hashes, "node"), "stubborn-ids")
     whole = stored(_whole_sets(docs, stubborn, size).dropDuplicates(["node"]), "stubborn")
     again = _rare_prefix(whole.withColumnRenamed("set", "tokens"), frequent, percent)
@@ -285,9 +293,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     links = stored(_verified(tried, prefixes, docs, hashes, size, percent), "links")
     labels = stored(connected_components(links), "labels")
 
-    rest = _rest(index, labels, tried, docs, hashes, size, percent)
-    final = labels
-    if rest is not None and not rest.isEmpty():
+    rest, final = _rest(index, labels, tried, parities, percent), labels
+    if not rest.isEmpty():
         more = stored(_verified(rest, prefixes, docs, hashes, size, percent), "more")
         final = stored(connected_components(links.union(more)), "components")
 
