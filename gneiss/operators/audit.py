@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.plans.storage import stored
+
 
 def inventory(files: DataFrame) -> DataFrame:
     """(path, bytes, sha256) of rows (path, content)."""
@@ -127,9 +129,21 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def numbered(rows: DataFrame, order: list[Column], out: str = "rank", *, first: int = 1) -> DataFrame:
+    """Rows with their place in a total order. Rows are dealt by ranges of the order and written; a partition's numbers
+    begin after the sizes of those before it, so no task sees more than its range."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(dealt, "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = sizes.select(F.col("_part"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(
+        out, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + first).drop("_at", "_part", "_before")
+
+
 def ranked(rows: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
-    """Competition order without ties: 1 is first. Meant for candidate lists, which are short."""
-    return rows.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    """Competition order without ties: 1 is first."""
+    return numbered(rows, order, out)
 
 
 def defaults(rows: DataFrame, values: dict[str, object]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.operators.nulls import hashed, permuted_within
+from gneiss.plans.storage import stored
 
 EPS = 2.220446049250313e-16
 
@@ -173,40 +174,81 @@ def ball_porosity(grid: DataFrame, keys: list[str], radii: list[int]) -> DataFra
     return shares.groupBy(*keys, "radius").agg(F.max("share").alias("maximum_occupancy"), (1 - F.median("share")).alias("median_missing"), (1 - F.max("share")).alias("minimum_missing"))
 
 
+def _oriented(links: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Links (a, b) from the end of lower degree (the smaller name on ties): no node has more than about the square root
+    of all links behind it, so hubs are met from their neighbours."""
+    d = lambda n: degrees.select(F.col("n").alias(n), F.struct(F.col("d"), F.col("n")).alias(f"_{n}"))
+    rows = links.join(d("a"), "a").join(d("b"), "b")
+    up = F.col("_a") < F.col("_b")
+    return rows.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"), F.col("_a" ).alias("_x"), F.col("_b").alias("_y"), *(c for c in links.columns if c not in ("a", "b")), up.alias("up"))
+
+
 def graph_scores(edges: DataFrame) -> DataFrame:
     """Total absolute weight, reciprocity, signed three-cycle trace tr(A^3) and its share of the cubed total, of
-    edges (src, dst, w)."""
+    edges (src, dst, w); rows that repeat an edge add up.
+
+    A cycle of three nodes is met once, at its node of least degree; it counts three times in the trace. Loops add their
+    cube, and thrice their product with both directions of each pair.
+    """
+    weights = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back"))
     total = edges.agg(F.sum(F.abs("w")).alias("total"))
     both = edges.join(back, ["src", "dst"]).agg(F.coalesce(F.sum(F.least(F.abs("w"), F.abs("back"))), F.lit(0.0)).alias("mutual"))
-    two = edges.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("ww"))
-    cycles = two.join(back.select("src", "dst", "back"), ["src", "dst"]).agg(F.coalesce(F.sum(F.col("ww") * F.col("back")), F.lit(0.0)).alias("three_cycles"))
+    loops = weights.where("src = dst").select(F.col("src").alias("n"), F.col("w").alias("loop"))
+    plain = weights.where("src <> dst")
+    degrees = plain.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    arcs = _oriented(plain.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"), degrees)
+    out = arcs.where("up").select("low", F.col("high").alias("q"), F.col("w").alias("w1"))  # low -> q
+    into = arcs.where("not up").select("low", F.col("high").alias("r"), F.col("w").alias("w3"))  # r -> low
+    distinct = out.join(into, "low").where("q <> r").join(plain.select(F.col("src").alias("q"), F.col("dst").alias("r"), F.col("w").alias("w2")), ["q", "r"])
+    parts = distinct.agg((3 * F.sum(F.col("w1") * F.col("w2") * F.col("w3"))).alias("x"))
+    pairs = plain.join(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("back")), ["src", "dst"]).join(loops, F.col("src") == F.col("n"))
+    parts = parts.union(pairs.agg((3 * F.sum(F.col("loop") * F.col("w") * F.col("back"))).alias("x"))).union(loops.agg(F.sum(F.pow("loop", F.lit(3))).alias("x")))
+    cycles = parts.agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("three_cycles"))
     return total.crossJoin(both).crossJoin(cycles).select(
         "total", (F.col("mutual") / F.greatest("total", F.lit(EPS))).alias("reciprocity"), "three_cycles", (F.col("three_cycles") / F.greatest(F.pow("total", F.lit(3)), F.lit(EPS))).alias("normalized_three_cycles"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles, wedges and transitivity of an undirected graph of distinct pairs (i < j)."""
-    a, b, c = (edges.select(F.col("i").alias(p), F.col("j").alias(q)) for p, q in (("x", "y"), ("y", "z"), ("x", "z")))
-    count = a.join(b, "y").join(c, ["x", "z"]).agg(F.count(F.lit(1)).alias("triangles"))
+    """Triangles, wedges and transitivity of an undirected graph of distinct pairs (i < j). A triangle is met once, at its
+    node of least degree."""
     degree = edges.select(F.explode(F.array("i", "j")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    arcs = _oriented(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), degree).select("low", "high")
+    ends = arcs.join(arcs.select("low", F.col("high").alias("other")), "low").where("high < other")
+    count = ends.join(edges, (F.col("high") == F.col("i")) & (F.col("other") == F.col("j"))).agg(F.count(F.lit(1)).alias("triangles"))
     wedges = degree.agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).alias("wedges"))
     return count.crossJoin(wedges).withColumn("transitivity", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")).otherwise(0.0))
 
 
-def nearest_points(points: DataFrame, *, cell: float) -> DataFrame:
+def nearest_points(points: DataFrame, *, cell: float, asked: DataFrame | None = None) -> DataFrame:
     """Each point's nearest other point (the smaller id on ties), for points whose nearest lies within ``cell``.
 
     Points meet only in neighbouring cells of side ``cell``; a point with no other within that distance has a null
-    ``other`` and can be asked again with larger cells.
+    ``other``. ``asked`` are the points to answer for (default: all).
     """
-    placed = points.withColumn("_a", F.floor(F.col("x") / cell)).withColumn("_b", F.floor(F.col("y") / cell))
+    asked = points if asked is None else asked
+    at = lambda rows: rows.withColumn("_a", F.floor(F.col("x") / cell)).withColumn("_b", F.floor(F.col("y") / cell))
+    placed = at(points)
     around = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
-    spread = placed.select("id", "x", "y", "_a", "_b", F.explode(around).alias("o")).select("id", "x", "y", (F.col("_a") + F.col("o.p")).alias("_a"), (F.col("_b") + F.col("o.q")).alias("_b"))
+    spread = at(asked).select("id", "x", "y", "_a", "_b", F.explode(around).alias("o")).select("id", "x", "y", (F.col("_a") + F.col("o.p")).alias("_a"), (F.col("_b") + F.col("o.q")).alias("_b"))
     pairs = spread.join(placed.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "_a", "_b"), ["_a", "_b"]).where("id <> other")
     pairs = pairs.withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))).where(F.col("distance") <= cell)
     best = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b"))
-    return points.select("id").join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))
+    return asked.select("id").join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))
+
+
+def all_nearest_points(points: DataFrame, *, cell: float) -> DataFrame:
+    """Each point's nearest other point, however far: points without one within ``cell`` ask again with cells twice the
+    side, against all points. A single point has a null ``other``."""
+    if points.limit(2).count() < 2:
+        return nearest_points(points, cell=cell)
+    found, asked = None, None
+    while asked is None or not asked.isEmpty():
+        now = stored(nearest_points(points, cell=cell, asked=asked), "nearest")
+        known = now.where("other is not null")
+        found = known if found is None else found.union(known)
+        asked, cell = stored(points.join(now.where("other is null").select("id"), "id", "left_semi"), "asked"), 2 * cell
+    return found
 
 
 def point_scores(points: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -231,19 +273,27 @@ def winding(paths: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "winding", "length", efficiency.alias("efficiency"), (F.least(F.lit(1.0), F.abs("winding")) * efficiency).alias("coherence"))
 
 
-def path_order(edges: DataFrame, most: int = 64) -> DataFrame:
+def path_order(edges: DataFrame) -> DataFrame:
     """Positions along path graphs (path, a, b): every node has at most two neighbours and two have one; others are
-    left out. The smaller end comes first. Walks go in lock step over all paths, ``most`` steps at most."""
+    left out. The smaller end comes first.
+
+    Pointer doubling over arcs: each round an arc's next one becomes the one twice as far, so as many rounds as the
+    logarithm of the longest path, whatever its length. Arcs on a circle never end and are left out.
+    """
     both = edges.select("path", "a", "b").union(edges.select("path", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = both.groupBy("path", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    good = degree.groupBy("path").agg(F.max("d").alias("most"), F.count_if(F.col("d") == 1).alias("ends"), F.min(F.when(F.col("d") == 1, F.col("node"))).alias("start")).where("most <= 2 and ends = 2")
-    steps = both.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), F.lit(True)))).alias("_"), F.collect_list(F.struct("a", "b")).alias("links"))
-    joined = good.select("path", "start").join(steps.select("path", "links"), "path")
-    begin = F.struct(F.array(F.col("start")).alias("seen"))
-
-    def walk(acc: Column, _: Column) -> Column:
-        last = F.element_at(acc["seen"], -1)
-        onward = F.filter("links", lambda e: (e["a"] == last) & ~F.array_contains(acc["seen"], e["b"]))
-        return F.struct(F.when(F.size(onward) > 0, F.concat(acc["seen"], F.array(onward[0]["b"]))).otherwise(acc["seen"]).alias("seen"))
-
-    return joined.select("path", F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(most)), begin, walk, lambda acc: acc["seen"])).alias("pos", "node"))
+    good = stored(degree.groupBy("path").agg(F.max("d").alias("most"), F.count_if(F.col("d") == 1).alias("ends"), F.min(F.when(F.col("d") == 1, F.col("node"))).alias("start"), F.count(F.lit(1)).alias("nodes")).where("most <= 2 and ends = 2"), "paths")
+    arcs = stored(both.join(good.select("path"), "path"), "arcs")
+    after = arcs.select("path", F.col("a").alias("b"), F.col("b").alias("nb"))
+    state = arcs.join(after, ["path", "b"], "left").withColumn("nb", F.when(F.col("nb") != F.col("a"), F.col("nb")))
+    state = state.groupBy("path", "a", "b").agg(F.max("nb").alias("nb")).withColumn("na", F.when(F.col("nb").isNotNull(), F.col("b"))).withColumn("left", F.col("nb").isNotNull().cast("long")).withColumn("last", F.col("b"))
+    longest = good.agg(F.max("nodes")).first()[0] or 0
+    for _ in range(max(1, longest.bit_length())):
+        state = stored(state, "walks")
+        ahead = state.select("path", F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("left").alias("more"), F.col("last").alias("end"))
+        state = state.join(ahead, ["path", "na", "nb"], "left").select(
+            "path", "a", "b", F.col("mb").alias("nb"), F.col("ma").alias("na"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"), F.coalesce("end", "last").alias("last"))
+    ended = stored(state.where("nb is null"), "walks").join(good.select("path", "start"), "path").where("last <> start")
+    size = ended.groupBy("path").agg(F.max("left").alias("m"))
+    rest = ended.join(size, "path").select("path", (F.col("m") - F.col("left") + 1).cast("int").alias("pos"), F.col("b").alias("node"))
+    return good.select("path", F.lit(0).alias("pos"), F.col("start").alias("node")).union(rest)

@@ -36,6 +36,40 @@ def similarity(ladders: DataFrame, parents: DataFrame, keys: list[str], parent_k
     return joined.groupBy(*keys).agg(F.exp(-rms / F.greatest(spread, F.lit(1e-9))).alias("similarity"))
 
 
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.size(values)
+
+
+def _turned(v: Column) -> Column:
+    """An array's circular right neighbours."""
+    return F.concat(F.slice(v, F.lit(2), F.greatest(F.size(v), F.lit(1))), F.slice(v, 1, 1))
+
+
+def array_coherence(v: Column) -> Column:
+    """``cyclic_coherence`` of a ladder held in one array."""
+    spread = F.array_max(v) - F.array_min(v)
+    step = _mean(F.zip_with(v, _turned(v), lambda a, b: F.abs(b - a)))
+    return F.when(F.size(v) < 2, 0.0).when(spread == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - step / (1.25 * spread))))
+
+
+def array_deviation(v: Column) -> Column:
+    """Population deviation of an array."""
+    return F.transform(F.array(_mean(v)), lambda m: F.sqrt(_mean(F.transform(v, lambda x: (x - m) * (x - m)))))[0]
+
+
+def array_similarity(v: Column, parent: Column, deviation: Column) -> Column:
+    """``similarity`` of two ladders held in arrays, with the parent's deviation."""
+    return F.exp(-F.sqrt(_mean(F.zip_with(v, parent, lambda a, b: (a - b) * (a - b)))) / F.greatest(deviation, F.lit(1e-9)))
+
+
+def relaxed_array(v: Column, parent: Column, anchoring: Column) -> Column:
+    """``relax`` of a ladder held in one array."""
+    left = F.concat(F.slice(v, -1, 1), F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))))
+    smooth = F.zip_with(F.zip_with(left, _turned(v), lambda a, b: a + b), v, lambda x, y: (x + 2 * y) / 4)
+    pulled = F.zip_with(smooth, parent, lambda x, p: (1 - anchoring) * x + anchoring * p)
+    return F.zip_with(v, pulled, lambda x, y: 0.58 * x + 0.42 * y)
+
+
 def harmonic_winner(ladders: DataFrame, keys: list[str], *, most: int = 12) -> DataFrame:
     """The frequency k = 1..min(12, n div 2) with the largest Fourier amplitude, the higher k on ties; null below 4 items."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))

@@ -115,7 +115,31 @@ def resample(rows: DataFrame, keys: list[str], index: str, replicates: int, *, s
 
 
 def rewired(edges: DataFrame, nodes: DataFrame, *, seed: str = "rewire") -> DataFrame:
-    """A random graph (i < j) with as many edges: the pairs that are least in md5 order."""
-    pairs = nodes.select(F.col("node").alias("i")).crossJoin(nodes.select(F.col("node").alias("j"))).where("i < j")
-    m = edges.count()
-    return pairs.orderBy(hashed(seed, F.col("i"), F.col("j")), "i", "j").limit(m)
+    """A random graph (i < j) with as many edges: distinct pairs drawn by hash, in the order of their first draw.
+
+    Nodes are numbered in their order and a pair (a, b) of n numbers is a(2n - a - 1)/2 + b - a - 1. Draws are that
+    number by hash of (seed, draw); four draws an edge and 64 more are made, and twice as many while they are too few.
+    A graph of over half of all pairs is what the drawn complement leaves. No pair of nodes is listed to be rejected.
+    """
+    from gneiss.operators.audit import numbered
+
+    spark = edges.sparkSession
+    m, n = edges.count(), nodes.count()
+    total = n * (n - 1) // 2
+    if m > total:
+        raise ValueError("more edges than pairs of nodes")
+    wanted = m if 2 * m <= total else total - m
+    chosen, draws = None, 4 * wanted + 64
+    while chosen is None:
+        firsts = spark.range(draws).select(draw(max(total, 1), seed, F.col("id")).alias("pair"), F.col("id").alias("k")).groupBy("pair").agg(F.min("k").alias("k"))
+        placed = numbered(firsts, [F.col("k")], "place")
+        chosen, draws = (placed.where(F.col("place") <= wanted).select("pair") if placed.count() >= wanted else None), 2 * draws
+    if wanted < m or 2 * m > total:
+        chosen = spark.range(total).select(F.col("id").alias("pair")).join(chosen, "pair", "left_anti")
+    width = F.lit(2.0 * n - 1)
+    guess = F.floor((width - F.sqrt(width * width - 8.0 * F.col("pair"))) / 2)
+    before = lambda a: F.floor(a * (2 * n - a - 1) / 2)
+    row = F.when(before(guess) > F.col("pair"), guess - 1).when(before(guess + 1) <= F.col("pair"), guess + 1).otherwise(guess)
+    numbers = chosen.withColumn("a", row.cast("long")).withColumn("b", (F.col("pair") - before(F.col("a")) + F.col("a") + 1).cast("long"))
+    names = numbered(nodes.select("node"), [F.col("node")], "number", first=0)
+    return numbers.join(names.select(F.col("number").alias("a"), F.col("node").alias("i")), "a").join(names.select(F.col("number").alias("b"), F.col("node").alias("j")), "b").select("i", "j")

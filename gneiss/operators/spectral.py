@@ -192,60 +192,62 @@ def simulated_power(grid: DataFrame, simulations: int, *, seed: str = "power") -
     return grid.select("parents", "icc", "effect", "missing").mapInPandas(run, "parents long, icc double, effect double, missing double, power double")
 
 
-def ladder_points(points: DataFrame, ladder: list[float], *, null_mean: float, null_deviation: float, seed: int = 1407, steps: int = 12,
-                  separation: float = 0.08, least_z: float = 1.0, escape: float = 0.6, recovery: float = 0.78, survival: float = 0.46) -> DataFrame:
-    """Mutate a ladder at every grid point, relax it, and classify the point: (x, y, classification, t_e, s_e,
-    recovery_step, coherence, similarity, failure). A point that fails becomes UNRESOLVED with its error, never lost.
-
-    ``points`` has (x, y, mutation, anchoring). A point's random stream is its own.
-    """
+def mutated_ladders(points: DataFrame, *, seed: int = 1407) -> DataFrame:
+    """``points`` with ``v``: the array ``base`` after round(1.5 ``mutation`` n) swaps of two places drawn from the
+    point's own stream, seeded by its ``x`` and ``y``; null for an empty or null base."""
     import random
 
-    schema = "x long, y long, classification string, t_e long, s_e double, recovery_step long, coherence double, similarity double, failure string"
-
-    def coherence(v: np.ndarray) -> float:
-        spread = float(v.max() - v.min())
-        return 1.0 if spread == 0 else float(np.clip(1 - np.abs(np.roll(v, -1) - v).mean() / (1.25 * spread), 0, 1))
+    from pyspark.sql import types as T
 
-    def alike(v: np.ndarray, parent: np.ndarray) -> float:
-        return float(np.exp(-np.sqrt(((v - parent) ** 2).mean()) / max(parent.std(), 1e-9)))
+    schema = T.StructType([*points.schema.fields, T.StructField("v", T.ArrayType(T.DoubleType()))])
 
-    def point(row) -> tuple:
-        rng, parent = random.Random(seed + row.x * 73_856_093 + row.y * 19_349_663), np.array(ladder)
-        v = parent.copy()
-        for _ in range(round(row.mutation * len(v) * 1.5)):
+    def swapped(base, mutation, x, y):
+        if base is None or not len(base):
+            return None
+        rng, v = random.Random(seed + x * 73_856_093 + y * 19_349_663), list(base)  # fixed values: the seed's factors
+        for _ in range(round(mutation * len(v) * 1.5)):
             a, b = rng.randrange(len(v)), rng.randrange(len(v))
             v[a], v[b] = v[b], v[a]
-        escaped, flags, back = alike(v, parent) < escape, [], None
-        for step in range(steps + 1):
-            c, s = coherence(v), alike(v, parent)
-            flags.append(c - null_mean >= separation and (c - null_mean) / null_deviation >= least_z)
-            if escaped and back is None and s >= recovery:
-                back = step
-            if step < steps:
-                smooth = (np.roll(v, 1) + 2 * v + np.roll(v, -1)) / 4
-                v = 0.58 * v + 0.42 * ((1 - row.anchoring) * smooth + row.anchoring * parent)
-        born = flags.index(True) if True in flags else None
-        alive = float(np.mean(flags[born:])) if born is not None else 0.0
-        if escaped and back is not None:
-            kind = "RECOVERED"
-        elif escaped and s < recovery:
-            kind = "ESCAPED"
-        elif flags[-1] and alive >= survival:
-            kind = "BOUNDED"
-        else:
-            kind = "UNRESOLVED" if flags[-1] else "NULL_LIKE"
-        return row.x, row.y, kind, born, alive, back, round(c, 8), round(s, 8), None
+        return v
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                try:
-                    rows.append(point(row))
-                except Exception as error:  # the failure is a row of the result
-                    rows.append((row.x, row.y, "UNRESOLVED", None, 0.0, None, None, None, f"{type(error).__name__}: {error}"))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            yield out.astype({"t_e": "Int64", "recovery_step": "Int64", "coherence": "float64", "similarity": "float64"})
-
-    return points.select("x", "y", "mutation", "anchoring").mapInPandas(run, schema)
+            yield batch.assign(v=[swapped(*row) for row in zip(batch["base"], batch["mutation"], batch["x"].tolist(), batch["y"].tolist())])
+
+    return points.mapInPandas(run, schema)
+
+
+def ladder_points(points: DataFrame, *, seed: int = 1407, steps: int = 12, separation: float = 0.08, least_z: float = 1.0,
+                  escape: float = 0.6, recovery: float = 0.78, survival: float = 0.46) -> DataFrame:
+    """Mutate a ladder at every grid point, relax it, and classify the point.
+
+    ``points`` has x, y, ``mutation``, ``anchoring``, the ladder ``base`` (an array) and its null coherence's ``null_mean``
+    and ``null_deviation``; other columns are kept. Added: classification, t_e, s_e, recovery_step, coherence, similarity,
+    failure. A point that cannot be computed is UNRESOLVED with its failure, never lost. Only the swaps run in Python;
+    the steps are a fold over arrays.
+    """
+    from gneiss.operators.ladder import array_coherence, array_deviation, array_similarity, relaxed_array
+
+    rows = mutated_ladders(points, seed=seed).withColumn("_sd", array_deviation(F.col("base")))
+    alike = lambda v: array_similarity(v, F.col("base"), F.col("_sd"))
+    rows = rows.withColumn("_escaped", alike(F.col("v")) < escape)
+    none = F.lit(None).cast("long")
+    start = F.struct(F.col("v").alias("v"), F.array().cast("array<boolean>").alias("flags"), none.alias("back"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+
+    def step(acc, k):
+        now = F.struct(array_coherence(acc["v"]).alias("c"), alike(acc["v"]).alias("s"))
+        return F.transform(F.array(now), lambda m: F.struct(
+            relaxed_array(acc["v"], F.col("base"), F.col("anchoring")).alias("v"),
+            F.concat(acc["flags"], F.array((m["c"] - F.col("null_mean") >= separation) & ((m["c"] - F.col("null_mean")) / F.col("null_deviation") >= least_z))).alias("flags"),
+            F.when(acc["back"].isNull() & F.col("_escaped") & (m["s"] >= recovery), k).otherwise(acc["back"]).alias("back"), m["c"].alias("c"), m["s"].alias("s")))[0]
+
+    rows = rows.withColumn("_end", F.when(F.col("v").isNotNull(), F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long")), start, step)))
+    flags, born = F.col("_end.flags"), F.array_position(F.col("_end.flags"), True)
+    alive = F.slice(flags, born.cast("int"), F.size(flags))
+    rows = rows.withColumn("t_e", F.when(born > 0, born - 1).cast("long")).withColumn(
+        "s_e", F.when(born > 0, F.size(F.filter(alive, lambda x: x)) / F.size(alive)).otherwise(0.0))
+    last, known = F.element_at(flags, -1), F.col("v").isNotNull() & F.col("null_deviation").isNotNull() & F.col("null_mean").isNotNull()
+    kind = (F.when(~known, "UNRESOLVED").when(F.col("_escaped") & F.col("_end.back").isNotNull(), "RECOVERED").when(F.col("_escaped") & (F.col("_end.s") < recovery), "ESCAPED")
+            .when(last & (F.col("s_e") >= survival), "BOUNDED").when(last, "UNRESOLVED").otherwise("NULL_LIKE"))
+    failure = F.when(F.col("v").isNull(), "EMPTY_LADDER").when(~known, "NO_NULL_COHERENCE")
+    return rows.select(*points.columns, kind.alias("classification"), "t_e", "s_e", F.col("_end.back").alias("recovery_step"), F.round("_end.c", 8).alias("coherence"), F.round("_end.s", 8).alias("similarity"), failure.alias("failure"))

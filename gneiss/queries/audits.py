@@ -47,17 +47,16 @@ SPLIT = f"WITH m AS ({MEMBERS}), want AS (SELECT path, bytes, sha256, row_number
 SELECT 'MEMBER_MISSING' AS code, path AS detail FROM j WHERE NOT a UNION ALL SELECT 'MEMBER_UNLISTED', path FROM j WHERE NOT d UNION ALL SELECT 'HASH_MISMATCH', path FROM j WHERE ws <> s UNION ALL SELECT 'SIZE_MISMATCH', path FROM j WHERE wb <> b
 UNION ALL SELECT 'MANIFEST_DUPLICATE', path FROM want GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'MANIFEST_ORDER', path FROM (SELECT path, lag(path) OVER (ORDER BY position) AS before FROM want) WHERE path < before""")
 def j9_manifest_audit(spark, sf_dir):
-    from pyspark.sql import Window
-
     m = members(spark, sf_dir)
-    want = m.where("doc_id % 3 <> 0").withColumn("position", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    want = audit.numbered(m.where("doc_id % 3 <> 0"), [F.col("doc_id")], "position", first=0)
     return audit.manifest_audit(want, m.where("doc_id % 3 <> 1"))
 
 
-@query(SPLIT + " SELECT 'MISSING' AS side, path FROM (SELECT DISTINCT path FROM want EXCEPT SELECT path FROM have) UNION ALL SELECT 'EXTRA', path FROM (SELECT DISTINCT path FROM have EXCEPT SELECT path FROM want)")
+@query("""WITH want AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 7 <> 0), have AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 'MISSING' AS side, k FROM (SELECT k FROM want EXCEPT SELECT k FROM have) UNION ALL SELECT 'EXTRA', k FROM (SELECT k FROM have EXCEPT SELECT k FROM want)""")
 def so3_key_difference(spark, sf_dir):
-    m = members(spark, sf_dir)
-    return audit.key_difference(m.where("doc_id % 3 <> 0"), m.where("doc_id % 3 <> 1"), ["path"])
+    want = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).where("k % 7 <> 0")
+    return audit.key_difference(want, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).where("k % 5 <> 0"), ["k"])
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) + (SELECT count(*) FROM (SELECT DISTINCT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) = 0 AS same")

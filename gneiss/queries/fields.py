@@ -210,15 +210,15 @@ def ge1_triangles(spark, sf_dir):
 NEAREST = "SELECT id, other, d FROM (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS k FROM points a JOIN points b ON a.id <> b.id) WHERE k = 1"
 
 
-@query(with_ctes(CTES, "points", f", n AS ({NEAREST}) SELECT p.id, CASE WHEN d <= 0.1 THEN other END AS other, round(CASE WHEN d <= 0.1 THEN d END, 6) + 0.0 AS distance FROM points p JOIN n ON p.id = n.id"))
+@query(with_ctes(CTES, "points", f", n AS ({NEAREST}) SELECT id, other, round(d, 6) + 0.0 AS distance FROM n"))
 def j15_nearest_point(spark, sf_dir):
-    return result(geometry.nearest_points(points(spark, sf_dir), cell=0.1))
+    return result(geometry.all_nearest_points(points(spark, sf_dir), cell=0.1))
 
 
-@query(with_ctes(CTES, "points", f", n AS ({NEAREST}), s AS (SELECT var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, avg(value) AS m, var_pop(value) AS s FROM points), l AS (SELECT avg((p.value - m) * (q.value - m)) AS product FROM n JOIN points p ON n.id = p.id JOIN points q ON n.other = q.id, s WHERE d <= 0.1) SELECT {r('sqrt(((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) / ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)))', 'anisotropy')}, {r('product / s', 'neighbour_coherence')} FROM s, l"))
+@query(with_ctes(CTES, "points", f", n AS ({NEAREST}), s AS (SELECT var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, avg(value) AS m, var_pop(value) AS s FROM points), l AS (SELECT avg((p.value - m) * (q.value - m)) AS product FROM n JOIN points p ON n.id = p.id JOIN points q ON n.other = q.id, s) SELECT {r('sqrt(((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) / ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)))', 'anisotropy')}, {r('product / s', 'neighbour_coherence')} FROM s, l"))
 def ge11_point_scores(spark, sf_dir):
     p = points(spark, sf_dir)
-    return result(geometry.point_scores(p, geometry.nearest_points(p, cell=0.1).where("other is not null")))
+    return result(geometry.point_scores(p, geometry.all_nearest_points(p, cell=0.1)))
 
 
 @query(with_ctes(CTES, "points", f""", p AS (SELECT CAST(value AS BIGINT) AS path, id AS pos, x, y FROM points), c AS (SELECT *, x - avg(x) OVER (PARTITION BY path) AS cx, y - avg(y) OVER (PARTITION BY path) AS cy FROM p), a AS (SELECT *, atan2(cy, cx) AS angle FROM c),
@@ -229,14 +229,14 @@ def ge19_winding(spark, sf_dir):
     return result(geometry.winding(paths, ["path"]))
 
 
-@query("WITH p AS (SELECT p_brand AS path, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part) SELECT path, pos, p_partkey AS node FROM p WHERE pos < 12")
+@query("WITH p AS (SELECT p_brand AS path, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part) SELECT path, pos, p_partkey AS node FROM p")
 def ge17_path_extraction(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("path").orderBy("node")
-    nodes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("node")).withColumn("k", F.row_number().over(order)).where("k <= 12")
+    nodes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("node"))
     links = nodes.withColumn("b", F.lead("node").over(order)).where("b is not null").select("path", F.col("node").alias("a"), "b")
-    return result(geometry.path_order(links, 12))
+    return result(geometry.path_order(links))
 
 
 @query("SELECT x, y, y * 40 + x AS index, round(-1.35 + 2.7 * x / 39, 9) + 0.0 AS re, round(1.05 - 2.1 * y / 27, 9) + 0.0 AS im FROM (SELECT unnest(range(0, 40)) AS x), (SELECT unnest(range(0, 28)) AS y)")

@@ -16,7 +16,6 @@ from gneiss.sources.tables import table
 REGISTRY = Registry()
 query = REGISTRY.add
 QUERIES, SQL = REGISTRY.queries, REGISTRY.sql
-SMALL = "parent < 3"
 
 DFT = """, c AS (SELECT field, i, j, CASE WHEN seen THEN value - avg(CASE WHEN seen THEN value END) OVER (PARTITION BY field) ELSE 0.0 END AS x FROM grid), h AS (SELECT field, i, l, sum(x * cos(2 * pi() * j * l / 11)) AS re, sum(-x * sin(2 * pi() * j * l / 11)) AS im FROM c, (SELECT unnest(range(0, 11)) AS l) GROUP BY 1, 2, 3),
 f AS (SELECT field, k, l, pow(sum(re * cos(2 * pi() * i * k / 50) + im * sin(2 * pi() * i * k / 50)), 2) + pow(sum(im * cos(2 * pi() * i * k / 50) - re * sin(2 * pi() * i * k / 50)), 2) AS p FROM h, (SELECT unnest(range(0, 50)) AS k) GROUP BY 1, 2, 3), o AS (SELECT field, CASE WHEN k = 0 AND l = 0 THEN 0.0 ELSE p END AS p FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY p DESC) AS place FROM o)"""
@@ -57,12 +56,12 @@ def ge22_concentration_norm(spark, sf_dir):
 
 @query()
 def nu11_phase_surrogates(spark, sf_dir):
-    return result(spectral.phase_surrogates(panels.canonical(spark, sf_dir).where(SMALL), 3))
+    return result(spectral.phase_surrogates(panels.canonical(spark, sf_dir), 3))
 
 
 @query()
 def nu12_ar1_surrogates(spark, sf_dir):
-    return result(spectral.ar1_surrogates(panels.canonical(spark, sf_dir).where(SMALL), 3))
+    return result(spectral.ar1_surrogates(panels.canonical(spark, sf_dir), 3))
 
 
 @query()
@@ -74,10 +73,13 @@ def si5_escape_trials(spark, sf_dir):
 
 @query()
 def si2_ladder_points(spark, sf_dir):
-    base = ladders.ladders(spark, sf_dir).where("ladder = 'Brand#11'").orderBy("pos").limit(14)
-    values = [x.value for x in base.collect()] or [1.0, 2.0, 3.0, 4.0]
-    grid = dynamics.grid_points(spark, 16, 12, (0.0, 1.0), (0.0, 1.0)).select("x", "y", F.col("re").alias("mutation"), F.col("im").alias("anchoring"))
-    return result(spectral.ladder_points(grid, values, null_mean=0.5, null_deviation=0.1))
+    """Every brand's whole ladder at every point of a 16 by 12 grid of mutation and anchoring."""
+    base = ladders.ladders(spark, sf_dir)
+    null = ladder.cyclic_coherence(ladder.null_ladders(base, ladders.CHILDREN), ["ladder", "child"]).groupBy("ladder").agg(F.avg("coherence").alias("null_mean"), F.stddev_pop("coherence").alias("null_deviation"))
+    whole = base.groupBy("ladder").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("base")).join(null, "ladder")
+    grid = F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"), F.lit(x / 15).alias("mutation"), F.lit(1 - y / 11).alias("anchoring")) for y in range(12) for x in range(16))))
+    rows = whole.withColumn("p", grid).select("ladder", "p.*", "base", "null_mean", "null_deviation").repartition("ladder", "x", "y")
+    return result(spectral.ladder_points(rows).drop("base"))
 
 
 @query()
@@ -100,16 +102,16 @@ CLOSURE_NULLS = "SELECT parent, child, n, CASE WHEN count(value - ahead) >= 365
 CHAIN = "readings daily panel centred scales canonical nulls joined"
 
 
-@query(with_ctes(panels.CTES, CHAIN, f", e AS ({CLOSURE_NULLS}) SELECT a.parent, CAST(a.n AS BIGINT) AS n, {r('first(b.error)', 'observed')}, {r('median(a.error)', 'null_median')}, {r('(1 + count(*) FILTER (WHERE a.error <= b.error)) / 8.0', 'local_p')} FROM e a JOIN e b ON a.parent = b.parent AND a.n = b.n AND b.child = 0 WHERE a.child > 0 GROUP BY 1, 2"))
+@query(with_ctes(panels.CTES, CHAIN, f", e AS ({CLOSURE_NULLS}) SELECT a.parent, CAST(a.n AS BIGINT) AS n, {r('first(b.error)', 'observed')}, {r('median(a.error)', 'null_median')}, {r('(1 + count(*) FILTER (WHERE a.error <= b.error)) / 128.0', 'local_p')} FROM e a JOIN e b ON a.parent = b.parent AND a.n = b.n AND b.child = 0 WHERE a.child > 0 GROUP BY 1, 2"))
 def ag44_closure_nulls(spark, sf_dir):
-    errors = blocks.closure_error(panels.with_nulls(panels.canonical(spark, sf_dir), panels.FEW), ["parent", "child"], panels.SIZES)
-    cells = inference.parent_cells(errors, ["parent", "n"], panels.FEW, score="error")
+    errors = blocks.closure_error(panels.with_nulls(panels.canonical(spark, sf_dir), panels.CHILDREN), ["parent", "child"], panels.SIZES)
+    cells = inference.parent_cells(errors, ["parent", "n"], panels.CHILDREN, score="error")
     return result(cells.select("parent", "n", "observed", "null_median", F.col("lower_p").alias("local_p")))
 
 
 @query(with_ctes(panels.CTES, CHAIN, f", e AS ({CLOSURE_NULLS}), w AS (SELECT parent, child, n FROM (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY error, n) AS k FROM e WHERE error IS NOT NULL) WHERE k = 1) SELECT CAST(n AS BIGINT) AS winner, child = 0 AS observed, count(*) AS votes FROM w GROUP BY 1, 2"))
 def ag53_winner_distribution(spark, sf_dir):
-    errors = blocks.closure_error(panels.with_nulls(panels.canonical(spark, sf_dir), panels.FEW), ["parent", "child"], panels.SIZES)
+    errors = blocks.closure_error(panels.with_nulls(panels.canonical(spark, sf_dir), panels.CHILDREN), ["parent", "child"], panels.SIZES)
     winners = blocks.closure_winner(errors, ["parent", "child"])
     return result(winners.groupBy("winner", (F.col("child") == 0).alias("observed")).agg(F.count(F.lit(1)).alias("votes")))
 
@@ -140,18 +142,18 @@ def ag45_perturbation_distances(spark, sf_dir):
 
 @query(with_ctes(panels.CTES, CHAIN, f", b AS ({panels.block_cte('joined', 'parent, child', [9])}) SELECT parent, {r('median(v)', 'null_variance')} FROM (SELECT parent, child, var_pop(value) AS v FROM b WHERE child > 0 GROUP BY 1, 2) GROUP BY 1"))
 def ag38_null_metric_medians(spark, sf_dir):
-    children = nulls.month_strata_nulls(panels.canonical(spark, sf_dir), panels.FEW)
+    children = nulls.month_strata_nulls(panels.canonical(spark, sf_dir), panels.CHILDREN)
     metrics = blocks.block_means(children, ["parent", "child"], [9]).groupBy("parent", "child").agg(F.var_pop("value").alias("v"))
     return result(metrics.groupBy("parent").agg(F.median("v").alias("null_variance")))
 
 
-@query(with_ctes(panels.CTES, panels.SCORES_CHAIN, f", s AS (SELECT o.parent, o.score AS a, n.score AS b FROM obs14 o JOIN null14 n ON o.parent = n.parent) SELECT parent, {r('(1 + count(*) FILTER (WHERE b >= a - greatest(1e-10, abs(a) * 1e-10))) / 8.0', 'upper_p')} FROM s GROUP BY 1"))
+@query(with_ctes(panels.CTES, panels.SCORES_CHAIN, f", s AS (SELECT o.parent, o.score AS a, n.score AS b FROM obs14 o JOIN null14 n ON o.parent = n.parent) SELECT parent, {r('(1 + count(*) FILTER (WHERE b >= a - greatest(1e-10, abs(a) * 1e-10))) / 128.0', 'upper_p')} FROM s GROUP BY 1"))
 def ag51_upper_p_with_ties(spark, sf_dir):
     from gneiss.functions.robust import tie_tolerance
 
     observed, children = panels._scores14(spark, sf_dir)
     joined = children.join(observed.withColumnRenamed("score", "a"), "parent")
-    return result(joined.groupBy("parent").agg(((F.count_if(F.col("score") >= F.col("a") - tie_tolerance(F.col("a"))) + 1) / (panels.FEW + 1)).alias("upper_p")))
+    return result(joined.groupBy("parent").agg(((F.count_if(F.col("score") >= F.col("a") - tie_tolerance(F.col("a"))) + 1) / (panels.CHILDREN + 1)).alias("upper_p")))
 
 
 @query("WITH t AS (SELECT o_orderkey % 2 = 0 AS truth, o_totalprice > 250000 AS claim, o_orderstatus AS family FROM orders) SELECT family, count(*) FILTER (WHERE truth AND claim) AS tp, count(*) FILTER (WHERE NOT truth AND claim) AS fp, round(avg(CAST(claim AS DOUBLE)) FILTER (WHERE truth), 6) + 0.0 AS power, round(avg(CAST(claim AS DOUBLE)) FILTER (WHERE NOT truth), 6) + 0.0 AS false_rate, round(avg(CAST(claim = truth AS DOUBLE)), 6) + 0.0 AS agreement FROM t GROUP BY 1")

@@ -155,14 +155,14 @@ def wn16_last_of_phase(spark, sf_dir):
 
 TRIALS = f"""SELECT user_id, user_id % 4 AS alpha, bool_or(event_type = 'click') AS escaped, bool_or(event_type = 'purchase') AS returned,
   CAST(min(k) FILTER (WHERE event_type = 'click') AS DOUBLE) AS escape_steps, CAST(min(k) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS return_steps, CAST(count(*) FILTER (WHERE event_type <> next) AS DOUBLE) AS flips
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ({EVENT_STATES})) WHERE k <= 12 GROUP BY 1, 2"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ({EVENT_STATES})) GROUP BY 1, 2"""
 
 
 def trials(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("next", F.lead("event_type").over(order)).withColumn("k", F.row_number().over(order)).where("k <= 12")
+    rows = table(spark, sf_dir, "events").withColumn("next", F.lead("event_type").over(order)).withColumn("k", F.row_number().over(order))
     step = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("k"))).cast("double")
     return rows.groupBy("user_id").agg(
         F.bool_or(F.col("event_type") == "click").alias("escaped"), F.bool_or(F.col("event_type") == "purchase").alias("returned"), step("click").alias("escape_steps"), step("purchase").alias("return_steps"),
@@ -243,7 +243,8 @@ def nu19_bootstrap_resample(spark, sf_dir):
     return result(nulls.resample(ladders(spark, sf_dir), ["ladder"], "pos", 3))
 
 
-@query("WITH e AS (SELECT count(*) AS m FROM (SELECT DISTINCT s_nationkey, n_nationkey FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5 WHERE s_nationkey < n_nationkey)), p AS (SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey) SELECT i, j FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'rewire', CAST(i AS VARCHAR), CAST(j AS VARCHAR))), i, j) AS k FROM p) WHERE k <= (SELECT m FROM e)")
+@query(f"""WITH g AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS i, CAST(n_nationkey AS BIGINT) AS j FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5 WHERE s_nationkey < n_nationkey), e AS (SELECT count(*) AS m FROM g), d AS (SELECT k, {draw_sql('300', "'rewire'", 'k')} AS pair FROM (SELECT unnest(range(0, 4 * (SELECT m FROM e) + 64)) AS k)),
+f AS (SELECT pair, min(k) AS k FROM d GROUP BY 1), c AS (SELECT pair FROM f ORDER BY k LIMIT (SELECT m FROM e)), p AS (SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS pair FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey) SELECT i, j FROM p JOIN c ON p.pair = c.pair""")
 def nu16_rewired_graph(spark, sf_dir):
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     edges = supplier.join(nation, F.col("n_regionkey") == F.col("s_nationkey") % 5).where("s_nationkey < n_nationkey").select("s_nationkey", "n_nationkey").distinct()

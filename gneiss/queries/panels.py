@@ -17,8 +17,8 @@ REGISTRY = Registry()
 query = REGISTRY.add
 QUERIES, SQL = REGISTRY.queries, REGISTRY.sql
 
-#: Null children of the ordinary queries and of the flagship, and block sizes.
-FEW, MANY, SIZES = 7, 31, [6, 7, 9, 14]
+#: Null children of each parent, and block sizes.
+CHILDREN, SIZES = 127, list(range(6, 15))
 
 CTES = {
     "readings": "SELECT l_suppkey % 12 AS parent, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS reading FROM lineitem",
@@ -42,8 +42,7 @@ def null_cte(children: int, source: str = "canonical", seed: str = "null") -> st
       ON t.parent = s.parent AND t.child = s.child AND t.m = s.m AND t.k = s.k"""
 
 
-CTES["nulls"] = null_cte(FEW)
-CTES["many"] = null_cte(MANY)
+CTES["nulls"] = null_cte(CHILDREN)
 CTES["joined"] = "SELECT parent, 0 AS child, day_idx, value FROM canonical UNION ALL SELECT parent, child, day_idx, value FROM nulls"
 
 
@@ -64,9 +63,6 @@ def score_cte(source: str, keys: str, gate: str = "count(value) >= 30 AND count(
 
 CTES["blocks"] = block_cte("joined", "parent, child", SIZES)
 CTES["scores"] = score_cte("blocks", "parent, child")
-CTES["many_both"] = "SELECT parent, 0 AS child, day_idx, value FROM canonical UNION ALL SELECT parent, child, day_idx, value FROM many"
-CTES["many_blocks"] = block_cte("many_both", "parent, child", [14])
-CTES["many_scores"] = score_cte("many_blocks", "parent, child")
 
 
 def cell_ctes(scores: str, children: int, keys: str = "parent, n") -> dict[str, str]:
@@ -85,7 +81,7 @@ def cell_ctes(scores: str, children: int, keys: str = "parent, n") -> dict[str,
     }
 
 
-CTES |= cell_ctes("scores", FEW)
+CTES |= cell_ctes("scores", CHILDREN)
 SIGN_UPPER = "(SELECT sum(factorial(CAST({n} AS INTEGER)) / (factorial(CAST(j AS INTEGER)) * factorial(CAST({n} - j AS INTEGER)))) FROM range(CAST({k} AS BIGINT), CAST({n} AS BIGINT) + 1) t(j)) / pow(2.0, {n})"
 
 
@@ -123,17 +119,15 @@ def with_nulls(series: DataFrame, children: int) -> DataFrame:
 
 
 def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = blocks.block_persistence(with_nulls(canonical(spark, sf_dir), FEW), ["parent", "child"], SIZES)
-    return inference.parent_cells(scores, ["parent", "n"], FEW)
+    scores = blocks.block_persistence(with_nulls(canonical(spark, sf_dir), CHILDREN), ["parent", "child"], SIZES)
+    return inference.parent_cells(scores, ["parent", "n"], CHILDREN)
 
 
-@query(with_ctes(CTES, "readings daily panel centred scales canonical many many_both many_blocks many_scores", "") + with_ctes(
-    cell_ctes("many_scores", MANY), "paired stats mads cells", f"SELECT parent, CAST(n AS BIGINT) AS n, eligible, {r('observed', 'observed')}, {r('null_median', 'null_median')}, {r('local_p', 'local_p')}, {r('robust_z', 'robust_z')} FROM cells").replace("WITH ", ",\n", 1))
+@query(with_ctes(CTES, "readings daily panel centred scales canonical nulls joined blocks scores paired stats mads cells", f"SELECT parent, CAST(n AS BIGINT) AS n, eligible, {r('observed', 'observed')}, {r('null_median', 'null_median')}, {r('local_p', 'local_p')}, {r('robust_z', 'robust_z', 4)} FROM cells"))
 def flagship_block_persistence_null_test(spark, sf_dir):
-    """Panel, canonicalization, 31 matched null children, 14-day block persistence, local tests."""
-    scores = blocks.block_persistence(with_nulls(canonical(spark, sf_dir), MANY), ["parent", "child"], [14])
-    cells = inference.parent_cells(scores, ["parent", "n"], MANY)
-    return result(cells.select("parent", "n", "eligible", "observed", "null_median", "local_p", "robust_z"))
+    """Panel, canonicalization, 127 matched null children, block persistence at all sizes, local tests."""
+    cells = cells_of(spark, sf_dir)
+    return result(cells.select("parent", "n", "eligible", "observed", "null_median", "local_p", F.round("robust_z", 4).alias("robust_z")))
 
 
 @query(with_ctes(CTES, "readings daily", f"SELECT parent, day, n, {r('value', 'value')} FROM daily"))
@@ -221,15 +215,10 @@ def ag36_climatology_ar1(spark, sf_dir):
 
 @query(with_ctes(CTES, "readings daily panel centred scales canonical nulls", f"SELECT parent, CAST(child AS BIGINT) AS child, day_idx, {r('value', 'value')} FROM nulls"))
 def nu3_month_strata_permutation(spark, sf_dir):
-    return result(nulls.month_strata_nulls(canonical(spark, sf_dir), FEW))
+    return result(nulls.month_strata_nulls(canonical(spark, sf_dir), CHILDREN))
 
 
-def _first_parents(df):
-    return df.where("parent < 4")
-
-
-CTES["part_panel"] = "SELECT * FROM panel WHERE parent < 4"
-CTES["sized"] = "SELECT *, count(*) OVER (PARTITION BY parent) AS len FROM part_panel"
+CTES["sized"] = "SELECT *, count(*) OVER (PARTITION BY parent) AS len FROM panel"
 DRAW = "CAST(CAST('0x' || substr(md5(concat_ws('|', {0})), 1, 12) AS BIGINT) % ({1}) AS BIGINT)"
 
 
@@ -237,41 +226,41 @@ def draw_sql(n: str, *parts: str) -> str:
     return DRAW.format(", ".join(p if p.startswith("'") else f"CAST({p} AS VARCHAR)" for p in parts), n)
 
 
-@query(with_ctes(CTES, "readings daily panel part_panel sized", f"""SELECT parent, CAST(child AS BIGINT) AS child, CAST((day_idx + 31 + {draw_sql('len - 61', "'shift'", 'child', 'parent')}) % len AS BIGINT) AS day_idx, {r('value', 'value')} FROM sized, (SELECT unnest(range(1, 4)) AS child)"""))
+@query(with_ctes(CTES, "readings daily panel sized", f"""SELECT parent, CAST(child AS BIGINT) AS child, CAST((day_idx + 31 + {draw_sql('len - 61', "'shift'", 'child', 'parent')}) % len AS BIGINT) AS day_idx, {r('value', 'value')} FROM sized, (SELECT unnest(range(1, 4)) AS child)"""))
 def nu8_circular_shift(spark, sf_dir):
-    return result(nulls.shift_nulls(_first_parents(day_panel(spark, sf_dir)), 3))
+    return result(nulls.shift_nulls(day_panel(spark, sf_dir), 3))
 
 
-@query(with_ctes(CTES, "readings daily panel part_panel sized", """, numbered AS (SELECT *, day_idx // 7 AS block, len // 7 AS full_blocks FROM sized), kids AS (SELECT unnest(range(1, 4)) AS child),
+@query(with_ctes(CTES, "readings daily panel sized", """, numbered AS (SELECT *, day_idx // 7 AS block, len // 7 AS full_blocks FROM sized), kids AS (SELECT unnest(range(1, 4)) AS child),
 moves AS (SELECT parent, child, block, row_number() OVER (PARTITION BY parent, child ORDER BY md5(concat_ws('|', 'block', CAST(child AS VARCHAR), CAST(parent AS VARCHAR), CAST(block AS VARCHAR))), block) - 1 AS to_block FROM (SELECT DISTINCT parent, block FROM numbered WHERE block < full_blocks), kids)
 SELECT n.parent, CAST(m.child AS BIGINT) AS child, CAST(to_block * 7 + day_idx % 7 AS BIGINT) AS day_idx, round(value, 6) + 0.0 AS value FROM numbered n JOIN moves m ON n.parent = m.parent AND n.block = m.block
 UNION ALL SELECT parent, CAST(child AS BIGINT), day_idx, round(value, 6) + 0.0 FROM numbered, kids WHERE block >= full_blocks"""))
 def nu9_block_permutation(spark, sf_dir):
-    return result(nulls.block_nulls(_first_parents(day_panel(spark, sf_dir)), 3))
+    return result(nulls.block_nulls(day_panel(spark, sf_dir), 3))
 
 
-@query(with_ctes(CTES, "readings daily panel part_panel sized", f""", kids AS (SELECT unnest(range(1, 4)) AS child), flags AS (SELECT parent, child, day_idx, len, CASE WHEN day_idx = 0 OR {draw_sql('7', "'boot'", "'r'", 'child', 'parent', 'day_idx')} = 0 THEN day_idx END AS f FROM sized, kids),
+@query(with_ctes(CTES, "readings daily panel sized", f""", kids AS (SELECT unnest(range(1, 4)) AS child), flags AS (SELECT parent, child, day_idx, len, CASE WHEN day_idx = 0 OR {draw_sql('7', "'boot'", "'r'", 'child', 'parent', 'day_idx')} = 0 THEN day_idx END AS f FROM sized, kids),
 since AS (SELECT *, max(f) OVER (PARTITION BY parent, child ORDER BY day_idx ROWS UNBOUNDED PRECEDING) AS since FROM flags), src AS (SELECT *, ({draw_sql('len', "'boot'", "'s'", 'child', 'parent', 'since')} + day_idx - since) % len AS source FROM since)
-SELECT s.parent, CAST(child AS BIGINT) AS child, s.day_idx, round(p.value, 6) + 0.0 AS value FROM src s JOIN part_panel p ON p.parent = s.parent AND p.day_idx = s.source"""))
+SELECT s.parent, CAST(child AS BIGINT) AS child, s.day_idx, round(p.value, 6) + 0.0 AS value FROM src s JOIN panel p ON p.parent = s.parent AND p.day_idx = s.source"""))
 def nu10_stationary_bootstrap(spark, sf_dir):
-    return result(nulls.stationary_bootstrap(_first_parents(day_panel(spark, sf_dir)), 3))
+    return result(nulls.stationary_bootstrap(day_panel(spark, sf_dir), 3))
 
 
-CTES["demeaned"] = "SELECT parent, day_idx, day, value - avg(value) OVER (PARTITION BY parent, date_trunc('month', day)) AS value FROM part_panel"
+CTES["demeaned"] = "SELECT parent, day_idx, day, value - avg(value) OVER (PARTITION BY parent, date_trunc('month', day)) AS value FROM panel"
 CTES["demeaned_nulls"] = null_cte(3, "demeaned", "demeaned")
 
 
-@query(with_ctes(CTES, "readings daily panel part_panel demeaned demeaned_nulls", f"SELECT parent, CAST(child AS BIGINT) AS child, day_idx, {r('value', 'value')} FROM demeaned_nulls"))
+@query(with_ctes(CTES, "readings daily panel demeaned demeaned_nulls", f"SELECT parent, CAST(child AS BIGINT) AS child, day_idx, {r('value', 'value')} FROM demeaned_nulls"))
 def nu13_demeaned_permutation(spark, sf_dir):
-    return result(nulls.demeaned_nulls(_first_parents(day_panel(spark, sf_dir)), 3))
+    return result(nulls.demeaned_nulls(day_panel(spark, sf_dir), 3))
 
 
-@query(with_ctes(CTES, "readings daily panel part_panel", """, k AS (SELECT *, date_trunc('month', day) AS m, row_number() OVER (PARTITION BY parent, date_trunc('month', day) ORDER BY day_idx) - 1 AS k, count(*) OVER (PARTITION BY parent, date_trunc('month', day)) // 3 AS full_blocks FROM part_panel), kids AS (SELECT unnest(range(1, 4)) AS child),
+@query(with_ctes(CTES, "readings daily panel", """, k AS (SELECT *, date_trunc('month', day) AS m, row_number() OVER (PARTITION BY parent, date_trunc('month', day) ORDER BY day_idx) - 1 AS k, count(*) OVER (PARTITION BY parent, date_trunc('month', day)) // 3 AS full_blocks FROM panel), kids AS (SELECT unnest(range(1, 4)) AS child),
 moves AS (SELECT parent, child, m, block, row_number() OVER (PARTITION BY parent, child, m ORDER BY md5(concat_ws('|', 'short', CAST(child AS VARCHAR), CAST(parent AS VARCHAR), CAST(CAST(m AS DATE) AS VARCHAR), CAST(block AS VARCHAR))), block) - 1 AS to_block FROM (SELECT DISTINCT parent, m, k // 3 AS block FROM k WHERE k // 3 < full_blocks), kids)
 SELECT k.parent, CAST(child AS BIGINT) AS child, CAST(day_idx - k + to_block * 3 + k % 3 AS BIGINT) AS day_idx, round(value, 6) + 0.0 AS value FROM k JOIN moves v ON k.parent = v.parent AND k.m = v.m AND k.k // 3 = v.block
 UNION ALL SELECT parent, CAST(child AS BIGINT), day_idx, round(value, 6) + 0.0 FROM k, kids WHERE k // 3 >= full_blocks"""))
 def nu14_month_block_permutation(spark, sf_dir):
-    return result(nulls.month_block_nulls(_first_parents(day_panel(spark, sf_dir)), 3))
+    return result(nulls.month_block_nulls(day_panel(spark, sf_dir), 3))
 
 
 @query(with_ctes(CTES, "readings daily panel centred scales canonical", ", blocks AS (" + block_cte("canonical", "parent", SIZES) + f") SELECT parent, CAST(n AS BIGINT) AS n, CAST(block AS BIGINT) AS block, {r('value', 'value')} FROM blocks"))
@@ -340,9 +329,9 @@ def ag18_parent_cells(spark, sf_dir):
     return result(cells_of(spark, sf_dir).withColumn("robust_z", F.round("robust_z", 4)))
 
 
-@query(with_ctes(CTES, "readings daily panel centred scales canonical nulls joined blocks scores paired stats mads cells", f"SELECT parent, CAST(n AS BIGINT) AS n, {r('observed', 'observed')}, {r('observed - null_median', 'effect')}, {r('robust_z', 'signed_z', 4)}, {r('abs(robust_z)', 'absolute_z', 4)}, {r('local_p', 'upper_p')}, {r('lower_p', 'lower_p')}, {r('least(1.0, 2 * least(local_p, lower_p))', 'two_sided_p')}, rank, {r(f'(rank - 0.5) / {FEW + 1}', 'null_quantile')}, CASE WHEN observed > null_median THEN 'POSITIVE' WHEN observed < null_median THEN 'NEGATIVE' ELSE 'TIE' END AS direction FROM cells WHERE eligible"))
+@query(with_ctes(CTES, "readings daily panel centred scales canonical nulls joined blocks scores paired stats mads cells", f"SELECT parent, CAST(n AS BIGINT) AS n, {r('observed', 'observed')}, {r('observed - null_median', 'effect')}, {r('robust_z', 'signed_z', 4)}, {r('abs(robust_z)', 'absolute_z', 4)}, {r('local_p', 'upper_p')}, {r('lower_p', 'lower_p')}, {r('least(1.0, 2 * least(local_p, lower_p))', 'two_sided_p')}, rank, {r(f'(rank - 0.5) / {CHILDREN + 1}', 'null_quantile')}, CASE WHEN observed > null_median THEN 'POSITIVE' WHEN observed < null_median THEN 'NEGATIVE' ELSE 'TIE' END AS direction FROM cells WHERE eligible"))
 def ag19_signed_cells(spark, sf_dir):
-    out = inference.signed_cells(cells_of(spark, sf_dir), ["parent", "n"], FEW)
+    out = inference.signed_cells(cells_of(spark, sf_dir), ["parent", "n"], CHILDREN)
     return result(out.withColumn("signed_z", F.round("signed_z", 4)).withColumn("absolute_z", F.round("absolute_z", 4)))
 
 
@@ -366,11 +355,11 @@ def ag21_exact_sign_test(spark, sf_dir):
     return grid.select("k", "n", (F.round(binomial_upper(F.col("k"), F.col("n")), 9) + 0.0).alias("p"))
 
 
-@query(with_ctes(CTES, "readings daily panel centred scales canonical", f""", g AS (SELECT month(day) AS season, count(*) FILTER (WHERE value > 0) AS positive, count(*) FILTER (WHERE value < 0) AS negative FROM canonical WHERE parent = 3 AND day_idx < 240 GROUP BY 1)
-SELECT CAST(season AS BIGINT) AS season, positive, negative, {r(binomial_sql('positive', '(positive + negative)'), 'upper_p')}, {r(binomial_sql('negative', '(positive + negative)'), 'lower_p')}, {r('CASE WHEN positive + negative = 0 THEN 1.0 ELSE least(1.0, 2 * ' + binomial_sql('greatest(positive, negative)', '(positive + negative)') + ') END', 'two_sided_p')} FROM g"""))
+@query(with_ctes(CTES, "readings daily panel centred scales canonical", f""", g AS (SELECT parent, month(day) AS season, count(*) FILTER (WHERE value > 0) AS positive, count(*) FILTER (WHERE value < 0) AS negative FROM canonical GROUP BY 1, 2)
+SELECT parent, CAST(season AS BIGINT) AS season, positive, negative, {r(binomial_sql('positive', '(positive + negative)'), 'upper_p')}, {r(binomial_sql('negative', '(positive + negative)'), 'lower_p')}, {r('CASE WHEN positive + negative = 0 THEN 1.0 ELSE least(1.0, 2 * ' + binomial_sql('greatest(positive, negative)', '(positive + negative)') + ') END', 'two_sided_p')} FROM g"""))
 def ag22_sign_tests(spark, sf_dir):
-    rows = canonical(spark, sf_dir).where("parent = 3 and day_idx < 240").withColumn("season", F.month("day"))
-    return result(inference.sign_tests(rows, ["season"], F.col("value")))
+    rows = canonical(spark, sf_dir).withColumn("season", F.month("day"))
+    return result(inference.sign_tests(rows, ["parent", "season"], F.col("value")))
 
 
 @query("""WITH p AS (SELECT o_orderpriority AS key, o_orderstatus AS family, avg(CAST(o_totalprice > 250000 AS DOUBLE)) AS p FROM orders GROUP BY 1, 2), s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, key) + 1) * p) AS step FROM p)
@@ -395,7 +384,7 @@ SCORES_CHAIN = "readings daily panel centred scales canonical nulls joined block
 
 
 def _scores14(spark, sf_dir):
-    scores = blocks.block_persistence(with_nulls(canonical(spark, sf_dir), FEW), ["parent", "child"], [14])
+    scores = blocks.block_persistence(with_nulls(canonical(spark, sf_dir), CHILDREN), ["parent", "child"], [14])
     scores = stored(scores, "scores")
     return scores.where("child = 0").select("parent", "score"), scores.where("child > 0").select("parent", "child", "score")
 
@@ -407,12 +396,12 @@ def ag23_bidirectional_separation(spark, sf_dir):
     return result(inference.bidirectional_separation(*_scores14(spark, sf_dir), family_size=4))
 
 
-@query(with_ctes(CTES, SCORES_CHAIN, f""", draws AS (SELECT parent, replicate, {draw_sql(str(FEW), "'joint'", 'replicate', 'parent')} + 1 AS child FROM obs14, (SELECT unnest(range(1, 1000)) AS replicate)), joint AS (SELECT replicate, median(score) AS j FROM draws JOIN null14 USING (parent, child) GROUP BY 1), o AS (SELECT median(score) AS a, count(*) AS parents FROM obs14), m AS (SELECT median(j) AS med FROM joint),
+@query(with_ctes(CTES, SCORES_CHAIN, f""", draws AS (SELECT parent, replicate, {draw_sql(str(CHILDREN), "'joint'", 'replicate', 'parent')} + 1 AS child FROM obs14, (SELECT unnest(range(1, 1000)) AS replicate)), joint AS (SELECT replicate, median(score) AS j FROM draws JOIN null14 USING (parent, child) GROUP BY 1), o AS (SELECT median(score) AS a, count(*) AS parents FROM obs14), m AS (SELECT median(j) AS med FROM joint),
 t AS (SELECT count(*) AS replicates, count(*) FILTER (WHERE j >= a - greatest(1e-10, abs(a) * 1e-10)) AS up, count(*) FILTER (WHERE j <= a + greatest(1e-10, abs(a) * 1e-10)) AS down, quantile_cont(j, 0.025) AS q025, quantile_cont(j, 0.975) AS q975, median(abs(j - med)) * 1.4826 AS joint_scale FROM joint, o, m)
 SELECT {r('a', 'observed')}, {r('med', 'joint_median')}, {r('a - med', 'difference')}, {r('joint_scale', 'joint_scale')}, {r('q025', 'q025')}, {r('q975', 'q975')}, {r('(up + 1) / (replicates + 1.0)', 'upper_p')}, {r('(down + 1) / (replicates + 1.0)', 'lower_p')}, {r('least(1.0, 2 * least((up + 1) / (replicates + 1.0), (down + 1) / (replicates + 1.0)))', 'two_sided_p')}, parents, replicates FROM o, m, t"""))
 def ag24_joint_parent_null(spark, sf_dir):
     observed, children = _scores14(spark, sf_dir)
-    return result(inference.joint_null(observed, children, FEW, []))
+    return result(inference.joint_null(observed, children, CHILDREN, []))
 
 
 @query(with_ctes(CTES, SCORES_CHAIN, f"SELECT o.parent, {r('quantile_cont(n.score, 0.025)', 'q025')}, {r('median(n.score)', 'null_median')}, {r('quantile_cont(n.score, 0.975)', 'q975')}, {r('first(o.score) - median(n.score)', 'difference')} FROM obs14 o JOIN null14 n ON o.parent = n.parent GROUP BY 1"))
@@ -421,9 +410,9 @@ def ag26_channel_null_summary(spark, sf_dir):
     return result(inference.channel_summary(children, observed, ["parent"]))
 
 
-@query(with_ctes(CTES, SURFACE_CHAIN + " closure", f", pass AS (SELECT parent, n, coalesce(eligible AND local_p <= 0.25 AND robust_z >= 0.5, false) AS ok FROM cells), isl AS (SELECT parent, n, ok, row_number() OVER (PARTITION BY parent ORDER BY n) - row_number() OVER (PARTITION BY parent, ok ORDER BY n) AS i FROM pass), runs AS (SELECT parent, min(n) AS first, count(*) AS size FROM isl WHERE ok GROUP BY parent, i), f AS (SELECT parent, first, size FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY first) AS k FROM runs) WHERE k = 1) SELECT p.parent, CAST(f.first AS BIGINT) AS t_e, coalesce(size, 0) AS contiguous, {r('coalesce(size, 0) / 4.0', 's_e')} FROM (SELECT DISTINCT parent FROM cells) p LEFT JOIN f ON f.parent = p.parent"))
+@query(with_ctes(CTES, SURFACE_CHAIN + " closure", f", pass AS (SELECT parent, n, coalesce(eligible AND local_p <= 0.05 AND robust_z >= 2.0, false) AS ok FROM cells), isl AS (SELECT parent, n, ok, row_number() OVER (PARTITION BY parent ORDER BY n) - row_number() OVER (PARTITION BY parent, ok ORDER BY n) AS i FROM pass), runs AS (SELECT parent, min(n) AS first, count(*) AS size FROM isl WHERE ok GROUP BY parent, i), f AS (SELECT parent, first, size FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY first) AS k FROM runs) WHERE k = 1) SELECT p.parent, CAST(f.first AS BIGINT) AS t_e, coalesce(size, 0) AS contiguous, {r('coalesce(size, 0) / 9.0', 's_e')} FROM (SELECT DISTINCT parent FROM cells) p LEFT JOIN f ON f.parent = p.parent"))
 def ag33_parent_endpoints(spark, sf_dir):
-    return result(endpoints.parent_endpoints(cells_of(spark, sf_dir), len(SIZES), alpha=0.25, least_z=0.5))
+    return result(endpoints.parent_endpoints(cells_of(spark, sf_dir), len(SIZES)))
 
 
 LOO = surface_ctes("crossed", "omitted, condition", 9)

@@ -101,7 +101,7 @@ def test_winding_of_a_ring(spark):
 
 def test_path_order_rejects_branches(spark):
     edges = spark.createDataFrame([(1, 3, 1), (1, 1, 2), (2, 1, 2), (2, 2, 3), (2, 2, 4)], "path int, a long, b long")
-    assert [(r.path, r.pos, r.node) for r in geometry.path_order(edges, 8).orderBy("path", "pos").collect()] == [(1, 0, 2), (1, 1, 1), (1, 2, 3)]
+    assert [(r.path, r.pos, r.node) for r in geometry.path_order(edges).orderBy("path", "pos").collect()] == [(1, 0, 2), (1, 1, 1), (1, 2, 3)]
 
 
 def test_contiguous_runs(spark):
