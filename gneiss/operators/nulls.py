@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -114,32 +114,88 @@ def resample(rows: DataFrame, keys: list[str], index: str, replicates: int, *, s
     return drawn.join(numbered.select(*keys, "_k", value), [*keys, "_k"]).select(*keys, "replicate", index, value)
 
 
-def rewired(edges: DataFrame, nodes: DataFrame, *, seed: str = "rewire") -> DataFrame:
-    """A random graph (i < j) with as many edges: distinct pairs drawn by hash, in the order of their first draw.
+def drawn_pairs(spark: SparkSession, count: int, total: int, seed: str) -> DataFrame:
+    """``count`` different numbers below ``total`` as (place, pair), by hash and in the order of their first draw.
 
-    Nodes are numbered in their order and a pair (a, b) of n numbers is a(2n - a - 1)/2 + b - a - 1. Draws are that
-    number by hash of (seed, draw); four draws an edge and 64 more are made, and twice as many while they are too few.
-    A graph of over half of all pairs is what the drawn complement leaves. No pair of nodes is listed to be rejected.
+    Four draws for each number and 64 more are made, and twice as many while they are too few. If over half of all
+    numbers are wanted, those not wanted are drawn, and the others placed in md5 order.
     """
     from gneiss.operators.audit import numbered
 
-    spark = edges.sparkSession
-    m, n = edges.count(), nodes.count()
-    total = n * (n - 1) // 2
-    if m > total:
+    if count > total:
         raise ValueError("more edges than pairs of nodes")
-    wanted = m if 2 * m <= total else total - m
-    chosen, draws = None, 4 * wanted + 64
-    while chosen is None:
+    few = 2 * count <= total
+    wanted = count if few else total - count
+    draws = 4 * wanted + 64
+    while True:
         firsts = spark.range(draws).select(draw(max(total, 1), seed, F.col("id")).alias("pair"), F.col("id").alias("k")).groupBy("pair").agg(F.min("k").alias("k"))
-        placed = numbered(firsts, [F.col("k")], "place")
-        chosen, draws = (placed.where(F.col("place") <= wanted).select("pair") if placed.count() >= wanted else None), 2 * draws
-    if wanted < m or 2 * m > total:
-        chosen = spark.range(total).select(F.col("id").alias("pair")).join(chosen, "pair", "left_anti")
+        placed = numbered(firsts, [F.col("k")], "place", first=0)
+        if placed.count() >= wanted:
+            break
+        draws *= 2
+    chosen = placed.where(F.col("place") < wanted).select("place", "pair")
+    if few:
+        return chosen
+    left = spark.range(total).select(F.col("id").alias("pair")).join(chosen.select("pair"), "pair", "left_anti")
+    return numbered(left, [hashed(seed, "rest", F.col("pair")), F.col("pair")], "place", first=0).select("place", "pair")
+
+
+def rewired(edges: DataFrame, nodes: DataFrame, *, seed: str = "rewire") -> DataFrame:
+    """A random graph (place, i < j) with as many edges as ``edges`` has rows.
+
+    Nodes are numbered in their order and a pair (a, b) of n numbers is a(2n - a - 1)/2 + b - a - 1, so no pair of
+    nodes is listed to be rejected.
+    """
+    from gneiss.operators.audit import numbered
+
+    n = nodes.count()
+    chosen = drawn_pairs(edges.sparkSession, edges.count(), n * (n - 1) // 2, seed)
     width = F.lit(2.0 * n - 1)
     guess = F.floor((width - F.sqrt(width * width - 8.0 * F.col("pair"))) / 2)
     before = lambda a: F.floor(a * (2 * n - a - 1) / 2)
     row = F.when(before(guess) > F.col("pair"), guess - 1).when(before(guess + 1) <= F.col("pair"), guess + 1).otherwise(guess)
     numbers = chosen.withColumn("a", row.cast("long")).withColumn("b", (F.col("pair") - before(F.col("a")) + F.col("a") + 1).cast("long"))
     names = numbered(nodes.select("node"), [F.col("node")], "number", first=0)
-    return numbers.join(names.select(F.col("number").alias("a"), F.col("node").alias("i")), "a").join(names.select(F.col("number").alias("b"), F.col("node").alias("j")), "b").select("i", "j")
+    return numbers.join(names.select(F.col("number").alias("a"), F.col("node").alias("i")), "a").join(names.select(F.col("number").alias("b"), F.col("node").alias("j")), "b").select("place", "i", "j")
+
+
+def shuffled_weights(edges: DataFrame, nodes: DataFrame, children: int, *, directed: bool, seed: str = "weights") -> DataFrame:
+    """Null graphs (child, src, dst, w) whose weights lie on random pairs of different nodes: unordered pairs with src < dst,
+    or ordered ones. As pairs without an edge weigh nothing, this permutes the whole matrix."""
+    from functools import reduce
+
+    from gneiss.operators.audit import numbered
+
+    n = nodes.count()
+    names = numbered(nodes.select("node"), [F.col("node")], "number", first=0)
+    weights = numbered(edges.select("src", "dst", "w"), [F.col("src"), F.col("dst")], "place", first=0).select("place", "w")
+    out = []
+    for child in range(1, children + 1):
+        if directed:
+            pairs = drawn_pairs(edges.sparkSession, edges.count(), n * (n - 1), f"{seed}|{child}")
+            pairs = pairs.select("place", F.floor(F.col("pair") / (n - 1)).alias("a"), (F.col("pair") % (n - 1)).alias("r")).withColumn("b", F.col("r") + (F.col("r") >= F.col("a")).cast("long"))
+            named = pairs.join(names.select(F.col("number").alias("a"), F.col("node").alias("src")), "a").join(names.select(F.col("number").alias("b"), F.col("node").alias("dst")), "b")
+        else:
+            named = rewired(edges, nodes, seed=f"{seed}|{child}").withColumnsRenamed({"i": "src", "j": "dst"})
+        out.append(named.join(weights, "place").select(F.lit(child).cast("long").alias("child"), "src", "dst", "w"))
+    return reduce(DataFrame.union, out)
+
+
+def relabelled(rows: DataFrame, ends: tuple[str, str], children: int, *, seed: str = "relabel") -> DataFrame:
+    """Null matrices or graphs whose nodes change names, the same way in rows and columns: (child, both ends, ...)."""
+    a, b = ends
+    nodes = rows.select(F.explode(F.array(a, b)).alias("node")).distinct().withColumn("value", F.col("node"))
+    names = permuted_within(nodes, [], "node", [F.lit(0)], children, seed=seed)
+    left = names.select("child", F.col("node").alias(a), F.col("value").alias("_a"))
+    right = names.select("child", F.col("node").alias(b), F.col("value").alias("_b"))
+    return rows.join(left, a).join(right, ["child", b]).select("child", F.col("_a").alias(a), F.col("_b").alias(b), *(c for c in rows.columns if c not in ends))
+
+
+def frames_and_cells(grid: DataFrame, keys: list[str], frame: str, children: int, *, seed: str = "frames") -> DataFrame:
+    """Null sequences of frames: frames change places, and inside each the observed values change cells."""
+    from gneiss.operators.geometry import permute_cells
+
+    cells = permute_cells(grid, [*keys, frame], children, seed=seed)
+    order = grid.select(*keys, frame).distinct().withColumn("value", F.col(frame))
+    moved = permuted_within(order, keys, frame, [F.lit(0)], children, seed=f"{seed}|order")
+    return cells.join(moved.select(*keys, "child", F.col("value").alias(frame), F.col(frame).alias("_to")), [*keys, "child", frame]).select(*keys, "child", F.col("_to").alias(frame), "i", "j", "value")

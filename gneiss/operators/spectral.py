@@ -21,59 +21,75 @@ def generator(*parts: object) -> np.random.Generator:
     return np.random.default_rng(int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16], 16))
 
 
+#: Cells of a raster, or of a matrix, that one task holds at most (128 MB of doubles); larger ones are an error.
+CELLS = 1 << 24
+
+
+def _checked(cells: int) -> None:
+    if cells > CELLS:
+        raise ValueError(f"{cells} cells are more than a task holds ({CELLS}); downsample first")
+
+
 def _raster(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    _checked(int(rows["i"].max() + 1) * int(rows["j"].max() + 1))
     values, seen = np.zeros((rows["i"].max() + 1, rows["j"].max() + 1)), np.zeros((rows["i"].max() + 1, rows["j"].max() + 1), bool)
     values[rows["i"], rows["j"]] = rows["value"]
     seen[rows["i"], rows["j"]] = rows["seen"]
     return values, seen
 
 
-def _per_field(grid: DataFrame, key: str, schema: str, compute: Callable[[object, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+def _per_field(grid: DataFrame, keys: str | list[str], outputs: str, compute: Callable[[np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    keys = [keys] if isinstance(keys, str) else keys
+    kinds = dict(grid.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), outputs])
+    names = [x.split()[0] for x in outputs.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(compute(rows[key].iloc[0], *_raster(rows)), columns=names)
+        out = pd.DataFrame(compute(*_raster(rows)), columns=names)
+        for place, k in enumerate(keys):
+            out.insert(place, k, rows[k].iloc[0])
+        return out
 
-    return grid.select(key, "i", "j", "value", "seen").groupBy(key).applyInPandas(run, schema)
+    return grid.select(*keys, "i", "j", "value", "seen").groupBy(*keys).applyInPandas(run, schema)
 
 
-def spectral_concentration(grid: DataFrame, key: str) -> DataFrame:
+def spectral_concentration(grid: DataFrame, keys: str | list[str]) -> DataFrame:
     """Share of the spectrum's power (without its mean) in its top 5 % of frequencies; unobserved cells are at the mean."""
-    def compute(name, values, seen):
-        centred = np.where(seen, values - values[seen].mean(), 0.0)
+    def compute(values, seen):
+        centred = np.where(seen, values - (values[seen].mean() if seen.any() else 0.0), 0.0)
         power = np.abs(np.fft.fft2(centred)) ** 2
         power.flat[0] = 0
         ordered = np.sort(power.ravel())
-        return [(name, float(ordered[-max(1, int(np.ceil(0.05 * len(ordered)))) :].sum() / max(ordered.sum(), EPS)))]
+        return [(float(ordered[-max(1, int(np.ceil(0.05 * len(ordered)))) :].sum() / max(ordered.sum(), EPS)),)]
 
-    return _per_field(grid, key, f"{key} long, concentration double", compute)
+    return _per_field(grid, keys, "concentration double", compute)
 
 
-def modal_trace(grid: DataFrame, key: str, counts: list[int], *, penalty: float = 0.0) -> DataFrame:
+def modal_trace(grid: DataFrame, keys: str | list[str], counts: list[int], *, penalty: float = 0.0) -> DataFrame:
     """Power left beyond the n strongest modes, for every n of ``counts``, plus ``penalty`` times the squared
     distance from their median."""
-    def compute(name, values, seen):
+    def compute(values, seen):
         power = np.sort((np.abs(np.fft.rfft2(values - values.mean())) ** 2).ravel())[::-1]
         middle, total = float(np.median(counts)), max(float(power.sum()), EPS)
-        return [(name, n, float(power[n:].sum() / total) + penalty * (n - middle) ** 2 + EPS) for n in counts]
+        return [(n, float(power[n:].sum() / total) + penalty * (n - middle) ** 2 + EPS) for n in counts]
 
-    return _per_field(grid, key, f"{key} long, n long, residual double", compute)
+    return _per_field(grid, keys, "n long, residual double", compute)
 
 
-def concentration_norm(supports: DataFrame, key: str, *, iterations: int = 64) -> DataFrame:
+def concentration_norm(supports: DataFrame, keys: str | list[str], *, iterations: int = 64) -> DataFrame:
     """Norm of restricting to a set of cells and then to a set of frequencies, by power iteration, of (i, j, value, seen)
     where ``seen`` marks the cells and a positive ``value`` the frequencies."""
-    def compute(name, values, seen):
+    def compute(values, seen):
         vector, frequencies = seen.astype(complex), values > 0
         for _ in range(iterations):
             size = np.linalg.norm(vector)
             if size <= EPS:
-                return [(name, 0.0)]
+                return [(0.0,)]
             vector = np.fft.ifft2(np.fft.fft2(vector / size, norm="ortho") * frequencies, norm="ortho") * seen
         size = np.linalg.norm(vector)
-        return [(name, float(np.linalg.norm(np.fft.fft2(vector / size, norm="ortho") * frequencies)) if size > EPS else 0.0)]
+        return [(float(np.linalg.norm(np.fft.fft2(vector / size, norm="ortho") * frequencies)) if size > EPS else 0.0,)]
 
-    return _per_field(supports, key, f"{key} long, norm double", compute)
+    return _per_field(supports, keys, "norm double", compute)
 
 
 def correlation_spectrum(correlations: DataFrame, key: str) -> DataFrame:
@@ -91,6 +107,7 @@ def graph_spectrum(edges: DataFrame, key: str) -> DataFrame:
     """Spectral radius and the largest normalised return trace over powers 2..n, of (key, src, dst, w)."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(rows["src"]) | set(rows["dst"]))
+        _checked(len(nodes) ** 2)
         place = {n: k for k, n in enumerate(nodes)}
         matrix = np.zeros((len(nodes), len(nodes)))
         np.add.at(matrix, (rows["src"].map(place), rows["dst"].map(place)), rows["w"])

@@ -248,7 +248,7 @@ f AS (SELECT pair, min(k) AS k FROM d GROUP BY 1), c AS (SELECT pair FROM f ORDE
 def nu16_rewired_graph(spark, sf_dir):
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     edges = supplier.join(nation, F.col("n_regionkey") == F.col("s_nationkey") % 5).where("s_nationkey < n_nationkey").select("s_nationkey", "n_nationkey").distinct()
-    return result(nulls.rewired(edges, nation.select(F.col("n_nationkey").cast("long").alias("node"))))
+    return result(nulls.rewired(edges, nation.select(F.col("n_nationkey").cast("long").alias("node"))).drop("place"))
 
 
 @query("SELECT user_id % 20 AS k, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds, count(DISTINCT event_type) = 1 AS single FROM events GROUP BY 1")
