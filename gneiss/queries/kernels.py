@@ -26,17 +26,6 @@ def ge4_spectral_concentration(spark, sf_dir):
     return result(spectral.spectral_concentration(fields.grid(spark, sf_dir), "field"))
 
 
-@query()
-def ge16_modal_residual_trace(spark, sf_dir):
-    return result(spectral.modal_trace(fields.grid(spark, sf_dir), "field", list(range(2, 15))))
-
-
-@query()
-def ge15_modal_closure_audit(spark, sf_dir):
-    traces = spectral.modal_trace(fields.grid(spark, sf_dir), "field", list(range(7, 14)), penalty=0.0015)
-    return result(ladder.minimum_audit(traces, ["field"], "n", "residual"))
-
-
 @query()
 def ge12_correlation_spectrum(spark, sf_dir):
     rows = blocks.pairwise_correlation(panels.canonical(spark, sf_dir)).withColumn("one", F.lit(1).cast("long"))
