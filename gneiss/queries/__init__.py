@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gneiss.queries import audits, fields, kernels, ladders, panels, predicates, reports, typed
+from gneiss.queries import audits, fields, kernels, ladders, panels, predicates, reports, semantics, typed
 
-MODULES = (panels, ladders, fields, audits, kernels, predicates, typed, reports)
+MODULES = (panels, ladders, fields, audits, kernels, predicates, typed, reports, semantics)
 
 #: Queries over Python kernels (spectra, eigenvalues, sequential random streams), which have no SQL.
 ROWS_ONLY = frozenset(
