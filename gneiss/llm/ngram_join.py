@@ -25,6 +25,8 @@ from gneiss.plans.storage import release, remove, scratch_path, stored
 FREQUENT = 32
 #: The table of frequent shingles goes to every task; while it would have more rows, the bound above is doubled.
 FREQUENT_ROWS = 1_000_000
+#: Documents of at most so many shingles are indexed with all pairs of frequent shingles of a short prefix.
+SHORT = 128
 #: Longs of the parity sketch that bounds how much two sets differ.
 SKETCH = 4
 #: Up to so many ids (64 MB) are broadcast to pick texts.
@@ -150,31 +152,41 @@ def _extent(n: Column, level: Column, percent: int) -> tuple[Column, Column, Col
 
 
 def _stubborn_index(whole: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, node, n, reach) among documents made of frequent shingles, from their whole sets.
-
-    Counts are taken anew among these documents. A document is on the level of its size's power of two and on that of
-    the largest size which can be similar to it; similar ones meet on the larger one's level. There they share a rare
-    shingle, which is a key, or two frequent ones close together, whose combination is.
+    """Rows (key, node, n, reach, before) among documents made of frequent shingles, from their whole sets.
+
+    Counts are taken anew among these documents. Rare shingles of a prefix are keys by themselves. Short documents' prefixes
+    are extended by one, and all pairs of frequent shingles there are keys: the first two common shingles of similar
+    documents, if the first isn't rare. ``before`` holds what stands before the second one, so a pair of documents is
+    asked for at one key alone. Longer documents are on the level of their size's power of two and on that of the
+    largest size which can be similar to it; similar ones meet on the larger one's level, where they share a rare
+    shingle or two frequent ones close together. Documents near the limit are in both.
     """
     tokens = whole.select("node", "n", F.explode("set").alias("t"))
     counts = tokens.groupBy("t").agg((F.count(F.lit(1)) > FREQUENT).alias("hot"))
     low, high = F.floor(F.log2(F.col("n"))), F.floor(F.log2(F.col("n") * F.lit(100) / F.lit(percent) + 1e-9))
-    extent = _extent(F.col("n"), high, percent)[1]
+    short, long = F.col("n") * percent <= SHORT * 100, F.col("n") * 100 >= SHORT * percent
+    two = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / F.lit(100) - 1e-9) + 2).cast("int")
+    extent = F.when(long, F.greatest(two, _extent(F.col("n"), high, percent)[1])).otherwise(two)
     ordered = stored(tokens.join(counts, "t").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("hot", "t"))).alias("order"))
                      .select("node", "n", F.slice("order", F.lit(1), extent).alias("order")), "orders")
-    placed = ordered.select("node", "n", F.posexplode("order").alias("pos", "x")).select("node", "n", "pos", "x.hot", "x.t")
-    rare = placed.where("not hot").select(F.col("t").alias("key"), "node", "n", (F.col("n") - F.col("pos")).alias("reach"))
-    levels = ordered.select("node", "n", F.explode(F.array_distinct(F.array(low, high))).alias("level"), "order")
+    placed = ordered.select("node", "n", "order", F.posexplode("order").alias("pos", "x")).select("node", "n", "order", "pos", "x.hot", "x.t")
+    earlier = F.transform(F.slice("order", F.lit(1), F.col("pos")), lambda x: x["t"])
+    reach = F.col("n") - F.col("pos")
+    rare = placed.where("not hot").select(F.col("t").alias("key"), "node", "n", reach.alias("reach"), F.when(short, earlier).alias("before"))
+    seconds = placed.where(short & F.col("hot") & (F.col("pos") < two)).select("node", "n", "pos", "t", "order", earlier.alias("earlier"))
+    firsts = seconds.select("node", "n", "pos", "t", "earlier", F.explode(F.filter(F.slice("order", F.lit(1), F.col("pos")), lambda x: x["hot"])).alias("first"))
+    pairs = firsts.select(F.xxhash64(F.lit(-1).cast("long"), "first.t", "t").alias("key"), "node", "n", (reach + 1).alias("reach"), F.array_remove("earlier", F.col("first.t")).alias("before"))
+    levels = ordered.where(long).select("node", "n", F.explode(F.array_distinct(F.array(low, high))).alias("level"), "order")
     _, length, gap = _extent(F.col("n"), F.col("level"), percent)
     hot = levels.select("node", "n", "level", gap.alias("gap"), F.transform(F.filter(F.slice("order", F.lit(1), length), lambda x: x["hot"]), lambda x: x["t"]).alias("hots"))
-    pairs = hot.select("node", "n", "level", "gap", "hots", F.posexplode("hots").alias("k", "one")).select(
+    close = hot.select("node", "n", "level", "gap", "hots", F.posexplode("hots").alias("k", "one")).select(
         "node", "n", "level", "one", F.explode(F.slice("hots", F.col("k") + 2, F.col("gap"))).alias("second"))
-    combined = pairs.select(F.xxhash64("level", "one", "second").alias("key"), "node", "n", F.col("n").alias("reach"))
-    return _several(rare.union(combined))
+    combined = close.select(F.xxhash64("level", "one", "second").alias("key"), "node", "n", F.col("n").cast("long").alias("reach"), F.lit(None).cast("array<bigint>").alias("before"))
+    return _several(rare.withColumn("reach", F.col("reach").cast("long")).union(pairs.withColumn("reach", F.col("reach").cast("long"))).union(combined))
 
 
 def _index(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, node, n, reach) of keys with several nodes. Two nodes of a key can be similar only if both
+    """Rows (key, node, n, reach, before) of keys with several nodes. Two nodes of a key can be similar only if both
     ``reach`` the overlap that their sizes need: it is the size less what stands before the key in the order."""
     rows = prefixes.select("node", "n", "stubborn", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("reach"), "stubborn")
     plain = rows.where("not stubborn").drop("stubborn")
@@ -184,7 +196,8 @@ def _index(prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     others = rows.where("stubborn").drop("stubborn")
     met = plain.join(others.select("key").distinct(), "key")
     mixed = met.union(others.join(met.select("key").distinct(), "key"))
-    return stored(among.union(mixed).union(_stubborn_index(whole, percent)), "index")
+    plainly = among.union(mixed).select("key", "node", "n", F.col("reach").cast("long").alias("reach"), F.lit(None).cast("array<bigint>").alias("before"))
+    return stored(plainly.union(_stubborn_index(whole, percent)), "index")
 
 
 def _possible(percent: int) -> Column:
@@ -225,10 +238,10 @@ def _rest(index: DataFrame, labels: DataFrame, tried: DataFrame, parities: DataF
     labelled = index.join(known, "node")
     mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
     rows = stored(labelled.join(mixed, "key"), "open")
-    left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
+    left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), F.col("before").alias(f"before_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)
-    meet = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent) & near
+    meet = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent) & near & ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False))
     return stored(left.join(right, meet).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
 
 
@@ -244,7 +257,7 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     Plan: equal sets are folded into their smallest doc_id by a map-side combined minimum, so a group of copies is
     one node; sets are equal if size and 128 bits of hash are. Each index key links its nodes to a leader first;
     components are contracted; only then do nodes of one key that are still in different components meet, and only
-    pairs whose positions and parity sketches allow a link leave that join. So a group of near copies costs links
+    pairs whose positions and parity sketches allow a link leave that join, at the first key that they share. So a group of near copies costs links
     to its leader, not all pairs.
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
