@@ -37,7 +37,7 @@ def similarity(ladders: DataFrame, parents: DataFrame, keys: list[str], parent_k
 
 
 def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.size(values)
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size(values), F.lit(0))
 
 
 def _turned(v: Column) -> Column:
@@ -49,7 +49,7 @@ def array_coherence(v: Column) -> Column:
     """``cyclic_coherence`` of a ladder held in one array."""
     spread = F.array_max(v) - F.array_min(v)
     step = _mean(F.zip_with(v, _turned(v), lambda a, b: F.abs(b - a)))
-    return F.when(F.size(v) < 2, 0.0).when(spread == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - step / (1.25 * spread))))
+    return F.when(F.size(v) < 2, 0.0).when(spread == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - step / F.nullif(1.25 * spread, F.lit(0.0)))))
 
 
 def array_deviation(v: Column) -> Column:

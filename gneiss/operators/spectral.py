@@ -255,7 +255,7 @@ def ladder_points(points: DataFrame, *, seed: int = 1407, steps: int = 12, separ
         now = F.struct(array_coherence(acc["v"]).alias("c"), alike(acc["v"]).alias("s"))
         return F.transform(F.array(now), lambda m: F.struct(
             relaxed_array(acc["v"], F.col("base"), F.col("anchoring")).alias("v"),
-            F.concat(acc["flags"], F.array((m["c"] - F.col("null_mean") >= separation) & ((m["c"] - F.col("null_mean")) / F.col("null_deviation") >= least_z))).alias("flags"),
+            F.concat(acc["flags"], F.array((m["c"] - F.col("null_mean") >= separation) & ((m["c"] - F.col("null_mean")) / F.nullif("null_deviation", F.lit(0.0)) >= least_z))).alias("flags"),
             F.when(acc["back"].isNull() & F.col("_escaped") & (m["s"] >= recovery), k).otherwise(acc["back"]).alias("back"), m["c"].alias("c"), m["s"].alias("s")))[0]
 
     rows = rows.withColumn("_end", F.when(F.col("v").isNotNull(), F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long")), start, step)))
@@ -263,7 +263,7 @@ def ladder_points(points: DataFrame, *, seed: int = 1407, steps: int = 12, separ
     alive = F.slice(flags, born.cast("int"), F.size(flags))
     rows = rows.withColumn("t_e", F.when(born > 0, born - 1).cast("long")).withColumn(
         "s_e", F.when(born > 0, F.size(F.filter(alive, lambda x: x)) / F.size(alive)).otherwise(0.0))
-    last, known = F.element_at(flags, -1), F.col("v").isNotNull() & F.col("null_deviation").isNotNull() & F.col("null_mean").isNotNull()
+    last, known = F.element_at(flags, -1), F.col("v").isNotNull() & F.col("null_deviation").isNotNull() & F.col("null_mean").isNotNull() & (F.col("null_deviation") != 0)
     kind = (F.when(~known, "UNRESOLVED").when(F.col("_escaped") & F.col("_end.back").isNotNull(), "RECOVERED").when(F.col("_escaped") & (F.col("_end.s") < recovery), "ESCAPED")
             .when(last & (F.col("s_e") >= survival), "BOUNDED").when(last, "UNRESOLVED").otherwise("NULL_LIKE"))
     failure = F.when(F.col("v").isNull(), "EMPTY_LADDER").when(~known, "NO_NULL_COHERENCE")

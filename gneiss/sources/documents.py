@@ -1,4 +1,4 @@
-"""JSON, CSV and bundle sources and sinks around DataFrames."""
+"""JSON and CSV sources and sinks around DataFrames, and the bytes of a bundle. Archives are read in ``archives``."""
 
 from __future__ import annotations
 
@@ -72,20 +72,3 @@ def bundle_bytes(members: dict[str, bytes]) -> bytes:
             info.external_attr, info.compress_type = 0o644 << 16, zipfile.ZIP_DEFLATED
             archive.writestr(info, every[name])
     return out.getvalue()
-
-
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, bytes, packed, content) of the members of ZIP bundles; each archive is read in one task."""
-    schema = "archive string, path string, bytes long, packed long, content binary"
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for name, data in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                    rows += [(name, x.filename, x.file_size, x.compress_size, archive.read(x)) for x in archive.infolist()]
-            yield pd.DataFrame(rows, columns=["archive", "path", "bytes", "packed", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
