@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Delete the tables stored inside when the block ends, but for the paths handed to what it yields."""
+    begin, kept = len(_SCRATCH), set()
+    try:
+        yield kept.add
+    finally:
+        done = [e for e in _SCRATCH[begin:] if e[1] not in kept]
+        for entry in done:
+            _SCRATCH.remove(entry)
+            remove(*entry)
+
+
 def _sweep() -> None:
     for spark, path in _SCRATCH:
         try:
