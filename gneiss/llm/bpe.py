@@ -268,7 +268,9 @@ def digests(docs: DataFrame, spec: str) -> DataFrame:
     """Encode each whole text (null: empty), decode the ids, and return counts and digests per row.
 
     Special tokens' strings in a text become their ids, as the library does by default. Repeated rows give
-    repeated rows; an empty table gives an empty one. No shuffle: each Arrow batch is encoded where it is read.
+    repeated rows; an empty table gives an empty one; other columns are left out; equal texts have equal digests, and
+    merges of equal rank go from the left, so there are no ties. Texts of any length are encoded whole. No shuffle:
+    each Arrow batch is encoded where it is read.
     """
 
     def one(codec: Codec, doc_id, text):

@@ -11,22 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public notices by SPDX identifier.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+from gneiss.llm.notices import NOTICES
+
+TEMPLATES = NOTICES
 
 
 @dataclass(frozen=True)
@@ -88,11 +75,14 @@ def band_keys(shingles: Column, bands: Bands) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES, bands: Bands = Bands()) -> DataFrame:
-    """Rows (license, template, length, shingles, key) for every band of every template: a fixed small table."""
-    rows = [(name, k, template_words(text)) for k, (name, text) in enumerate(templates)]
-    table = spark.createDataFrame(rows, "license string, template int, run array<string>")
+    """Rows (license, family, template, length, wanted, key) for every band of every template: a fixed small table."""
+    rows = [(name, family, k, template_words(text)) for k, (name, family, text) in enumerate(templates)]
+    table = spark.createDataFrame(rows, "license string, family string, template int, run array<string>")
     return (table.withColumn("wanted", shingle_array(F.col("run"), bands.shingle))
-            .select("license", "template", F.size("run").alias("length"), "wanted", F.explode(band_keys(F.col("wanted"), bands)).alias("key")))
+            .select("license", "family", "template", F.size("run").alias("length"), "wanted", F.explode(band_keys(F.col("wanted"), bands)).alias("key")))
+
+
+WINDOWS = "array<struct<length:int,place:int,shingles:array<string>,around:array<string>>>"
 
 
 def windows(run: Column, length: int, chosen: list[str], bands: Bands) -> Column:
@@ -111,26 +101,30 @@ def windows(run: Column, length: int, chosen: list[str], bands: Bands) -> Column
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, bands: Bands = Bands()) -> DataFrame:
-    """``doc_id``, ``license``, ``containment`` and ``place`` (the word, from 0, where its best window begins; the
-    first on ties) of every license notice family found in each whole text.
-
-    A notice counts when some window, widened by a stride, contains at least ``bands.contained`` of a template's
-    distinct shingles. Texts without any template's anchor words cannot hold one and are left where they are
-    read. Null and empty texts have none; rows that repeat a doc_id are one document; an empty table gives an
-    empty one; other columns are left out. Only windows near anchors are hashed, and only matches are shuffled.
+    """``doc_id``, ``family``, ``license``, ``containment`` and ``place`` (the word, from 0, where its best window begins)
+    of every family of license notices found in each whole text.
+
+    A notice counts when some window, widened by a stride, contains at least ``bands.contained`` of a template's distinct
+    shingles. Of a family's templates the one with the most shingles found is named; on ties the more contained, then the
+    earlier place, then the first name. Texts without any template's anchor words cannot hold one and are left where they
+    are read. Null and empty texts have none; texts of any length are scanned whole; rows that repeat a doc_id are one
+    document; an empty table gives an empty one; other columns are left out. Marks of comments and line breaks don't
+    matter. Only windows near anchors are hashed, and only matches are shuffled.
     """
     spark = docs.sparkSession
     by_length: dict[int, list[str]] = {}
-    for _, text in templates:
+    for _, _, text in templates:
         run = template_words(text)
         by_length.setdefault(len(run), []).extend(anchors(run, bands))
     every = sorted({w for chosen in by_length.values() for w in chosen})
     near = r"(?i)\b(?:" + "|".join(map(re.escape, every)) + r")\b"
     found = docs.where(F.col("text").rlike(near)).select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("run")).where(F.size("run") > 0)
-    spread = found.select("doc_id", F.explode(F.concat(*(windows(F.col("run"), n, sorted(set(c)), bands) for n, c in sorted(by_length.items())))).alias("w"))
+    marked = found.select("doc_id", "run", F.array_intersect(F.array_distinct("run"), F.array(*map(F.lit, every))).alias("marks"))
+    some = [F.when(F.arrays_overlap("marks", F.array(*map(F.lit, sorted(set(c))))), windows(F.col("run"), n, sorted(set(c)), bands)).otherwise(F.array().cast(WINDOWS)) for n, c in sorted(by_length.items())]
+    spread = marked.select("doc_id", F.explode(F.concat(*some)).alias("w"))
     keyed = spread.select("doc_id", "w.length", "w.place", "w.around", F.explode(F.array_distinct(band_keys(F.col("w.shingles"), bands))).alias("key"))
     table = F.broadcast(template_table(spark, templates, bands))
-    score = F.size(F.array_intersect("wanted", "around")) / F.size("wanted")
-    hits = keyed.join(table, ["length", "key"]).select("doc_id", "license", "place", score.alias("containment")).where(F.col("containment") >= bands.contained)
-    best = hits.groupBy("doc_id", "license").agg(F.max(F.struct("containment", -F.col("place"))).alias("best"))
-    return best.select("doc_id", "license", F.round("best.containment", 6).alias("containment"), (-F.col("best.col2")).cast("long").alias("place"))
+    hits = keyed.join(table, ["length", "key"]).select("doc_id", "family", "license", "place", F.size(F.array_intersect("wanted", "around")).alias("matched"), F.size("wanted").alias("size"))
+    hits = hits.withColumn("containment", F.round(F.col("matched") / F.col("size"), 6)).where(F.col("matched") >= bands.contained * F.col("size"))
+    best = hits.groupBy("doc_id", "family").agg(F.min(F.struct((-F.col("matched")).alias("m"), (-F.col("containment")).alias("c"), "place", "license")).alias("b"))
+    return best.select("doc_id", "family", "b.license", (-F.col("b.c")).alias("containment"), F.col("b.place").cast("long").alias("place"))

@@ -111,7 +111,9 @@ def write_archives(docs: DataFrame, folder: str) -> None:
     Every task writes archives of its own under fresh temporary names and renames each when it is whole, so a lost
     executor leaves only files that the reader ignores; a repeated task (same partition, same rows) overwrites
     its archives with equal bytes. A member's comment carries the unpadded length. Rows with a null doc_id are kept
-    under an empty name. Memory: one payload at a time beside the Arrow batch.
+    under an empty name; repeated rows are members of the same name at other offsets; only doc_id and text are stored.
+    Texts of any length are whole members. An empty table writes no archive. Memory: one payload at a time beside the
+    Arrow batch.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +283,8 @@ def features(members: DataFrame) -> DataFrame:
     """Decode each member and compute digests and features of its samples.
 
     ``feature``: size, mean sample in thousandths, the number of distinct samples and the most frequent one
-    (the smallest on ties), all of the stored samples including padding.
+    (the smallest on ties), all of the stored samples including padding. Null and empty texts have one row of 64 zeros;
+    repeated rows give repeated rows; no members, no rows.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.plans.storage import stored
 
+#: Names of the joined rates; they hold a character that no column of a table here does.
+SOURCE, FIXED, STEPS, DRAWN, COUNT = (f"mix\u00b7{x}" for x in ("source", "fixed", "steps", "u", "count"))
 #: A document's count ends where what is left of the distribution is below this.
 TAIL = 1e-12
 #: The table of sources is broadcast while it holds at most so many numbers (16 MB); beyond that AQE splits hot sources.
@@ -68,23 +70,24 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size:
     part as fixed repetitions and draw the rest. Each copy gets ``mix_copy`` (from 1) and ``mix_key``, an md5 of
     (seed, doc_id, copy); rows are dealt by it into ``partitions`` (default: ``spark.sql.shuffle.partitions``)
     and ordered by it inside, which orders the whole output at random. All input columns are kept; columns named
-    ``mix_*`` in the input are replaced. Null and empty texts are ordinary rows. An empty table gives an empty one.
+    ``mix_copy`` and ``mix_key`` in the input are replaced. Null and empty texts are ordinary rows; equal keys of rows that
+    repeat a doc_id may come in any order. An empty table gives an empty one.
 
     Plan: one small aggregate by source (map-side combined, so a hot source is one row per task), a join back by
     source, and one exchange of the copies, salted by construction since the key is unique per copy.
     """
-    keep = [c for c in docs.columns if not c.lower().startswith("mix_")]
+    keep = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
     rates = replication_rates(docs, weights, size)
     whole = F.when(F.col("mix_rate") > 500, F.floor("mix_rate")).otherwise(F.lit(0)).cast("int")
-    rates = stored(rates.select("mix_source", whole.alias("mix_fixed"), poisson_steps(F.col("mix_rate") - whole).alias("mix_steps")), "mix-rates")
-    steps = rates.agg(F.coalesce(F.sum(F.size("mix_steps")), F.lit(0))).first()[0]
+    rates = stored(rates.select(F.col("mix_source").alias(SOURCE), whole.alias(FIXED), poisson_steps(F.col("mix_rate") - whole).alias(STEPS)), "mix-rates")
+    steps = rates.agg(F.coalesce(F.sum(F.size(STEPS)), F.lit(0))).first()[0]
     if steps <= BROADCAST_STEPS:
         rates = F.broadcast(rates)
-    rated = docs.select(*(F.col(c) for c in keep)).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
+    rated = docs.select(*(F.col(c) for c in keep)).join(rates, F.col("source").eqNullSafe(F.col(SOURCE)))
     u = uniform(seed, F.col("doc_id"))
-    count = F.col("mix_fixed") + F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_u")))
-    copies = (rated.withColumn("mix_u", u).withColumn("mix_count", count).where("mix_count > 0")
-              .select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_count").cast("long"))).alias("mix_copy")))
+    count = F.col(FIXED) + F.size(F.filter(STEPS, lambda c: c <= F.col(DRAWN)))
+    copies = (rated.withColumn(DRAWN, u).withColumn(COUNT, count).where(F.col(COUNT) > 0)
+              .select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col(COUNT).cast("long"))).alias("mix_copy")))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
     copies = copies.withColumn("mix_key", key)
     dealt = copies.repartition(partitions, "mix_key") if partitions else copies.repartition("mix_key")

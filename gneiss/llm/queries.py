@@ -9,8 +9,14 @@ from gneiss.llm import bpe, html_text, language, licenses, line_dedup, media, mi
 from gneiss.plans.storage import scratch_path
 from gneiss.sources.tables import table
 
-#: Where the public tokenizers' files lie.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer() -> str:
+    """Where the public tokenizers' package keeps the vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
 
 
 def op1_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +71,7 @@ def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document under the public byte-level vocabulary."""
-    return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, TOKENIZER))
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.load_vocabulary(spark, tokenizer()))
 
 
 def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
