@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, language, line_dedup, mixing, ngram_join
-from gneiss.llm.queries import TOKENIZER
-from gneiss.plans.storage import stored
+from gneiss.llm.queries import tokenizer
+from gneiss.plans.storage import scratch, scratch_path, stored
 from gneiss.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,11 +34,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates (a row of each repeated doc_id)."""
+    """The document with the smallest doc_id of every group of near duplicates, and the least row of each repeated doc_id."""
     groups = ngram_join.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
     surplus = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("surplus")).distinct(), "surplus")
     few = surplus.count() <= ngram_join.BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(surplus) if few else surplus, F.col("doc_id") == F.col("surplus"), "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(F.broadcast(surplus) if few else surplus, F.col("doc_id") == F.col("surplus"), "left_anti").select(*COLUMNS)
+    several = stored(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return kept
+    one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(several, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every copy."""
-    return bpe.digests(docs, bpe.load_vocabulary(spark, TOKENIZER))
+    return bpe.digests(docs, bpe.load_vocabulary(spark, tokenizer()))
 
 
 STAGES = [
@@ -64,7 +69,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mixed corpus: each stage's result is written and reread, and what a stage has
+    stored on its way is deleted when it ends.
+
+    Null texts and texts without letters go in the first stage; of rows that repeat a doc_id the least stays after
+    near duplicates; extra columns and columns of clashing names are left out by the first
+    stage; an empty table goes through all stages and gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
+            keep(path)
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
     return docs
