@@ -143,14 +143,14 @@ class Model:
     table: np.ndarray | None = None
 
     #: Pieces whose scores a worker keeps; between texts it starts anew beyond this many.
-    CACHED = 300_000
+    CACHED = 200_000
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log scores (word, language)."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
         bits = len(self.weights).bit_length() - 1
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
             rows, owners = features(part, bits)
             for k in range(len(self.languages)):
                 out[a : a + len(part), k] = np.bincount(owners, self.weights[rows, k], len(part))
@@ -166,9 +166,9 @@ class Model:
             rows = list(map(cache.__getitem__, text[at:end].split()))
             if len(cache.parts) > 1 and rows and min(rows) < 0:
                 rows = [r for k in rows for r in (cache.parts[-k] if k < 0 else (k,))]
-            found.append(np.array(rows, np.int64))
+            found.append(np.array(rows, np.int32))
             at = end
-        out = np.concatenate(found) if found else np.zeros(0, np.int64)
+        out = np.concatenate(found) if found else np.zeros(0, np.int32)
         return out[out > 0]
 
     def settle(self) -> np.ndarray:
@@ -345,7 +345,7 @@ def train(docs: DataFrame, settings: Training = Training()) -> Model | None:
     return fit([x for x, _ in rows], [x for _, x in rows], settings)
 
 
-def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -> list[tuple[str, float]]:
+def label_texts(model: Model, texts: list[str | None], cells: int = 400_000) -> list[tuple[str, float]]:
     """Language and mean probability of each whole text; ``und`` and 0 if it is null or has no letter."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     group: list[tuple[int, np.ndarray]] = []
@@ -356,7 +356,7 @@ def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -
 
     def score(part: list[tuple[int, np.ndarray]]) -> None:
         lengths = np.array([len(r) for _, r in part])
-        where = np.zeros((int(lengths[0]), len(part)), np.int64)
+        where = np.zeros((int(lengths[0]), len(part)), np.int32)
         for b, (_, rows) in enumerate(part):
             where[: len(rows), b] = rows
         means = posteriors(model.table[where], lengths, model.transitions).sum(0) / lengths[:, None]
@@ -390,7 +390,7 @@ def label_texts(model: Model, texts: list[str | None], cells: int = 1_500_000) -
         if len(rows):
             group.append((k, rows))
             held += len(rows)
-        if held > 6_000_000:
+        if held > 1_500_000:
             drain()
             held = 0
     drain()

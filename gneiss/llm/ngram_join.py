@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
-from gneiss.plans.storage import release, remove, scratch_path, stored
+from gneiss.plans.storage import arrow_rows, release, remove, scratch_path, stored
 
 #: A shingle that more documents hold than this is frequent.
 FREQUENT = 32
@@ -117,10 +117,10 @@ def _sketched(sets: DataFrame, percent: int) -> DataFrame:
             column = batch.column("set")
             flat, ends, sizes = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy(), batch.column("n").to_numpy()
             begins, stops = ends[:-1] - ends[0], ends[1:] - ends[0]
-            place = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % bits
             odd = np.zeros((batch.num_rows, bits), np.uint8)
             for k, (a, b) in enumerate(zip(begins, stops)):
-                odd[k] = np.bincount(place[a:b], minlength=bits) & 1
+                place = (flat[a:b].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                odd[k] = np.bincount((place % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
             least = np.minimum(sizes, 2 * (sizes + -(sizes * percent // 100)) + 10)
             offsets = np.concatenate([[0], np.cumsum(least)])
             kept = flat[np.repeat(begins - offsets[:-1], least) + np.arange(offsets[-1])]
@@ -262,7 +262,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
     spark, sketches, firsts = docs.sparkSession, scratch_path(docs.sparkSession, "sketches"), scratch_path(docs.sparkSession, "first-prefixes")
-    _sketched(_sets(docs, size), percent).write.parquet(sketches)
+    with arrow_rows(spark, 1_000):  # whole sets
+        _sketched(_sets(docs, size), percent).write.parquet(sketches)
     sketched = spark.read.parquet(sketches)
     scanned, identity = sketched.select("doc_id", F.struct("n", "h", "h2").alias("own")), F.struct("n", "h", "h2")
     several = stored(sketched.groupBy("doc_id").agg(F.min(identity).alias("least"), F.max(identity).alias("most")).where("least <> most").select("doc_id", "least"), "several")
