@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from gneiss.queries import audits, fields, kernels, ladders, panels, predicates, reports, semantics, typed
+from gneiss.queries import audits, fields, fixtures, kernels, ladders, panels, predicates, reports, semantics, typed
 
-MODULES = (panels, ladders, fields, audits, kernels, predicates, typed, reports, semantics)
+MODULES = (panels, ladders, fields, audits, kernels, predicates, typed, reports, semantics, fixtures)
 
 #: Queries over Python kernels (spectra, eigenvalues, sequential random streams), which have no SQL.
 ROWS_ONLY = frozenset(
     "ge12_correlation_spectrum ge10_graph_spectrum ge22_concentration_norm nu11_phase_surrogates nu12_ar1_surrogates "
-    "si5_escape_trials si2_ladder_points ag48_power_by_cell ag49_simulated_power ag63_fragility".split())
+    "si5_escape_trials si2_ladder_points ag48_power_by_cell ag49_simulated_power ag63_fragility si11_suite si14_threshold_calibration".split())
 
 
 def queries() -> dict:
