@@ -120,15 +120,21 @@ def graph_spectrum(edges: DataFrame, key: str) -> DataFrame:
     return edges.select(key, "src", "dst", "w").groupBy(key).applyInPandas(run, f"{key} long, spectral_radius double, return_trace double")
 
 
-def _series_children(panel: DataFrame, children: int, seed: str, make: Callable[[np.ndarray, np.random.Generator], np.ndarray]) -> DataFrame:
+def hashed_draws(n: int, count: int, *parts: object) -> np.ndarray:
+    """Whole numbers in [0, n) for places 0 to ``count`` - 1: the hash of ``nulls.draw``, which every engine can repeat."""
+    stem = "|".join(map(str, parts))
+    return np.array([int(hashlib.md5(f"{stem}|{k}".encode()).hexdigest()[:12], 16) % n for k in range(count)], np.int64)
+
+
+def _series_children(panel: DataFrame, children: int, make: Callable[[np.ndarray, int, int], np.ndarray]) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("day_idx")
-        values = rows["value"].to_numpy(float)
+        values, parent = rows["value"].to_numpy(float), int(rows["parent"].iloc[0])
         missing = np.isnan(values)
         filled = np.where(missing, np.nanmedian(values) if not missing.all() else 0.0, values)
         out = []
         for child in range(1, children + 1):
-            made = make(filled, generator(seed, rows["parent"].iloc[0], child))
+            made = make(filled, child, parent)
             out.append(pd.DataFrame({"parent": rows["parent"].to_numpy(), "child": child, "day_idx": rows["day_idx"].to_numpy(), "value": pd.array(np.where(missing, np.nan, made), "Float64")}))
         return pd.concat(out)
 
@@ -136,31 +142,31 @@ def _series_children(panel: DataFrame, children: int, seed: str, make: Callable[
 
 
 def phase_surrogates(panel: DataFrame, children: int, *, seed: str = "phase") -> DataFrame:
-    """Children with the same amplitudes and random phases; missing days are filled by the median and stay missing."""
-    def make(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Children with the same amplitudes and hashed phases; missing days are filled by the median and stay missing."""
+    def make(x: np.ndarray, child: int, parent: int) -> np.ndarray:
         spectrum = np.fft.rfft(x)
-        phases = rng.uniform(0, 2 * np.pi, len(spectrum))
+        phases = 2 * np.pi * hashed_draws(2**40, len(spectrum), seed, child, parent) / 2.0**40
         phases[0] = 0
         if len(x) % 2 == 0:
             phases[-1] = 0
         return np.fft.irfft(np.abs(spectrum) * np.exp(1j * phases), n=len(x))
 
-    return _series_children(panel, children, seed, make)
+    return _series_children(panel, children, make)
 
 
 def ar1_surrogates(panel: DataFrame, children: int, *, seed: str = "ar1") -> DataFrame:
-    """Children that rerun a first-order autoregression with resampled residuals."""
-    def make(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Children that rerun a first-order autoregression with residuals drawn by hash."""
+    def make(x: np.ndarray, child: int, parent: int) -> np.ndarray:
         before, after = x[:-1], x[1:]
         phi = float(before @ after / max(before @ before, 1e-12))
-        drawn = rng.choice(after - phi * before, len(x) - 1)
+        drawn = (after - phi * before)[hashed_draws(max(1, len(x) - 1), len(x) - 1, seed, child, parent)]
         out = np.empty_like(x)
         out[0] = x[0]
         for k in range(1, len(x)):
             out[k] = phi * out[k - 1] + drawn[k - 1]
         return out
 
-    return _series_children(panel, children, seed, make)
+    return _series_children(panel, children, make)
 
 
 SERIES = ("iid", "ar1", "seasonal", "burst", "change_point")

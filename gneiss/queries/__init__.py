@@ -8,7 +8,7 @@ MODULES = (panels, ladders, fields, audits, kernels, predicates, typed, reports,
 
 #: Queries over Python kernels (spectra, eigenvalues, sequential random streams), which have no SQL.
 ROWS_ONLY = frozenset(
-    "ge12_correlation_spectrum ge10_graph_spectrum ge22_concentration_norm nu11_phase_surrogates nu12_ar1_surrogates "
+    "ge12_correlation_spectrum ge10_graph_spectrum ge22_concentration_norm "
     "si5_escape_trials si2_ladder_points ag48_power_by_cell ag49_simulated_power ag63_fragility si11_suite si14_threshold_calibration".split())
 
 

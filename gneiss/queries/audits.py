@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import audit, endpoints, inference
+from gneiss.operators import audit, endpoints, inference, summaries
 from gneiss.queries.common import Registry, r, result
 from gneiss.sources.documents import number_or_null
 from gneiss.sources.tables import table
@@ -126,13 +126,13 @@ def st6_candidate_ranking(spark, sf_dir):
 
 @query("SELECT event_type AS classification, count(*) AS points, round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY 1")
 def ag1_result_statistics(spark, sf_dir):
-    return result(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("classification")).agg(F.count(F.lit(1)).alias("points"), F.avg("value").alias("mean_value")))
+    return result(summaries.result_statistics(table(spark, sf_dir, "events").withColumnRenamed("event_type", "classification"), "classification", "value"))
 
 
 @query("SELECT winner, count(*) AS n FROM (SELECT nullif(l_linenumber % 4, 0) AS winner FROM lineitem) WHERE winner IS NOT NULL GROUP BY 1")
 def ag2_winner_histogram(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.nullif((F.col("l_linenumber") % 4).cast("long"), F.lit(0)).alias("winner"))
-    return items.where("winner is not null").groupBy("winner").agg(F.count(F.lit(1)).alias("n"))
+    return summaries.winner_histogram(items)
 
 
 SURFACE = "SELECT CASE o_custkey % 6 WHEN 0 THEN 'baseline' ELSE concat('c', CAST(o_custkey % 6 AS VARCHAR)) END AS condition, 6 + o_orderkey % 9 AS n, count(*) AS parents, avg(CAST(o_totalprice > 200000 AS DOUBLE)) AS ui, median(o_totalprice) / 100000 AS nss, avg(o_totalprice) > 245000 OR (6 + o_orderkey % 9) IN (8, 9, 10) AS sep FROM orders GROUP BY 1, 2, (6 + o_orderkey % 9) IN (8, 9, 10)"
@@ -205,3 +205,32 @@ def j18_ladder_registry(spark, sf_dir):
     base = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("station"), F.explode(F.array(*(F.lit(c) for c in ("baseline", "scale_095", "scale_105")))).alias("condition"))
     every = base.withColumn("child", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     return every.withColumn("ladder_id", F.concat(F.lit("L-"), F.lpad(F.col("station").cast("string"), 2, "0"), F.lit("-"), "condition", F.lit("-"), F.lpad(F.col("child").cast("string"), 3, "0")))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha256, text LIKE '%' || chr(13) || '%' AS changed FROM (SELECT doc_id, replace(text, ' ', chr(13) || chr(10)) AS text FROM documents WHERE text IS NOT NULL)")
+def io31_normalized_lines(spark, sf_dir):
+    """Documents whose spaces have become Windows line ends, normalized."""
+    from gneiss.sources.archives import normalized_lines
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.encode(F.replace("text", F.lit(" "), F.lit("\r\n")), "UTF-8").alias("content"))
+    return normalized_lines(docs).select(F.col("path").alias("doc_id"), "sha256", "changed")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, at AS line, 'ADDRESS' AS code FROM l WHERE regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+') UNION ALL SELECT doc_id, at, 'LICENSE' FROM l WHERE regexp_matches(line, '[Ll]icen[cs]ed? ')""")
+def io31_content_scan(spark, sf_dir):
+    from gneiss.sources.archives import content_scan
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    found = content_scan(docs, {"ADDRESS": "[a-z0-9.]+@[a-z0-9.]+", "LICENSE": "[Ll]icen[cs]ed? "})
+    return found.select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), "code")
+
+
+@query("SELECT 'x/Data_' || n_name || '_' || n_nationkey || '.csv' AS member, n_name AS station FROM nation")
+def io8_station_of_name(spark, sf_dir):
+    from gneiss.sources.archives import station_of
+
+    nations = table(spark, sf_dir, "nation")
+    names = [x.n_name for x in nations.select("n_name").collect()]  # the registry of stations: 25 names
+    member = F.concat(F.lit("x/Data_"), F.col("n_name"), F.lit("_"), F.col("n_nationkey").cast("string"), F.lit(".csv"))
+    return nations.select(member.alias("member")).withColumn("station", station_of(F.col("member"), names))

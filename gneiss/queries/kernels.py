@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.operators import audit, blocks, dynamics, geometry, inference, ladder, nulls, panel, spectral
+from gneiss.operators import audit, blocks, dynamics, geometry, inference, ladder, nulls, panel, spectral, summaries
 from gneiss.plans.storage import stored
 from gneiss.queries import fields, ladders, panels
 from gneiss.queries.common import Registry, r, result, with_ctes
@@ -43,13 +43,23 @@ def ge22_concentration_norm(spark, sf_dir):
     return result(spectral.concentration_norm(cells, "field"))
 
 
-@query()
+_FILLED = ", filled AS (SELECT parent, day_idx AS t, value IS NULL AS missing, coalesce(value, median(value) OVER (PARTITION BY parent)) AS x, count(*) OVER (PARTITION BY parent) AS n FROM canonical), kids AS (SELECT unnest(range(1, 4)) AS child)"
+_PHASE = panels.draw_sql(str(2**40), "'phase'", "child", "parent", "k")
+
+
+@query(with_ctes(panels.CTES, "readings daily panel centred scales canonical", _FILLED + f""", s AS (SELECT parent, k, first(n) AS n, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k * t) % n) / n)) AS im FROM filled, (SELECT unnest(range(0, (SELECT max(n) // 2 + 1 FROM filled))) AS k) WHERE k <= n // 2 GROUP BY 1, 2),
+a AS (SELECT parent, child, k, n, sqrt(re * re + im * im) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS size, CASE WHEN k = 0 OR 2 * k = n THEN 0.0 ELSE 2 * pi() * ({_PHASE}) / {float(2**40)} END AS phase FROM s, kids)
+SELECT f.parent, CAST(child AS BIGINT) AS child, f.t AS day_idx, round(CASE WHEN NOT first(missing) THEN sum(size * cos(2 * pi() * ((k * f.t) % f.n) / f.n + phase)) / first(f.n) END, 6) + 0.0 AS value FROM filled f JOIN a ON a.parent = f.parent GROUP BY f.parent, child, f.t"""))
 def nu11_phase_surrogates(spark, sf_dir):
     return result(spectral.phase_surrogates(panels.canonical(spark, sf_dir), 3))
 
 
-@query()
+@query(with_ctes(panels.CTES, "readings daily panel centred scales canonical", _FILLED + f""", l AS (SELECT *, lag(x) OVER (PARTITION BY parent ORDER BY t) AS b FROM filled), p AS (SELECT parent, sum(b * x) / greatest(sum(CASE WHEN b IS NOT NULL THEN b * b END), 1e-12) AS phi FROM l GROUP BY 1),
+e AS (SELECT l.parent, t - 1 AS k, x - phi * b AS e FROM l JOIN p ON p.parent = l.parent WHERE b IS NOT NULL), d AS (SELECT parent, child, t, {panels.draw_sql('(n - 1)', "'ar1'", 'child', 'parent', '(t - 1)')} AS k FROM filled, kids WHERE t > 0),
+g AS (SELECT d.parent, d.child, d.t, e.e AS v FROM d JOIN e ON e.parent = d.parent AND e.k = d.k UNION ALL SELECT parent, child, t, x FROM filled, kids WHERE t = 0)
+SELECT f.parent, CAST(g.child AS BIGINT) AS child, f.t AS day_idx, round(CASE WHEN NOT first(missing) THEN sum(v * pow(phi, f.t - g.t)) END, 6) + 0.0 AS value FROM filled f JOIN g ON g.parent = f.parent AND g.t BETWEEN f.t - 80 AND f.t JOIN p ON p.parent = f.parent GROUP BY f.parent, g.child, f.t"""))
 def nu12_ar1_surrogates(spark, sf_dir):
+    """The SQL sums 80 lags: what is beyond weighs less than the sixth digit for the panels' phi."""
     return result(spectral.ar1_surrogates(panels.canonical(spark, sf_dir), 3))
 
 
@@ -76,7 +86,7 @@ def ag48_power_by_cell(spark, sf_dir):
     cells = spark.range(0, 24).select(F.when(F.col("id") % 2 == 0, "iid").otherwise("ar1").alias("kind"), F.lit(0.6).alias("phi"), F.col("id").alias("replicate"))
     series = spectral.synthetic_series(cells, 420)
     scores = stored(blocks.block_persistence(series, ["kind", "replicate"], [6]), "power")
-    return result(scores.groupBy("kind", "n").agg(F.avg((F.col("score") > 0.2).cast("double")).alias("power"), F.count("score").alias("series")))
+    return result(summaries.power(scores, ["kind", "n"], 0.2))
 
 
 @query()
@@ -107,12 +117,8 @@ def ag53_winner_distribution(spark, sf_dir):
 
 @query(with_ctes(panels.CTES, CHAIN, f", e AS ({CLOSURE_NULLS}), p AS (SELECT a.parent, CAST(a.n AS BIGINT) AS n, a.error < b.error AS better FROM e a JOIN e b ON a.parent = b.parent AND a.child = 0 AND b.child = 0 AND a.n = 14 AND b.n <> 14) SELECT CAST(x.n AS BIGINT) AS n, count(*) AS pairs, count(*) FILTER (WHERE a.error < x.error) AS better, {r(panels.binomial_sql('count(*) FILTER (WHERE a.error < x.error)', 'count(*)'), 'sign_p')} FROM e a JOIN e x ON a.parent = x.parent AND a.child = 0 AND x.child = 0 AND a.n = 14 AND x.n <> 14 GROUP BY 1").replace(", p AS (SELECT a.parent, CAST(a.n AS BIGINT) AS n, a.error < b.error AS better FROM e a JOIN e b ON a.parent = b.parent AND a.child = 0 AND b.child = 0 AND a.n = 14 AND b.n <> 14)", ""))
 def j3_comparator_pairs(spark, sf_dir):
-    from gneiss.functions.robust import binomial_upper
-
     errors = stored(blocks.closure_error(panels.canonical(spark, sf_dir), ["parent"], panels.SIZES), "errors")
-    other = errors.where("n <> 14").select("parent", "n", F.col("error").alias("other"))
-    pairs = errors.where("n = 14").select("parent", "error").join(other, "parent").groupBy("n").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("error") < F.col("other")).alias("better"))
-    return result(pairs.withColumn("sign_p", binomial_upper(F.col("better"), F.col("pairs"))))
+    return result(summaries.comparator_pairs(errors, 14))
 
 
 CONDITION_DAYS = "WITH h AS (" + panels.HOURLY + "), c AS (" + " UNION ALL ".join(
@@ -148,15 +154,12 @@ def ag51_upper_p_with_ties(spark, sf_dir):
 @query("WITH t AS (SELECT o_orderkey % 2 = 0 AS truth, o_totalprice > 250000 AS claim, o_orderstatus AS family FROM orders) SELECT family, count(*) FILTER (WHERE truth AND claim) AS tp, count(*) FILTER (WHERE NOT truth AND claim) AS fp, round(avg(CAST(claim AS DOUBLE)) FILTER (WHERE truth), 6) + 0.0 AS power, round(avg(CAST(claim AS DOUBLE)) FILTER (WHERE NOT truth), 6) + 0.0 AS false_rate, round(avg(CAST(claim = truth AS DOUBLE)), 6) + 0.0 AS agreement FROM t GROUP BY 1")
 def ag52_method_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2 == 0).alias("truth"), (F.col("o_totalprice") > 250000).alias("claim"), F.col("o_orderstatus").alias("family"))
-    yes, no = F.col("truth"), ~F.col("truth")
-    return result(rows.groupBy("family").agg(
-        F.count_if(yes & F.col("claim")).alias("tp"), F.count_if(no & F.col("claim")).alias("fp"), F.avg(F.when(yes, F.col("claim").cast("double"))).alias("power"),
-        F.avg(F.when(no, F.col("claim").cast("double"))).alias("false_rate"), F.avg((F.col("claim") == F.col("truth")).cast("double")).alias("agreement")))
+    return result(summaries.method_metrics(rows, ["family"], "truth", "claim"))
 
 
 @query("SELECT round(count(*) FILTER (WHERE l_discount > 0.08)::DOUBLE / count(*), 6) + 0.0 AS failure_fraction FROM lineitem")
 def ag65_failure_fraction(spark, sf_dir):
-    return result(table(spark, sf_dir, "lineitem").agg((F.count_if(F.col("l_discount") > 0.08) / F.count(F.lit(1))).alias("failure_fraction")))
+    return result(summaries.failure_fraction(table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.08))
 
 
 @query(with_ctes(ladders.CTES, "ladders", ", t AS (SELECT ladder, child, pos, value, (pos - 1) // 30 AS c, (pos - 1) % 30 AS k, count(*) OVER (PARTITION BY ladder, child) // 30 AS n FROM ladders, (SELECT unnest(range(1, 3)) AS child)), m AS (SELECT ladder, child, c, row_number() OVER (PARTITION BY ladder, child ORDER BY md5(concat_ws('|', 'chunk', CAST(child AS VARCHAR), ladder, CAST(c AS VARCHAR))), c) - 1 AS to_c FROM (SELECT DISTINCT ladder, child, c FROM t WHERE c < n)) SELECT t.ladder, CAST(t.child AS BIGINT) AS child, to_c * 30 + k AS day_idx, round(value, 6) + 0.0 AS value FROM t JOIN m ON t.ladder = m.ladder AND t.child = m.child AND t.c = m.c UNION ALL SELECT ladder, CAST(child AS BIGINT), pos - 1, round(value, 6) + 0.0 FROM t WHERE c >= n"))
@@ -167,7 +170,7 @@ def nu15_chunk_shuffle(spark, sf_dir):
 
 @query(with_ctes(fields.CTES, "cells grid", ", s AS (SELECT field, i, sqrt(sum(u * u + v * v)) AS size FROM grid GROUP BY 1, 2) SELECT field, i, round(size, 6) + 0.0 AS size FROM s"))
 def ge14_scalarize(spark, sf_dir):
-    return result(fields.grid(spark, sf_dir).groupBy("field", "i").agg(F.sqrt(F.sum(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).alias("size")))
+    return result(summaries.magnitudes(fields.grid(spark, sf_dir), ["field", "i"], ["u", "v"]))
 
 
 @query(with_ctes(fields.CTES, "cells grid zeroed slopes", f", e AS (SELECT field, avg((dv_dj - du_di) * (dv_dj - du_di)) FILTER (WHERE seen) AS curl, avg((du_dj + dv_di) * (du_dj + dv_di)) FILTER (WHERE seen) AS div FROM slopes GROUP BY 1) SELECT {r('median(curl)', 'curl_energy')}, {r('median(div)', 'divergence_energy')} FROM e"))
@@ -178,11 +181,10 @@ def ge8_vector_frame_medians(spark, sf_dir):
 
 @query("WITH w AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey % 5 <> 0), a AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 <> 0), n AS (SELECT DISTINCT c_nationkey::BIGINT AS k FROM customer) SELECT coalesce(x.k, n.k) AS k, coalesce(w, false) AS in_items, coalesce(a, false) AS in_suppliers, n.k IS NOT NULL AS in_nations FROM (SELECT coalesce(w.k, a.k) AS k, w.k IS NOT NULL AS w, a.k IS NOT NULL AS a FROM w FULL JOIN a ON w.k = a.k) x FULL JOIN n ON x.k = n.k")
 def j10_three_way_inventory(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).where("k % 5 <> 0").distinct().withColumn("in_items", F.lit(True))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).where("k % 7 <> 0").withColumn("in_suppliers", F.lit(True))
-    nations = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k")).distinct().withColumn("in_nations", F.lit(True))
-    joined = items.join(suppliers, "k", "full_outer").join(nations, "k", "full_outer")
-    return joined.select("k", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_items", "in_suppliers", "in_nations")))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).where("k % 5 <> 0")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).where("k % 7 <> 0")
+    nations = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"))
+    return summaries.inventories({"items": items, "suppliers": suppliers, "nations": nations}, "k")
 
 
 @query("WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS s FROM documents) SELECT s AS sha256, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import endpoints, inference, ladder, nulls
+from gneiss.operators import endpoints, inference, ladder, nulls, summaries
 from gneiss.queries.common import Registry, r, result, with_ctes
 from gneiss.queries.panels import draw_sql
 from gneiss.sources.tables import table
@@ -184,7 +184,7 @@ def ag28_operating_envelope(spark, sf_dir):
 
 @query("SELECT user_id % 7 AS g, coalesce(quantile_cont(value, 0.9), 'inf'::DOUBLE) AS p90 FROM events GROUP BY 1")
 def ag30_p90(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 7).alias("g")).agg(F.coalesce(F.percentile("value", F.lit(0.9)), F.lit(float("inf"))).alias("p90"))
+    return summaries.p90(table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 7), ["g"], "value")
 
 
 TRACE = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value > 80 AS separated, value / 100 AS similarity FROM events"

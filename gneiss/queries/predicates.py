@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import audit, validation
+from gneiss.operators import audit, summaries, validation
 from gneiss.queries.common import Registry, result
 from gneiss.sources.tables import table
 
@@ -37,13 +37,13 @@ def pf11_mutations(spark, sf_dir):
 
 @query("SELECT c_custkey, least(c_custkey % 5, c_nationkey % 4, 2)::BIGINT AS level FROM customer")
 def pf13_claim_ceiling(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.least(F.col("c_custkey") % 5, (F.col("c_nationkey") % 4).cast("long"), F.lit(2).cast("long")).alias("level"))
+    return table(spark, sf_dir, "customer").select("c_custkey", summaries.claim_ceiling(F.col("c_custkey") % 5, F.col("c_nationkey") % 4).alias("level"))
 
 
 @query("SELECT s_suppkey, s_acctbal > 0 AND s_nationkey < 20 AND s_suppkey % 4 <> 0 AND length(s_name) > 3 AND s_suppkey > 0 AS applies FROM supplier")
 def pf14_applicability(spark, sf_dir):
-    flags = F.array(F.col("s_acctbal") > 0, F.col("s_nationkey") < 20, F.col("s_suppkey") % 4 != 0, F.length("s_name") > 3, F.col("s_suppkey") > 0)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.forall(flags, lambda x: x).alias("applies"))
+    flags = (F.col("s_acctbal") > 0, F.col("s_nationkey") < 20, F.col("s_suppkey") % 4 != 0, F.length("s_name") > 3, F.col("s_suppkey") > 0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", summaries.applicable(*flags).alias("applies"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 5 WHEN 'purchase' THEN 1 END::BIGINT AS repeats FROM events")
@@ -81,5 +81,4 @@ def pf23_numeric_summary(spark, sf_dir):
 
 @query("SELECT event_id, round(value * 0.0254, 9) + 0.0 AS metres FROM events WHERE value IS NOT NULL AND NOT isnan(value)")
 def pf24_unit_conversion(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return rows.select("event_id", (F.round(F.col("value") * 0.0254, 9) + 0.0).alias("metres"))
+    return table(spark, sf_dir, "events").select("event_id", summaries.converted(F.col("value"), 0.0254).alias("metres")).where("metres is not null")

@@ -112,3 +112,28 @@ def test_json_nodes_depth_and_difference(spark):
     assert got == {(1, "$.a[1].b", "null", "0"), (1, "$.c", '"x"', None), (1, "$.d", None, '"x"')}
     with pytest.raises(ValueError, match="deeper"):
         reports.json_nodes(spark.createDataFrame([(1, "[" * 9 + "]" * 9)], "key long, document string"), ["key"], "document", deepest=4)
+
+
+def test_documents_as_sources_and_sinks(spark, tmp_path):
+    from gneiss.sources import documents
+
+    frame = spark.createDataFrame([(1, float("nan"), "a"), (2, 1.5, None), (3, float("inf"), "")], "k int, x double, s string")
+    documents.write_csv(frame.coalesce(1), f"file://{tmp_path}/csv")
+    (name,) = [n for n in os.listdir(tmp_path / "csv") if n.endswith(".csv")]
+    assert sorted((tmp_path / "csv" / name).read_text().splitlines()) == ["1,,a", "2,1.5,", "3,,", "k,x,s"]
+    assert documents.canonical_json({"b": [1, 2.5], "a": "é"}) == '{"a":"é","b":[1,2.5]}\n'
+    with pytest.raises(ValueError):
+        documents.canonical_json({"x": float("nan")})
+    packs = [{"domain_id": "one", "title": "t", "claim_authority": "COMPUTED", "ladder": [1, 2, 3, 4.5], "source": {"doi": "x"}}, {"domain_id": "short", "ladder": [1, 2]}]
+    (tmp_path / "packs").mkdir()
+    for k, p in enumerate(packs):
+        (tmp_path / "packs" / f"{k}.json").write_text(json.dumps(p, indent=1))
+    rows = documents.ladders_of(documents.read_json(spark, f"file://{tmp_path}/packs", documents.LADDER_PACK)).orderBy("pos").collect()
+    assert [(r.ladder, r.pos, r.value) for r in rows] == [("one", 1, 1.0), ("one", 2, 2.0), ("one", 3, 3.0), ("one", 4, 4.5)]
+    (tmp_path / "packs" / "9.json").write_text("{broken")
+    with pytest.raises(Exception):
+        documents.read_json(spark, f"file://{tmp_path}/packs", documents.LADDER_PACK).collect()
+    (tmp_path / "s.csv").write_text("a,b\n1,x\n")
+    assert documents.read_station_csv(spark, f"file://{tmp_path}/s.csv", ["a", "b"]).first().b == "x"
+    with pytest.raises(Exception):
+        documents.read_station_csv(spark, f"file://{tmp_path}/s.csv", ["a", "c"]).collect()
