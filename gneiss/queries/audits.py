@@ -216,8 +216,8 @@ def io31_normalized_lines(spark, sf_dir):
     return normalized_lines(docs).select(F.col("path").alias("doc_id"), "sha256", "changed")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, at AS line, 'ADDRESS' AS code FROM l WHERE regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+') UNION ALL SELECT doc_id, at, 'LICENSE' FROM l WHERE regexp_matches(line, '[Ll]icen[cs]ed? ')""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, place AS line, 'ADDRESS' AS code FROM l WHERE regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+') UNION ALL SELECT doc_id, place, 'LICENSE' FROM l WHERE regexp_matches(line, '[Ll]icen[cs]ed? ')""")
 def io31_content_scan(spark, sf_dir):
     from gneiss.sources.archives import content_scan
 
