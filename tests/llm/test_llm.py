@@ -259,7 +259,9 @@ def test_components_of_odd_rows(odd, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
-def test_connected_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("split", [0, 500_000])
+def test_connected_components_of_chains_and_stars(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "SPLIT", split)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(50)}
