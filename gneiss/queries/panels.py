@@ -213,9 +213,13 @@ def ag36_climatology_ar1(spark, sf_dir):
     return result(panel.climatology_ar1(day_panel(spark, sf_dir)))
 
 
-@query(with_ctes(CTES, "readings daily panel centred scales canonical nulls", f"SELECT parent, CAST(child AS BIGINT) AS child, day_idx, {r('value', 'value')} FROM nulls"))
+@query(with_ctes(CTES, "readings daily panel centred scales canonical nulls", f"SELECT parent, CAST(child AS BIGINT) AS child, CAST(date_trunc('month', day) AS DATE) AS month, count(value) AS known, {r('sum(value * (day_idx + 1)) / 1000', 'moment')} FROM nulls JOIN (SELECT DISTINCT day_idx AS d, day AS first_day FROM canonical) ON d = day_idx GROUP BY 1, 2, 3").replace("date_trunc('month', day) AS DATE", "date_trunc('month', first_day) AS DATE"))
 def nu3_month_strata_permutation(spark, sf_dir):
-    return result(nulls.month_strata_nulls(canonical(spark, sf_dir), CHILDREN))
+    """All children of all parents, as a moment of each month that depends on the days' order."""
+    series = stored(canonical(spark, sf_dir), "canonical")
+    children = nulls.month_strata_nulls(series, CHILDREN).join(F.broadcast(series.select("day_idx", "day").distinct()), "day_idx")
+    out = children.groupBy("parent", "child", F.trunc("day", "month").alias("month")).agg(F.count("value").alias("known"), (F.sum(F.col("value") * (F.col("day_idx") + 1)) / 1000).alias("moment"))
+    return result(out)
 
 
 CTES["sized"] = "SELECT *, count(*) OVER (PARTITION BY parent) AS len FROM panel"
@@ -412,7 +416,7 @@ def ag26_channel_null_summary(spark, sf_dir):
 
 @query(with_ctes(CTES, SURFACE_CHAIN + " closure", f", pass AS (SELECT parent, n, coalesce(eligible AND local_p <= 0.05 AND robust_z >= 2.0, false) AS ok FROM cells), isl AS (SELECT parent, n, ok, row_number() OVER (PARTITION BY parent ORDER BY n) - row_number() OVER (PARTITION BY parent, ok ORDER BY n) AS i FROM pass), runs AS (SELECT parent, min(n) AS first, count(*) AS size FROM isl WHERE ok GROUP BY parent, i), f AS (SELECT parent, first, size FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY first) AS k FROM runs) WHERE k = 1) SELECT p.parent, CAST(f.first AS BIGINT) AS t_e, coalesce(size, 0) AS contiguous, {r('coalesce(size, 0) / 9.0', 's_e')} FROM (SELECT DISTINCT parent FROM cells) p LEFT JOIN f ON f.parent = p.parent"))
 def ag33_parent_endpoints(spark, sf_dir):
-    return result(endpoints.parent_endpoints(cells_of(spark, sf_dir), len(SIZES)))
+    return result(endpoints.parent_endpoints(stored(cells_of(spark, sf_dir), "cells"), len(SIZES)))
 
 
 LOO = surface_ctes("crossed", "omitted, condition", 9)
