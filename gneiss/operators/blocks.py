@@ -14,12 +14,24 @@ LEAST_FRACTION = 0.8
 def block_means(series: DataFrame, keys: list[str], sizes: list[int], *, phase: int = 0) -> DataFrame:
     """(keys, n, block, value): means of whole blocks of n days from ``phase``; null with under 80 % observed days.
 
-    Every size is made from the same scan; block numbers count from 0 and incomplete last blocks are left out.
+    Every size is made from one pass: sums run along a series, and a block's is the one at its last day less what was
+    before its first, so each day has a row only for the sizes whose blocks begin or end there. All later steps are
+    partitioned as that pass is. Block numbers count from 0 and incomplete blocks are left out.
     """
-    rows = series.where(F.col("day_idx") >= phase).select(*keys, "day_idx", "value", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("n"))
-    rows = rows.withColumn("block", F.floor((F.col("day_idx") - phase) / F.col("n")))
-    grouped = rows.groupBy(*keys, "n", "block").agg(F.count(F.lit(1)).alias("days"), F.count("value").alias("seen"), F.avg("value").alias("mean"))
-    return grouped.where(F.col("days") == F.col("n")).select(*keys, "n", "block", F.when(F.col("seen") >= F.ceil(LEAST_FRACTION * F.col("n")), F.col("mean")).alias("value"))
+    along = Window.partitionBy(*keys).orderBy("day_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = series.where(F.col("day_idx") >= phase).select(*keys, "day_idx", "value").select(
+        *keys, (F.col("day_idx") - phase).alias("_d"), "value", F.coalesce(F.sum("value").over(along), F.lit(0.0)).alias("_sum"), F.count("value").over(along).alias("_seen"), F.count(F.lit(1)).over(along).alias("_days"))
+    before = (F.col("_sum") - F.coalesce("value", F.lit(0.0)), F.col("_seen") - F.col("value").isNotNull().cast("long"), F.col("_days") - 1)
+
+    def mark(n: int, total: Column, seen: Column, days: Column) -> Column:
+        return F.struct(F.lit(n).cast("long").alias("n"), F.floor(F.col("_d") / n).alias("block"), total.alias("total"), seen.alias("seen"), days.alias("days"))
+
+    begins = [F.when(F.col("_d") % n == 0, mark(n, *(-x for x in before))) for n in sizes]
+    ends = [F.when(F.col("_d") % n == n - 1, mark(n, F.col("_sum"), F.col("_seen"), F.col("_days"))) for n in sizes]
+    marks = rows.select(*keys, F.explode(F.array_compact(F.array(*begins, *ends))).alias("m")).select(*keys, "m.*")
+    grouped = marks.groupBy(*keys, "n", "block").agg(F.count(F.lit(1)).alias("marks"), F.sum("days").alias("days"), F.sum("seen").alias("seen"), F.sum("total").alias("total"))
+    whole = grouped.where((F.col("marks") == 2) & (F.col("days") == F.col("n")))
+    return whole.select(*keys, "n", "block", F.when(F.col("seen") >= F.ceil(LEAST_FRACTION * F.col("n")), F.col("total") / F.nullif("seen", F.lit(0))).alias("value"))
 
 
 def _next(keys: list[str], wrap: bool = False, order: str = "block", value: str = "value") -> Column:

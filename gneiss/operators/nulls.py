@@ -41,11 +41,13 @@ def permuted_within(rows: DataFrame, keys: list[str], index: str, strata: list[C
 def month_strata_nulls(panel: DataFrame, children: int, *, seed: str = "null") -> DataFrame:
     """Complete days permuted within each calendar month of a parent.
 
-    A month has at most 31 days, so it is gathered once into an array; children are then made row by row without
-    another exchange, and the canonical series is computed once whatever their number.
+    A month has at most 31 days, so it is gathered once into an array and the canonical series is computed once whatever
+    the number of children. A panel is small and its children are many times larger, so months are dealt by parent and
+    child into all partitions before their days are hashed; what follows by parent and child needs no other exchange.
     """
     months = panel.groupBy("parent", F.trunc("day", "month").alias("month")).agg(F.sort_array(F.collect_list(F.struct("day_idx", "value"))).alias("days"))
-    kids = with_children(months, children)
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kids = with_children(months, children).repartition(parts, "parent", "child")
 
     def key(x: Column) -> Column:
         return F.struct(hashed(seed, F.col("child"), F.col("parent"), x["day_idx"]).alias("h"), x["day_idx"].alias("d"), x["value"].alias("value"))
