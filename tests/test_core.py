@@ -136,3 +136,24 @@ def test_bundles_are_repeatable_bytes():
     one = bundle_bytes({"b": b"2", "a": b"1"})
     assert one == bundle_bytes({"a": b"1", "b": b"2"})
     assert zipfile.ZipFile(io.BytesIO(one)).namelist() == ["a", "b", "manifest.json"]
+
+
+def test_block_means_of_gaps_and_missing_values(spark):
+    """Rows that lack days, null values and a phase, against a plain loop."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(p, d, None if rng.random() < 0.1 else rng.uniform(-5, 5)) for p in (1, 2) for d in range(120) if rng.random() < 0.97]
+    days = spark.createDataFrame(rows, "parent long, day_idx long, value double")
+    for phase in (0, 4):
+        got = {(r.parent, r.n, r.block): r.value for r in blocks.block_means(days, ["parent"], [1, 5, 7], phase=phase).collect()}
+        want = {}
+        for p in (1, 2):
+            values = {d: v for q, d, v in rows if q == p and d >= phase}
+            for n in (1, 5, 7):
+                for b in range(120 // n):
+                    span = [phase + b * n + k for k in range(n)]
+                    if all(d in values for d in span):
+                        seen = [values[d] for d in span if values[d] is not None]
+                        want[p, n, b] = sum(seen) / len(seen) if len(seen) >= math.ceil(0.8 * n) else None
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
