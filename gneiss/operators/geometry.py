@@ -126,7 +126,7 @@ def permute_cells(grid: DataFrame, keys: list[str], children: int, *, seed: str
 
 
 def smooth(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of each cell and its four neighbours on a torus."""
+    """Mean of each cell and its four neighbours; the grid wraps around."""
     def ring(axis: str, other: str) -> Column:
         w = Window.partitionBy(*keys, other).orderBy(axis)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
