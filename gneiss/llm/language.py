@@ -427,6 +427,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
+        if fitted:
+            fitted.forget()  # an idle worker keeps weights alone
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
 
@@ -449,5 +451,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(at).to_pylist()
             found = label_texts(fitted, texts) if fitted else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "lang_score"])
+        if fitted:
+            fitted.forget()
 
     return docs.select(*keep).mapInArrow(run, schema)
