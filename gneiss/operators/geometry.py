@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,35 +222,104 @@ def triangles(edges: DataFrame) -> DataFrame:
     return count.crossJoin(wedges).withColumn("transitivity", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")).otherwise(0.0))
 
 
-def nearest_points(points: DataFrame, *, cell: float, asked: DataFrame | None = None) -> DataFrame:
-    """Each point's nearest other point (the smaller id on ties), for points whose nearest lies within ``cell``.
+#: Distinct positions of a block in which nearest points are searched first.
+BLOCK = 64
 
-    Points meet only in neighbouring cells of side ``cell``; a point with no other within that distance has a null
-    ``other``. ``asked`` are the points to answer for (default: all).
+
+def _distance(x: Column, y: Column, p: Column, q: Column) -> Column:
+    return F.sqrt((x - p) * (x - p) + (y - q) * (y - q))
+
+
+def _box_distance(x: Column, y: Column) -> Column:
+    """Distance to the box ``x0``, ``x1``, ``y0``, ``y1``: in floating point too, at most that to any position inside."""
+    dx, dy = (F.greatest(F.lit(0.0), F.col(f"{c}0") - v, v - F.col(f"{c}1")) for c, v in (("x", x), ("y", y)))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _nearest_in(rows: DataFrame) -> DataFrame:
+    """(id, distance, other) of the nearest other position in the block that each row (id, x, y, places) holds."""
+    others = F.filter("places", lambda q: q["id"] != F.col("id"))
+    return rows.withColumn("best", F.array_min(F.transform(others, lambda q: F.struct(_distance(F.col("x"), F.col("y"), q["x"], q["y"]).alias("distance"), q["id"].alias("other")))))
+
+
+def _nearest_places(places: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, best: distance and other) of ``n`` distinct finite positions (id, x, y).
+
+    Strips of equal numbers by x are cut into blocks of ``size`` by y, so blocks are small however dense or far apart
+    positions are. The nearest in the own block bounds the distance; other blocks are asked only where their box is as
+    near as that, and they are found through their strip's box.
+    """
+    strips = math.ceil(math.sqrt(n / size))
+    cuts = sorted(set(places.approxQuantile("x", [k / strips for k in range(1, strips)], 1 / (8 * strips)))) if strips > 1 else []
+    if cuts:
+        placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="x", outputCol="_strip").transform(places).withColumn("strip", F.col("_strip").cast("int")).drop("_strip")
+    else:
+        placed = places.withColumn("strip", F.lit(0))
+    numbered = placed.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("strip").orderBy("y", "x")) - 1) / size))
+    box = [f(F.col(c)).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]
+    blocks = stored(numbered.groupBy("strip", "block").agg(F.collect_list(F.struct("id", "x", "y")).alias("places"), *box), "blocks")
+    own = _nearest_in(blocks.select("strip", "block", "places", F.explode("places").alias("p")).select("strip", "block", "places", "p.*"))
+    own = stored(own.select("id", "x", "y", F.col("strip").alias("_strip"), F.col("block").alias("_block"), "best"), "own")
+    boxes = blocks.drop("places")
+    of_strips = boxes.groupBy("strip").agg(*(f(f"{c}{k}").alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))))
+    near = F.coalesce(_box_distance(F.col("x"), F.col("y")) <= F.col("best.distance"), F.lit(True))
+    asked = own.join(F.broadcast(of_strips), near).select("id", "x", "y", "_strip", "_block", "best", "strip")
+    asked = asked.join(boxes, "strip").where(near & ((F.col("strip") != F.col("_strip")) | (F.col("block") != F.col("_block")))).select("strip", "block", "id", "x", "y")
+    found = _nearest_in(asked.join(blocks.select("strip", "block", "places"), ["strip", "block"])).select("id", "best")
+    return own.select("id", "best").union(found).groupBy("id").agg(F.min("best").alias("best"))
+
+
+def _least_two(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first, second): the two smallest ids of each key; a group of any size is combined on the map side."""
+    first = stored(rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")), "first")
+    several = first.where("first <> last").select(*keys, "first")
+    second = rows.join(several, keys).where("id <> first").groupBy(*keys).agg(F.min("id").alias("second"))
+    return stored(first.drop("last").join(second, keys, "left"), "least-two")
+
+
+def _kind(c: str) -> Column:
+    return F.when(F.col(c) == math.inf, 1).when(F.col(c) == -math.inf, -1).otherwise(0)
+
+
+def _odd_points(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """Nearest others of points at no finite distance from any: an infinite distance comes before one that is no number,
+    and that before an unknown one; of equal ones the smallest id."""
+    kinds = lambda rows: rows.withColumn("k", F.when(F.col("x").isNull() | F.col("y").isNull(), 2).when(F.isnan("x") | F.isnan("y"), 1).otherwise(0)).withColumn("kx", F.when(F.col("k") == 0, _kind("x")).otherwise(0)).withColumn("ky", F.when(F.col("k") == 0, _kind("y")).otherwise(0))
+    classes = _least_two(kinds(points), ["k", "kx", "ky"]).select(F.col("k").alias("ok"), F.col("kx").alias("okx"), F.col("ky").alias("oky"), F.explode(F.array_compact(F.array("first", "second"))).alias("other"))
+    same = ((F.col("kx") != 0) & (F.col("kx") == F.col("okx"))) | ((F.col("ky") != 0) & (F.col("ky") == F.col("oky")))
+    rank = F.greatest("k", "ok", F.when(same, 1).otherwise(0))
+    finite = F.greatest(*(F.abs(c) for c in ("k", "kx", "ky", "ok", "okx", "oky"))) == 0
+    best = kinds(asked).join(F.broadcast(classes), (F.col("id") != F.col("other")) & ~finite, "left").groupBy("id").agg(F.min(F.when(F.col("other").isNotNull(), F.struct(rank.alias("rank"), "other"))).alias("b"))
+    return best.select("id", F.col("b.other").alias("other"), F.when(F.col("b.rank") == 0, math.inf).when(F.col("b.rank") == 1, math.nan).alias("distance"))
+
+
+def all_nearest_points(points: DataFrame, *, cell: float | None = None, size: int = BLOCK) -> DataFrame:
+    """Each point's nearest other point (``other``, ``distance``), however far, the smaller id on ties. A single point has
+    a null ``other``; points of null id have no row; where no distance is a finite number see ``_odd_points``.
+
+    Points of one position are asked once, for the position, so copies cost no pairs; no pairs of points leave a task.
+    ``cell`` is from the times of fixed cells and changes nothing.
     """
-    asked = points if asked is None else asked
-    at = lambda rows: rows.withColumn("_a", F.floor(F.col("x") / cell)).withColumn("_b", F.floor(F.col("y") / cell))
-    placed = at(points)
-    around = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
-    spread = at(asked).select("id", "x", "y", "_a", "_b", F.explode(around).alias("o")).select("id", "x", "y", (F.col("_a") + F.col("o.p")).alias("_a"), (F.col("_b") + F.col("o.q")).alias("_b"))
-    pairs = spread.join(placed.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "_a", "_b"), ["_a", "_b"]).where("id <> other")
-    pairs = pairs.withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))).where(F.col("distance") <= cell)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b"))
-    return asked.select("id").join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))
-
-
-def all_nearest_points(points: DataFrame, *, cell: float) -> DataFrame:
-    """Each point's nearest other point, however far: points without one within ``cell`` ask again with cells twice the
-    side, against all points. A single point has a null ``other``."""
-    if points.limit(2).count() < 2:
-        return nearest_points(points, cell=cell)
-    found, asked = None, None
-    while asked is None or not asked.isEmpty():
-        now = stored(nearest_points(points, cell=cell, asked=asked), "nearest")
-        known = now.where("other is not null")
-        found = known if found is None else found.union(known)
-        asked, cell = stored(points.join(now.where("other is null").select("id"), "id", "left_semi"), "asked"), 2 * cell
-    return found
+    points = stored(points.where("id is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
+    plain = F.coalesce((F.abs("x") < math.inf) & (F.abs("y") < math.inf), F.lit(False))
+    finite, odd = points.where(plain), points.where(~plain)
+    places = _least_two(finite, ["x", "y"])
+    n = places.count()
+    copies = n == 1 and not places.where("second is not null").isEmpty()
+    parts = []
+    if n > 1:
+        best = _nearest_places(places.select(F.col("first").alias("id"), "x", "y"), n, size).withColumnRenamed("id", "first")
+        places = places.join(best, "first")
+    if n > 1 or copies:
+        copy = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
+        copy = F.when(copy.isNotNull(), F.struct(F.lit(0.0).alias("distance"), copy.alias("other")))
+        found = finite.join(places, ["x", "y"]).select("id", (F.least(copy, "best") if n > 1 else copy).alias("b"))
+        parts.append(found.select("id", "b.other", "b.distance"))
+    else:
+        odd = points
+    if not parts or not odd.isEmpty():
+        parts.append(_odd_points(odd, points))
+    return reduce(DataFrame.union, parts)
 
 
 def point_scores(points: DataFrame, neighbours: DataFrame) -> DataFrame:

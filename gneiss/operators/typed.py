@@ -93,8 +93,8 @@ PROJECTIONS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
     "coupled_multi_system": _components(("u", "v")),
     "weighted_graph": _graph,
     "directed_graph": _graph,
-    "irregular_point_field": lambda points, keys: geometry.point_scores(points, geometry.all_nearest_points(points, cell=0.1)),
-    "manifold_point_cloud": lambda points, keys: geometry.point_scores(points, geometry.all_nearest_points(points, cell=0.1)),
+    "irregular_point_field": lambda points, keys: geometry.point_scores(points, geometry.all_nearest_points(points)),
+    "manifold_point_cloud": lambda points, keys: geometry.point_scores(points, geometry.all_nearest_points(points)),
     "correlation": lambda rows, keys: spectral.correlation_spectrum(rows.withColumn("_one", F.lit(1).cast("long")), "_one").drop("_one"),
 }
 

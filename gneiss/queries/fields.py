@@ -212,7 +212,7 @@ NEAREST = "SELECT id, other, d FROM (SELECT a.id, b.id AS other, sqrt((a.x - b.x
 
 @query(with_ctes(CTES, "points", f", n AS ({NEAREST}) SELECT id, other, round(d, 6) + 0.0 AS distance FROM n"))
 def j15_nearest_point(spark, sf_dir):
-    return result(geometry.all_nearest_points(points(spark, sf_dir), cell=0.1))
+    return result(geometry.all_nearest_points(points(spark, sf_dir)).where("other is not null"))
 
 
 @query(with_ctes(CTES, "points", f", n AS ({NEAREST}), s AS (SELECT var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, avg(value) AS m, var_pop(value) AS s FROM points), l AS (SELECT avg((p.value - m) * (q.value - m)) AS product FROM n JOIN points p ON n.id = p.id JOIN points q ON n.other = q.id, s) SELECT {r('sqrt(((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) / ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)))', 'anisotropy')}, {r('product / s', 'neighbour_coherence')} FROM s, l"))

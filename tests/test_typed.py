@@ -1,6 +1,7 @@
 """Typed geometries, graphs, paths and ladders against plain loops and NumPy."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -157,6 +158,31 @@ def points_at(points, k):
     return next((x, y) for o, x, y in points if o == k)
 
 
+@pytest.mark.parametrize("size", [3, 64])
+def test_nearest_points_of_clusters_copies_and_odd_values(spark, size):
+    rng, inf, nan = random.Random(5), float("inf"), float("nan")
+    places = [(rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) for _ in range(150)] + [(rng.uniform(-9, 9), rng.choice([-1.0, 0.0, 2.0])) for _ in range(80)] + [(float(a), float(b)) for a in range(6) for b in range(6)]
+    places += [(1e30, -3.0), (2e30, -3.0), (None, 1.0), (2.0, None), (nan, 0.0), (inf, 1.0), (inf, 2.0), (-inf, inf), (0.5, -inf)] + [(0.25, -0.0)] * 40 + [(0.25, 0.0)] * 9
+    rng.shuffle(places)
+    points = [(k * 3 + 1, *p) for k, p in enumerate(places)]
+
+    def key(a, b):
+        if None in (*a[1:], *b[1:]):
+            return 2, 0.0, b[0]
+        d = math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
+        return (1, 0.0, b[0]) if math.isnan(d) else (0, d, b[0])
+
+    got = {r.id: r for r in geometry.all_nearest_points(spark.createDataFrame([*points, (None, 0.0, 0.0)], "id long, x double, y double"), size=size).collect()}
+    assert len(got) == len(points)
+    for p in points:
+        odd, distance, other = min(key(p, q) for q in points if q is not p)
+        assert got[p[0]].other == other
+        assert got[p[0]].distance is None if odd == 2 else math.isnan(got[p[0]].distance) if odd else got[p[0]].distance == distance
+    two = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5)], "id long, x double, y double")
+    assert {(r.id, r.other, r.distance) for r in geometry.all_nearest_points(two).collect()} == {(1, 2, 0.0), (2, 1, 0.0)}
+    assert geometry.all_nearest_points(two.limit(0)).count() == 0
+
+
 def test_ladder_points_equal_a_plain_loop(spark):
     rng = random.Random(5)
     ladders = [[rng.uniform(1, 9) for _ in range(n)] for n in (1, 4, 9, 20)]
