@@ -218,7 +218,7 @@ def j15_nearest_point(spark, sf_dir):
 @query(with_ctes(CTES, "points", f", n AS ({NEAREST}), s AS (SELECT var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c, avg(value) AS m, var_pop(value) AS s FROM points), l AS (SELECT avg((p.value - m) * (q.value - m)) AS product FROM n JOIN points p ON n.id = p.id JOIN points q ON n.other = q.id, s) SELECT {r('sqrt(((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)) / ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)))', 'anisotropy')}, {r('product / s', 'neighbour_coherence')} FROM s, l"))
 def ge11_point_scores(spark, sf_dir):
     p = points(spark, sf_dir)
-    return result(geometry.point_scores(p, geometry.all_nearest_points(p, cell=0.1)))
+    return result(geometry.point_scores(p, geometry.all_nearest_points(p)))
 
 
 @query(with_ctes(CTES, "points", f""", p AS (SELECT CAST(value AS BIGINT) AS path, id AS pos, x, y FROM points), c AS (SELECT *, x - avg(x) OVER (PARTITION BY path) AS cx, y - avg(y) OVER (PARTITION BY path) AS cy FROM p), a AS (SELECT *, atan2(cy, cx) AS angle FROM c),
