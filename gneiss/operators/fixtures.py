@@ -6,16 +6,20 @@ number of parents are made where they are used. A suite scores parents against t
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.functions.robust import tie_tolerance
 from gneiss.operators import geometry, inference, ladder, nulls, spectral, typed
+from gneiss.plans.storage import arrow_rows, stored
 
 SIZE, NODES, POINTS, SAMPLES, SERIES = 24, 12, 96, 256, 8
 PI = math.pi
@@ -213,16 +217,78 @@ def calibrated(spark: SparkSession, *, positive: bool, parents: int = 12, days:
     return inference.surface(cells.withColumn("fixture", F.lit("positive" if positive else "negative")), ["fixture"])
 
 
+#: Longest ladder that one task permutes as arrays (some 100 bytes a position); longer ones are ranked by windows.
+ARRAY_LADDER = 1_000_000
+#: Copies of a ladder that one task makes.
+COPIES = 8
+
+
+def _digests(prefix: str, ends: list[bytes]) -> np.ndarray:
+    start = prefix.encode()
+    return np.frombuffer(b"".join([hashlib.md5(start + e).digest() for e in ends]), np.uint8).reshape(-1, 16)
+
+
+def _permuted(seed: str, child: int, places: np.ndarray, ends: list[bytes], omega: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Places, in an array, of ``nulls.permuted_within``."""
+    high, low = _digests(f"{seed}|{child}", ends).view(">u8").T
+    return omega[np.lexsort((places, low, high))]
+
+
+def _noisy(seed: str, child: int, places: np.ndarray, ends: list[bytes], omega: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Omega and sigma times ``ladder.hash_normal`` of (seed, child, ladder, pos)."""
+    def uniform(tag: str) -> np.ndarray:
+        bits = _digests(f"{tag}|{seed}|{child}", ends)[:, 1:6].astype(np.uint64)  # 40 of the first 48 bits
+        return (bits @ (np.uint64(256) ** np.arange(4, -1, -1, dtype=np.uint64)) + 0.5) / float(2**40)
+
+    return omega + sigma * np.sqrt(-2 * np.log(uniform("u"))) * np.cos(ladder.TWO_PI * uniform("v"))
+
+
+def _copied_chis(ladders: DataFrame, children: int, copy: Callable[..., np.ndarray], seed: str) -> DataFrame:
+    """(ladder, child, chi): ``ladder.chi`` of copies of ladders (ladder, pos, omega, sigma).
+
+    Rows of a ladder are gathered once and its copies are made and summed in arrays, so neither hashes nor copies are
+    sorted or exchanged as rows. Omegas that are null count for nothing.
+    """
+    whole = ladders.groupBy("ladder").agg(F.array_sort(F.collect_list(F.struct("pos", "omega", "sigma"))).alias("rows"))
+    starts = F.explode(F.sequence(F.lit(1), F.lit(children), F.lit(COPIES)))
+    tasks = whole.select("ladder", *(F.col(f"rows.{c}").alias(c) for c in ("pos", "omega", "sigma")), starts.alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, start = batch.column("ladder")[k].as_py(), batch.column("start")[k].as_py()
+                places, omega, sigma = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("pos", "omega", "sigma"))
+                unknown = [batch.column(c)[k].values.is_null().to_numpy(zero_copy_only=False) for c in ("omega", "sigma")]
+                ends, kids, chis = [f"|{name}|{p}".encode() for p in places.tolist()], [], []
+                for child in range(start, min(start + COPIES, children + 1)):
+                    terms = copy(seed, child, places, ends, omega, sigma) / places
+                    lost = copy(seed, child, places, ends, unknown[0].astype(float), unknown[1].astype(float)) != 0 if unknown[0].any() or unknown[1].any() else np.zeros(len(places), bool)
+                    kids.append(child)
+                    chis.append(None if lost.all() else float(terms[~lost].sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kids), pa.string()), pa.array(kids, pa.int64()), pa.array(chis, pa.float64())], names=["ladder", "child", "chi"])
+
+    parts = max(ladders.sparkSession.sparkContext.defaultParallelism, int(ladders.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with arrow_rows(ladders.sparkSession, 1):  # whole ladders
+        return stored(tasks.repartition(4 * parts, "ladder", "start").mapInArrow(run, "ladder string, child long, chi double"), "chis")
+
+
 def order_benchmark(ladders: DataFrame, window: tuple[int, int], *, permutations: int = 64, noise: int = 64, epsilon: float = 0.5) -> DataFrame:
-    """Per ladder (ladder, pos, value, omega, sigma_omega): closure winner, and the shares of permuted and of noisy copies with the
-    same winner."""
+    """Per ladder (ladder, pos, omega, sigma_omega): closure winner, and the shares of permuted and of noisy copies with the
+    same winner. Copies are summed where they are made; no copy of a ladder's rows is exchanged."""
     def winners(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return ladder.closure_winner(ladder.closure_scores(ladder.chi(rows, keys), keys, window), keys).select(*keys, "winner")
-
-    own = winners(ladders, ["ladder"])
-    permuted = nulls.permuted_within(ladders.withColumn("value", F.col("omega")), ["ladder"], "pos", [F.lit(0)], permutations, seed="benchmark").withColumnRenamed("value", "omega")
-    copies = nulls.with_children(ladders, noise)
-    noisy = copies.withColumn("omega", F.col("omega") + epsilon * F.col("sigma_omega") * ladder.hash_normal("benchmark", F.col("child"), F.col("ladder"), F.col("pos")))
+        chis = rows if "chi" in rows.columns else ladder.chi(rows, keys)
+        return ladder.closure_winner(ladder.closure_scores(chis, keys, window), keys).select(*keys, "winner")
+
+    ladders = stored(ladders.select("ladder", "pos", "omega", (epsilon * F.col("sigma_omega")).alias("sigma")), "ladders")
+    own = stored(winners(ladders, ["ladder"]), "winners")
+    sizes = stored(ladders.groupBy("ladder").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    some = lambda kind: ladders.join(F.broadcast(sizes.where(kind).select("ladder")), "ladder")
+    short, long = some(F.col("n") <= ARRAY_LADDER), some(F.col("n") > ARRAY_LADDER)
+    permuted, noisy = _copied_chis(short, permutations, _permuted, "benchmark"), _copied_chis(short, noise, _noisy, "benchmark")
+    if not long.isEmpty():
+        permuted = permuted.union(ladder.chi(nulls.permuted_within(long, ["ladder"], "pos", [F.lit(0)], permutations, seed="benchmark", value="omega"), ["ladder", "child"]))
+        copies = nulls.with_children(long, noise)
+        noisy = noisy.union(ladder.chi(copies.withColumn("omega", F.col("omega") + F.col("sigma") * ladder.hash_normal("benchmark", F.col("child"), F.col("ladder"), F.col("pos"))), ["ladder", "child"]))
 
     def share(rows: DataFrame, name: str) -> DataFrame:
         again = winners(rows, ["ladder", "child"]).withColumnRenamed("winner", "again").join(own, "ladder")

@@ -1,10 +1,12 @@
 """Registered synthetic geometries against what they are meant to be."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import fixtures, geometry, spectral, typed
+from gneiss.operators import fixtures, geometry, ladder, nulls, spectral, typed
 
 
 def test_suites_find_what_is_there(spark):
@@ -84,3 +86,20 @@ def test_rasters_beyond_a_task_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(spectral, "CELLS", 10)
     with pytest.raises(ValueError, match="downsample"):
         spectral._checked(11)
+
+
+def test_copies_of_ladders_in_arrays_and_by_windows(spark, monkeypatch):
+    rows = [(name, pos, random.Random(f"{name}{pos}").uniform(-2, 2), 0.5 * (pos % 4)) for name, n in (("a", 40), ("b ü", 1), ("c", 300)) for pos in range(2, 3 * n, 3 if n > 1 else 1)]
+    ladders = spark.createDataFrame([*rows, ("c", 1, None, 0.1), (None, 1, 1.0, 1.0)], "ladder string, pos long, omega double, sigma double")
+    known, found = ladders.where("ladder is not null"), {}
+    want = {"p": ladder.chi(nulls.permuted_within(known, ["ladder"], "pos", [F.lit(0)], 11, seed="s", value="omega"), ["ladder", "child"]),
+            "n": ladder.chi(nulls.with_children(known, 11).withColumn("omega", F.col("omega") + F.col("sigma") * ladder.hash_normal("s", F.col("child"), F.col("ladder"), F.col("pos"))), ["ladder", "child"])}
+    got = {"p": fixtures._copied_chis(known, 11, fixtures._permuted, "s"), "n": fixtures._copied_chis(known, 11, fixtures._noisy, "s")}
+    for kind in want:
+        found[kind] = {(r.ladder, r.child): r.chi for r in got[kind].collect()}
+        expected = {(r.ladder, r.child): r.chi for r in want[kind].collect()}
+        assert len(expected) == 33 and found[kind] == pytest.approx(expected, abs=1e-9)
+    both = [fixtures.order_benchmark(ladders.withColumnRenamed("sigma", "sigma_omega"), (2, 30), permutations=9, noise=5).collect()]
+    monkeypatch.setattr(fixtures, "ARRAY_LADDER", 50)
+    both.append(fixtures.order_benchmark(ladders.withColumnRenamed("sigma", "sigma_omega"), (2, 30), permutations=9, noise=5).collect())
+    assert sorted(both[0]) == sorted(both[1]) and len(both[0]) == 3
