@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.robust import tie_tolerance
@@ -168,16 +168,19 @@ def suite(spark: SparkSession, names: list[str], parents: int = 20, children: in
     for name in names:
         family = FAMILIES[name]
         rows = field_family(spark, name, parents)
-        deep = family.depth > 1
-        rows = rows if deep else rows.drop("k")
-        score = lambda geometry_, keys, f=family: typed.projected(typed.typed_scores(f.kind, geometry_, keys), keys, f.channel)
+        rows = rows if family.depth > 1 else rows.drop("k")
         kids = typed.typed_null(family.kind, rows, ["parent"], children, seed=name).withColumn("seen", F.lit(True))
-        observed = score(rows, ["parent"]).withColumnRenamed("score", "observed")
-        joined = score(kids, ["parent", "child"]).join(observed, "parent")
-        tested = joined.groupBy("parent").agg(F.max("observed").alias("observed"), F.median("score").alias("null_median"),
-                                              ((F.count_if(F.col("score") >= F.col("observed") - tie_tolerance(F.col("observed"))) + 1) / (children + 1)).alias("upper_p"))
-        checked = typed.representation_check(family.kind, rows, ["parent"]).where(F.col("channel") == family.channel).select("parent", "status")
-        out.append(tested.join(checked, "parent").select(F.lit(name).alias("family"), F.lit(family.truth).alias("truth"), "parent", "observed", "null_median", "upper_p", (F.col("upper_p") <= 0.05).alias("detected"), "status"))
+        # One pass scores the null children, the parents (child 0) and their turned copies (child -1).
+        every, turns = kids.unionByName(rows.withColumn("child", F.lit(0).cast("long"))), family.kind in typed.TURNS
+        if turns:
+            every = every.unionByName(typed.TURNS[family.kind](rows, ["parent"]).select(*rows.columns).withColumn("child", F.lit(-1).cast("long")))
+        own = lambda child: F.max(F.when(F.col("child") == child, F.col("score"))).over(Window.partitionBy("parent"))
+        scores = typed.channel_score(family.kind, every, ["parent", "child"], family.channel).withColumn("observed", own(0)).withColumn("turned", own(-1))
+        tested = scores.where("child > 0").groupBy("parent").agg(F.max("observed").alias("observed"), F.max("turned").alias("turned"), F.median("score").alias("null_median"),
+                                                                 ((F.count_if(F.col("score") >= F.col("observed") - tie_tolerance(F.col("observed"))) + 1) / (children + 1)).alias("upper_p"))
+        same = F.abs(F.col("turned") - F.col("observed")) <= typed.TOLERANCE * F.greatest(F.lit(1.0), F.col("observed"))
+        status = F.when(same, "PASS").otherwise("DISAGREEMENT") if turns else F.lit("NOT_APPLICABLE")
+        out.append(tested.select(F.lit(name).alias("family"), F.lit(family.truth).alias("truth"), "parent", "observed", "null_median", "upper_p", (F.col("upper_p") <= 0.05).alias("detected"), status.alias("status")))
     return reduce(DataFrame.union, out)
 
 

@@ -39,16 +39,25 @@ def gradient(grid: DataFrame, keys: list[str], value: str, axis: str) -> Column:
     return F.when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2)
 
 
-def vector_scores(grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Coherence of u and v, signed mean curl, curl energy and coherence, divergence energy of observed cells;
-    unobserved cells count as zero in differences."""
-    zero = grid.select(*keys, "i", "j", "seen", *(F.when(F.col("seen"), F.col(c)).otherwise(0.0).alias(c) for c in ("u", "v")))
+def _zeroed(grid: DataFrame, keys: list[str]) -> DataFrame:
+    return grid.select(*keys, "i", "j", "seen", *(F.when(F.col("seen"), F.col(c)).otherwise(0.0).alias(c) for c in ("u", "v")))
+
+
+def curl_scores(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Signed mean curl, curl energy and coherence, divergence energy of observed cells; unobserved cells count as zero in
+    differences."""
+    zero = _zeroed(grid, keys)
     d = zero.select(*keys, "i", "j", "seen", *(gradient(zero, keys, c, a).alias(f"d{c}_d{a}") for c in ("u", "v") for a in ("i", "j")))
     d = d.withColumn("curl", F.when(F.col("seen"), F.col("dv_dj") - F.col("du_di"))).withColumn("div", F.when(F.col("seen"), F.col("du_dj") + F.col("dv_di")))
     energy = F.avg(F.col("curl") * F.col("curl"))
-    scores = d.groupBy(*keys).agg(
+    return d.groupBy(*keys).agg(
         F.avg("curl").alias("mean_curl"), energy.alias("curl_energy"), (F.avg("curl") * F.avg("curl") / F.greatest(energy, F.lit(EPS))).alias("curl_coherence"),
         F.avg(F.col("div") * F.col("div")).alias("divergence_energy"))
+
+
+def vector_scores(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Coherence of u and v beside ``curl_scores``; unobserved cells count as zero."""
+    zero, scores = _zeroed(grid, keys), curl_scores(grid, keys)
     u = neighbour_coherence(zero, keys, "u").withColumnRenamed("coherence", "u_coherence")
     v = neighbour_coherence(zero, keys, "v").withColumnRenamed("coherence", "v_coherence")
     return u.join(v, keys).join(scores, keys)

@@ -42,11 +42,14 @@ def _slope(keys: list[str], value: str, axis: str) -> Column:
     return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2)
 
 
-def vector_volume_scores(volume: DataFrame, keys: list[str]) -> DataFrame:
-    """Of a 3-D vector field (u along j, v along i, w along k): median slice coherence of each component, curl energy,
-    curl coherence and divergence energy over observed cells; unobserved cells count as zero in differences."""
-    zero = volume.select(*keys, "k", "i", "j", "seen", *(F.when(F.col("seen"), F.col(c)).otherwise(0.0).alias(c) for c in "uvw"))
-    d = zero
+def _zeroed_volume(volume: DataFrame, keys: list[str]) -> DataFrame:
+    return volume.select(*keys, "k", "i", "j", "seen", *(F.when(F.col("seen"), F.col(c)).otherwise(0.0).alias(c) for c in "uvw"))
+
+
+def volume_curl_scores(volume: DataFrame, keys: list[str]) -> DataFrame:
+    """Curl energy, curl coherence and divergence energy of a 3-D vector field (u along j, v along i, w along k) over observed
+    cells; unobserved cells count as zero in differences."""
+    d = _zeroed_volume(volume, keys)
     for axis in "kij":  # one exchange an axis
         d = d.select("*", *(_slope(keys, c, axis).alias(f"d{c}_d{axis}") for c in "uvw"))
     seen = lambda x: F.when(F.col("seen"), x)
@@ -55,7 +58,12 @@ def vector_volume_scores(volume: DataFrame, keys: list[str]) -> DataFrame:
     square = lambda c: F.col(c) * F.col(c)
     energy = F.avg(square("cx") + square("cy") + square("cz"))
     mean = F.pow(F.avg("cx"), F.lit(2)) + F.pow(F.avg("cy"), F.lit(2)) + F.pow(F.avg("cz"), F.lit(2))
-    out = d.groupBy(*keys).agg(energy.alias("curl_energy_3d"), (mean / F.greatest(energy, F.lit(EPS))).alias("curl_coherence_3d"), F.avg(square("div")).alias("divergence_energy_3d"))
+    return d.groupBy(*keys).agg(energy.alias("curl_energy_3d"), (mean / F.greatest(energy, F.lit(EPS))).alias("curl_coherence_3d"), F.avg(square("div")).alias("divergence_energy_3d"))
+
+
+def vector_volume_scores(volume: DataFrame, keys: list[str]) -> DataFrame:
+    """``volume_curl_scores`` of a 3-D vector field and the median slice coherence of each component."""
+    zero, out = _zeroed_volume(volume, keys), volume_curl_scores(volume, keys)
     for c in "uvw":
         one = geometry.neighbour_coherence(zero, [*keys, "k"], c)
         out = out.join(one.groupBy(*keys).agg(F.median("coherence").alias(f"{c}_volume_neighbour_coherence")), keys)
@@ -113,6 +121,37 @@ def projected(scores: DataFrame, keys: list[str], channel: str) -> DataFrame:
     return scores.where(F.col("channel") == channel).select(*keys, F.abs("score").alias("score"))
 
 
+def _median_slices(grid: DataFrame, keys: list[str]) -> DataFrame:
+    return geometry.frame_medians(geometry.neighbour_coherence(grid, [*keys, "k"]), keys, ["coherence"])
+
+
+def _lag_of_means(grid: DataFrame, keys: list[str]) -> DataFrame:
+    means = grid.groupBy(*keys, "k").agg(F.avg(F.when(F.col("seen"), F.col("value"))).alias("m"))
+    return geometry.lag_one(means, keys, "k", "m")
+
+
+#: Single channels that can be had without their kind's other scores: a function of (rows, keys) and its column.
+CHANNELS: dict[tuple[str, str], tuple[Callable[[DataFrame, list[str]], DataFrame], str]] = {
+    ("scalar_field_2d", "neighbour_coherence"): (geometry.neighbour_coherence, "coherence"),
+    ("scalar_field_2d", "spectral_concentration"): (spectral.spectral_concentration, "concentration"),
+    ("scalar_volume_3d", "median_slice_neighbour_coherence"): (_median_slices, "coherence"),
+    ("spatiotemporal_scalar", "lag1_frame_mean"): (_lag_of_means, "lag1"),
+    ("vector_field_2d", "curl_energy"): (geometry.curl_scores, "curl_energy"),
+    ("vector_field_2d", "curl_coherence"): (geometry.curl_scores, "curl_coherence"),
+    ("vector_volume_3d", "curl_coherence_3d"): (volume_curl_scores, "curl_coherence_3d"),
+    ("spatiotemporal_vector", "median_curl_coherence"): (_frames(geometry.curl_scores), "median_curl_coherence"),
+    ("coupled_multi_system", "u_v_correlation"): (lambda grid, keys: grid.where("seen").groupBy(*keys).agg(F.corr("u", "v").alias("r")), "r"),
+}
+
+
+def channel_score(kind: str, rows: DataFrame, keys: list[str], channel: str) -> DataFrame:
+    """``projected`` of ``typed_scores`` for one channel, without the others where ``CHANNELS`` has it."""
+    if (kind, channel) not in CHANNELS:
+        return projected(typed_scores(kind, rows, keys), keys, channel)
+    function, column = CHANNELS[kind, channel]
+    return function(rows, keys).select(*keys, F.abs(F.col(column).cast("double")).alias("score"))
+
+
 #: The null geometry of each kind: a function of (rows, keys, children, seed) that adds ``child``.
 NULLS: dict[str, Callable[[DataFrame, list[str], int, str], DataFrame]] = {
     "scalar_field_2d": lambda g, keys, n, seed: geometry.permute_cells(g, keys, n, seed=seed),

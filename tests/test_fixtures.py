@@ -103,3 +103,17 @@ def test_copies_of_ladders_in_arrays_and_by_windows(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "ARRAY_LADDER", 50)
     both.append(fixtures.order_benchmark(ladders.withColumnRenamed("sigma", "sigma_omega"), (2, 30), permutations=9, noise=5).collect())
     assert sorted(both[0]) == sorted(both[1]) and len(both[0]) == 3
+
+
+def test_single_channels_equal_all_scores(spark):
+    seen = set()
+    for name, family in fixtures.FAMILIES.items():
+        if (family.kind, family.channel) in seen:
+            continue
+        seen.add((family.kind, family.channel))
+        rows = fixtures.field_family(spark, name, 2)
+        rows = (rows if family.depth > 1 else rows.drop("k")).withColumn("seen", F.expr("seen and (i + 2 * j) % 11 <> 3"))
+        assert (family.kind, family.channel) in typed.CHANNELS
+        one = {r.parent: r.score for r in typed.channel_score(family.kind, rows, ["parent"], family.channel).collect()}
+        every = {r.parent: r.score for r in typed.projected(typed.typed_scores(family.kind, rows, ["parent"]), ["parent"], family.channel).collect()}
+        assert len(one) == 2 and one == pytest.approx(every, abs=1e-12), name
