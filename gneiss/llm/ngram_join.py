@@ -29,6 +29,9 @@ FREQUENT_ROWS = 1_000_000
 SHORT = 128
 #: Longs of the parity sketch that bounds how much two sets differ.
 SKETCH = 4
+#: Nodes of a key of at least ``MANY`` know up to ``RECENT`` such keys of theirs before it, so that two that share many
+#: keys meet at few.
+MANY, RECENT = 8, 8
 #: Up to so many ids (64 MB) are broadcast to pick texts.
 BROADCAST_IDS = 4_000_000
 
@@ -231,17 +234,29 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, hashes: Da
     return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _recent(rows: DataFrame) -> DataFrame:
+    """Adds ``recent`` to rows without ``before`` of keys of ``many`` nodes: of the node's such keys just before, in the
+    order of keys, those with no less reach."""
+    apply = F.col("many") & F.col("before").isNull()
+    last = Window.partitionBy("node").orderBy("key", F.desc("reach")).rowsBetween(-RECENT, -1)
+    some = rows.where(apply).withColumn("recent", F.collect_list(F.struct("key", "reach")).over(last))
+    some = some.withColumn("recent", F.transform(F.filter("recent", lambda x: x["reach"] >= F.col("reach")), lambda x: x["key"]))
+    return rows.where(~apply).withColumn("recent", F.lit(None).cast("array<bigint>")).union(some)
+
+
 def _rest(index: DataFrame, labels: DataFrame, tried: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a key, are still in different components and differ in few enough bits of their
-    sketches. Only such pairs leave the join of a key's rows."""
+    sketches. Only such pairs leave the join of a key's rows, and not where both nodes have met at a recent key: of the
+    keys that they share, the first is never left out, as a recent one counts only if no node's reach is less there."""
     known = stored(parities.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
     labelled = index.join(known, "node")
-    mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
-    rows = stored(labelled.join(mixed, "key"), "open")
-    left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), F.col("before").alias(f"before_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
+    mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), (F.count(F.lit(1)) >= MANY).alias("many")).where("x <> y").select("key", "many"), "mixed")
+    rows = _recent(stored(labelled.join(mixed, "key"), "open"))
+    left, right = (rows.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("reach").alias(f"r{x}"), F.col("label").alias(f"l{x}"), F.col("before").alias(f"before_{x}"), F.col("recent").alias(f"recent_{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCH))) for x in "ab")
     differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = differ <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)
-    meet = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent) & near & ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False))
+    first = ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False)) & ~F.coalesce(F.arrays_overlap("recent_a", "recent_b"), F.lit(False))
+    meet = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent) & near & first
     return stored(left.join(right, meet).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
 
 
@@ -257,8 +272,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     Plan: equal sets are folded into their smallest doc_id by a map-side combined minimum, so a group of copies is
     one node; sets are equal if size and 128 bits of hash are. Each index key links its nodes to a leader first;
     components are contracted; only then do nodes of one key that are still in different components meet, and only
-    pairs whose positions and parity sketches allow a link leave that join, at the first key that they share. So a group of near copies costs links
-    to its leader, not all pairs.
+    pairs whose positions and parity sketches allow a link leave that join, at the first key that they share and few others
+    (``_recent``). So a group of near copies costs links to its leader, not all pairs.
     """
     docs, least = docs.select("doc_id", "text"), _least(percent)
     spark, sketches, firsts = docs.sparkSession, scratch_path(docs.sparkSession, "sketches"), scratch_path(docs.sparkSession, "first-prefixes")

@@ -235,6 +235,55 @@ def test_pairs_of_a_family_below_the_threshold(spark, monkeypatch):
         assert sizes[400][name] <= 6 * max(sizes[100][name], 100), (name, sizes)
 
 
+def test_pairs_that_share_many_keys_leave_the_join_at_few(spark, monkeypatch):
+    """Long documents with a tenth of the same 1,500 words changed: their sketches allow links, and each two share many keys."""
+    rng = random.Random(8)
+    rows = []
+    for doc in range(14):
+        t = [f"b{k}" for k in range(1500)]
+        at = rng.randrange(1350)
+        t[at : at + 150] = [f"c{doc}.{k}" for k in range(150)]
+        rows.append((doc, " ".join(t)))
+    docs, made = make(spark, rows), []
+    real = type(docs).distinct
+
+    def counted(df):
+        if df.columns == ["a", "b"]:
+            made.append((df.count(), real(df).count()))
+        return real(df)
+
+    monkeypatch.setattr(type(docs), "distinct", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == brute_components(rows, 3, 90)
+    (left, pairs), = (x for x in made[1:] if x[0])
+    assert pairs > 30 and left <= 3 * pairs, made
+
+
+@pytest.mark.parametrize("recent", [1, 8])
+def test_recent_keys_lose_no_pair(spark, monkeypatch, recent):
+    """Any reach at any key, keys that a node has twice, with and without ``before``."""
+    rng = random.Random(recent)
+    n = {node: rng.choice([18, 20, 22]) for node in range(40)}
+    rows = []
+    for node in n:
+        for key in rng.choices(range(30), k=12):
+            before = rng.choice([None, None, None, [], rng.sample(range(9), 2)])
+            rows.append((key, node, n[node], rng.choice([n[node], n[node], 19, 16]), before))
+    index = spark.createDataFrame(rows, "key long, node long, n int, reach long, before array<bigint>")
+    labels = spark.createDataFrame([(1, 0), (0, 0)], "node long, label long")
+    tried = spark.createDataFrame([(2, 3)], "a long, b long")
+    parities = spark.createDataFrame([(k, *(0 for _ in range(ngram_join.SKETCH))) for k in n], "node long, " + ", ".join(f"s{k} long" for k in range(ngram_join.SKETCH)))
+    want = set()
+    for ka, a, na, ra, fa in rows:
+        for kb, b, nb, rb, fb in rows:
+            need = -(-(na + nb) * 90 // 190)
+            if ka == kb and a < b and (a, b) not in {(0, 1), (2, 3)} and min(ra, rb) >= need and min(na, nb) * 100 >= max(na, nb) * 90 and not set(fa or []) & set(fb or []):
+                want.add((a, b))
+    monkeypatch.setattr(ngram_join, "MANY", 2)
+    monkeypatch.setattr(ngram_join, "RECENT", recent)
+    assert {(r.a, r.b) for r in ngram_join._rest(index, labels, tried, parities, 90).collect()} == want and want
+
+
 def test_components_of_one_id_with_several_texts(spark):
     docs = make(spark, [(1, LONG + " a"), (2, LONG + " b"), (2, "short one"), (3, "short one"), (4, LONG + " b")])
     got = collections.defaultdict(set)
