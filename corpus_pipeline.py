@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, language, line_dedup, mixing, ngram_join
 from gneiss.llm.queries import tokenizer
-from gneiss.plans.storage import scratch, scratch_path, stored
+from gneiss.plans.storage import arrow_rows, scratch, scratch_path, stored
 from gneiss.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,12 +19,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
 #: Near duplicates: word shingles of this size, this similarity in percent.
 SHINGLE, PERCENT = 5, 80
+#: Texts that a worker of the tokenizer gets at a time.
+ROWS = 1_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are mostly of one known language."""
-    found = language.annotate(docs, language.train(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
+    return language.confident(docs.select(*COLUMNS), language.train(docs), LEAST_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of every copy."""
-    return bpe.digests(docs, bpe.load_vocabulary(spark, tokenizer()))
+    """Token counts and digests of ids and decoded text of every copy, written here so that few texts go to a worker at a time."""
+    with arrow_rows(spark, ROWS):
+        return stored(bpe.digests(docs, bpe.load_vocabulary(spark, tokenizer())), "digests")
 
 
 STAGES = [

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.llm.workers import give_back
+
 #: The pattern of the byte-level pre-tokenizer (fixed by the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words longer than this are encoded but not remembered, and a worker forgets its words beyond this many.
@@ -260,6 +262,8 @@ def _over_texts(docs: DataFrame, spec: str, made: str, one) -> DataFrame:
             rows = [one(codec, doc_id.as_py(), text.as_py()) for doc_id, text in zip(batch.column(0), batch.column(1))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        batch = rows = None
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, made)
 

@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.workers import give_back
+from gneiss.plans.storage import arrow_rows, stored
+
 UNKNOWN = "und"
 #: Longer pieces between white space are cut into parts of so many letters.
 LONGEST = 40
@@ -30,6 +33,8 @@ SEGMENT = 50_000
 PIECE = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)  # mixing constants
 _WHITE = re.compile(r"\s")
+#: Texts that a worker gets at a time in ``confident``, and up to so many hashes of texts are broadcast.
+ROWS, BROADCAST_TEXTS = 1_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -338,7 +343,7 @@ def train(docs: DataFrame, settings: Training = Training()) -> Model | None:
     chosen = [r[0] for r in labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents).collect()]
     if not chosen:
         return None
-    ids = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(chosen))], "doc_id long")
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(sorted(set(chosen)), pa.int64())}))  # from Arrow: no Python workers
     sample = (labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "lang", _spans(settings).alias("spans"))
               .groupBy("doc_id").agg(F.min(F.struct("lang", "spans")).alias("row")).select("row.*"))
     rows = [(span, r.lang) for r in sample.collect() for span in r.spans]
@@ -429,6 +434,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             )
         if fitted:
             fitted.forget()  # an idle worker keeps weights alone
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, RESULT)
 
@@ -453,5 +459,34 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "lang_score"])
         if fitted:
             fitted.forget()
+        give_back()
 
     return docs.select(*keep).mapInArrow(run, schema)
+
+
+def confident(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a known language with a score of at least ``least``, all columns kept.
+
+    Texts go to workers ``ROWS`` at a time and only hashes (128 bits) of those to be left out come back; they are
+    written here, and left out by a broadcast up to ``BROADCAST_TEXTS``, by an exchange beyond. Null texts and those
+    without letters go, repeated rows stay or go together.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_plain(model))
+    hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = _fitted(shared.value)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found = label_texts(fitted, texts) if fitted else [(UNKNOWN, 0.0)] * len(texts)
+            yield batch.select([0, 1]).filter(pa.array([lang == UNKNOWN or score < least for lang, score in found], pa.bool_()))
+        if fitted:
+            fitted.forget()
+        batch = texts = found = None
+        give_back()
+
+    with arrow_rows(spark, ROWS):
+        unsure = stored(docs.select(hashes[0].alias("h"), hashes[1].alias("h2"), "text").mapInArrow(run, "h long, h2 long").distinct(), "unsure")
+    few = unsure.count() <= BROADCAST_TEXTS
+    return docs.join(F.broadcast(unsure) if few else unsure, (hashes[0] == unsure["h"]) & (hashes[1] == unsure["h2"]), "left_anti")

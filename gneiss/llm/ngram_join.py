@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
+from gneiss.llm.workers import give_back
 from gneiss.plans.storage import arrow_rows, release, remove, scratch_path, stored
 
 #: A shingle that more documents hold than this is frequent.
@@ -82,6 +83,7 @@ def _rare_prefix(rows: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), prefix, pa.array(complete, pa.bool_()), *rest], names=["node", "n", "prefix", "complete", *keep])
+        give_back()
 
     keep = [c for c in ("h", "h2", "sketch") if c in rows.columns]
     kinds = ["node long, n int, prefix array<bigint>, complete boolean", *(f"{c} {kind}" for c, kind in rows.dtypes if c in keep)]
@@ -130,6 +132,7 @@ def _sketched(sets: DataFrame, percent: int) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kept, pa.int64()))
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(odd, axis=1).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "h", "h2")), tokens, sketch], names=["doc_id", "n", "h", "h2", "tokens", "sketch"])
+        give_back()
 
     return sets.mapInArrow(run, "doc_id long, n int, h long, h2 long, tokens array<bigint>, sketch array<bigint>")
 
@@ -299,7 +302,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     rare = _rare_prefix(sketched.where(F.col("n") >= least).withColumnRenamed("doc_id", "node"), frequent, percent)
     own = nodes.select("node", F.col("n").alias("own_n"), F.col("h").alias("own_h"), F.col("h2").alias("own_h2"))
     first = rare.withColumn("stubborn", F.col("complete")).join(own, "node").where("n = own_n and h = own_h and h2 = own_h2")
-    first.drop("own_n", "own_h", "own_h2", "h", "h2").dropDuplicates(["node"]).write.parquet(firsts)
+    with arrow_rows(spark, 1_000):
+        first.drop("own_n", "own_h", "own_h2", "h", "h2").dropDuplicates(["node"]).write.parquet(firsts)
     remove(spark, sketches)
     release(spark)
     first = spark.read.parquet(firsts)
@@ -308,7 +312,8 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, percent: int = 90) ->
     stubborn = stored(first.where("stubborn").select("node").join(hashes, "node"), "stubborn-ids")
     whole = stored(_whole_sets(docs, stubborn, size).dropDuplicates(["node"]), "stubborn")
     again = _rare_prefix(whole.withColumnRenamed("set", "tokens"), frequent, percent)
-    prefixes = stored(first.where("not stubborn").unionByName(again.withColumn("stubborn", F.lit(True))), "prefixes")
+    with arrow_rows(spark, 1_000):
+        prefixes = stored(first.where("not stubborn").unionByName(again.withColumn("stubborn", F.lit(True))), "prefixes")
     remove(spark, firsts)
     release(spark)
     index = _index(prefixes, whole, percent)

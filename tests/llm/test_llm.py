@@ -859,3 +859,49 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
     assert sorted(r.doc_id or 0 for r in p.near_duplicate_stage(spark, odd, "").collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
     none.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert p.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_workers_get_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    plain = type(spark.range(0)).mapInArrow
+
+    def counted(self, run, schema, *rest):
+        def noted(batches):
+            for batch in run(recorded(batches)):
+                yield batch
+
+        def recorded(batches):
+            for batch in batches:
+                with open(f"{tmp_path}/rows", "a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return plain(self, noted, schema, *rest)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["water", "stone", "river", "light", "green"]) + str(rng.randrange(50)) for _ in range(12)), "en", "s0", 1) for k in range(2600)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == len(rows)
+    seen = [int(x) for x in open(f"{tmp_path}/rows")]
+    assert sum(seen) >= 4 * len(rows) and max(seen) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_confident_texts_equal_annotated_ones(spark, odd, monkeypatch):
+    rng = random.Random(9)
+    tongues = {"en": "the of and water stone".split(), "de": "der und wasser nicht stein".split()}
+    rows = [(k, " ".join(rng.choice(tongues[x]) for _ in range(20)), x, "s", 1) for k in range(120) for x in [rng.choice(["en", "de"])]]
+    rows += [(200 + k, " ".join(rng.choice(tongues["en"] + tongues["de"]) for _ in range(9)), "en", "s", 1) for k in range(40)] + [(300, "12 !!", "en", "s", 1), (301, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows + rows[:3], SCHEMA)
+    model = language.train(docs)
+    for bound in (500_000, 0):
+        monkeypatch.setattr(language, "BROADCAST_TEXTS", bound)
+        for table in (docs, odd):
+            for least in (0.5, 0.9):
+                want = language.annotate(table, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select("doc_id", "text")
+                got = language.confident(table, model, least)
+                assert got.columns == table.columns and collections.Counter(got.select("doc_id", "text").collect()) == collections.Counter(want.collect())
+    assert 0 < language.confident(docs, model, 0.9).count() < language.confident(docs, model, 0.5).count() < docs.count()
+    assert language.confident(docs, None, 0.5).isEmpty()
