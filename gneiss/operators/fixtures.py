@@ -6,7 +6,6 @@ number of parents are made where they are used. A suite scores parents against t
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.robust import tie_tolerance
-from gneiss.operators import geometry, inference, ladder, nulls, spectral, typed
+from gneiss.operators import geometry, inference, ladder, nulls, rasters, spectral, typed
 from gneiss.plans.storage import arrow_rows, stored
 
 SIZE, NODES, POINTS, SAMPLES, SERIES = 24, 12, 96, 256, 8
@@ -161,27 +160,62 @@ def correlation_family(spark: SparkSession, parents: int, *, factor: bool) -> Da
     return sums.select("parent", F.explode(every).alias("e")).select("parent", "e.*")
 
 
+def _whole_fields(spark: SparkSession, names: list[str], parents: int) -> DataFrame:
+    """(family, parent, cells): all cells of each parent's field as (cell, seen, c0, c1, c2), in no order."""
+    parts = []
+    for name in names:
+        components = [*FAMILIES[name].fields, None, None][:3]
+        cell = ((F.col("k") * SIZE + F.col("i")) * SIZE + F.col("j")).cast("int").alias("cell")
+        values = [(F.col(c) if c else F.lit(None).cast("double")).alias(f"c{n}") for n, c in enumerate(components)]
+        parts.append(field_family(spark, name, parents).select(F.lit(name).alias("family"), "parent", F.struct(cell, "seen", *values).alias("cell")))
+    return reduce(DataFrame.union, parts).groupBy("family", "parent").agg(F.collect_list("cell").alias("cells"))
+
+
+def _suite_scores(spark: SparkSession, names: list[str], parents: int, children: int) -> DataFrame:
+    """(family, parent, child, score): the channel of parents (child 0), their turned copies (child -1) and null children.
+
+    A field has at most 8 x SIZE x SIZE cells, so it is gathered once and its children are made and scored in arrays; of
+    families of any number there is one exchange of cells and one of fields.
+    """
+    whole = _whole_fields(spark, names, parents)
+    starts = F.explode(F.sequence(F.lit(1), F.lit(children), F.lit(COPIES)))
+    columns = ("cell", "seen", "c0", "c1", "c2")
+    tasks = whole.select("family", "parent", *(F.col(f"cells.{c}").alias(c) for c in columns), starts.alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, parent, start = (batch.column(c)[row].as_py() for c in ("family", "parent", "start"))
+                cells, seen, *values = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in columns)
+                family, order = FAMILIES[name], np.argsort(cells)
+                shape = (family.depth, SIZE, SIZE)
+                field = rasters.Field(family.kind, family.channel, tuple(family.fields), np.stack([v[order].reshape(shape) for v in values[: len(family.fields)]]), seen[order].astype(bool).reshape(shape), parent, name)
+                found = [(child, field.score(field.child(child))) for child in range(start, min(start + COPIES, children + 1))]
+                if start == 1:
+                    found.append((0, field.score(field.values)))
+                    if family.kind in rasters.TURNS:
+                        turned = rasters.Field(family.kind, family.channel, field.components, rasters.TURNS[family.kind](field.values), rasters.turned(field.seen), parent, name)
+                        found.append((-1, turned.score(turned.values)))
+                kids, scores = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kids), pa.string()), pa.array([parent] * len(kids), pa.int64()), pa.array(kids, pa.int64()), pa.array(scores, pa.float64())], names=["family", "parent", "child", "score"])
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with arrow_rows(spark, 16):  # whole fields
+        return stored(tasks.repartition(4 * parts, "family", "parent", "start").mapInArrow(run, "family string, parent long, child long, score double"), "scores")
+
+
 def suite(spark: SparkSession, names: list[str], parents: int = 20, children: int = 31) -> DataFrame:
     """(family, truth, parent, observed, null_median, upper_p, detected, status) of families of fields: the channel's absolute
     score, against its null children of the same parent with ties counted, and whether a turn leaves it as it is."""
-    out = []
-    for name in names:
-        family = FAMILIES[name]
-        rows = field_family(spark, name, parents)
-        rows = rows if family.depth > 1 else rows.drop("k")
-        kids = typed.typed_null(family.kind, rows, ["parent"], children, seed=name).withColumn("seen", F.lit(True))
-        # One pass scores the null children, the parents (child 0) and their turned copies (child -1).
-        every, turns = kids.unionByName(rows.withColumn("child", F.lit(0).cast("long"))), family.kind in typed.TURNS
-        if turns:
-            every = every.unionByName(typed.TURNS[family.kind](rows, ["parent"]).select(*rows.columns).withColumn("child", F.lit(-1).cast("long")))
-        own = lambda child: F.max(F.when(F.col("child") == child, F.col("score"))).over(Window.partitionBy("parent"))
-        scores = typed.channel_score(family.kind, every, ["parent", "child"], family.channel).withColumn("observed", own(0)).withColumn("turned", own(-1))
-        tested = scores.where("child > 0").groupBy("parent").agg(F.max("observed").alias("observed"), F.max("turned").alias("turned"), F.median("score").alias("null_median"),
-                                                                 ((F.count_if(F.col("score") >= F.col("observed") - tie_tolerance(F.col("observed"))) + 1) / (children + 1)).alias("upper_p"))
-        same = F.abs(F.col("turned") - F.col("observed")) <= typed.TOLERANCE * F.greatest(F.lit(1.0), F.col("observed"))
-        status = F.when(same, "PASS").otherwise("DISAGREEMENT") if turns else F.lit("NOT_APPLICABLE")
-        out.append(tested.select(F.lit(name).alias("family"), F.lit(family.truth).alias("truth"), "parent", "observed", "null_median", "upper_p", (F.col("upper_p") <= 0.05).alias("detected"), status.alias("status")))
-    return reduce(DataFrame.union, out)
+    own = lambda child: F.max(F.when(F.col("child") == child, F.col("score"))).over(Window.partitionBy("family", "parent"))
+    scores = _suite_scores(spark, names, parents, children).withColumn("observed", own(0)).withColumn("turned", own(-1))
+    tested = scores.where("child > 0").groupBy("family", "parent").agg(F.max("observed").alias("observed"), F.max("turned").alias("turned"), F.median("score").alias("null_median"),
+                                                                       ((F.count_if(F.col("score") >= F.col("observed") - tie_tolerance(F.col("observed"))) + 1) / (children + 1)).alias("upper_p"))
+    same = F.abs(F.col("turned") - F.col("observed")) <= typed.TOLERANCE * F.greatest(F.lit(1.0), F.col("observed"))
+    turns = F.col("family").isin([name for name in names if FAMILIES[name].kind in rasters.TURNS])
+    status = F.when(~turns, "NOT_APPLICABLE").when(same, "PASS").otherwise("DISAGREEMENT")
+    truth = F.create_map(*(F.lit(x) for name in names for x in (name, FAMILIES[name].truth)))[F.col("family")]
+    return tested.select("family", truth.alias("truth"), "parent", "observed", "null_median", "upper_p", (F.col("upper_p") <= 0.05).alias("detected"), status.alias("status"))
 
 
 def suite_summary(rows: DataFrame) -> DataFrame:
@@ -222,25 +256,19 @@ def calibrated(spark: SparkSession, *, positive: bool, parents: int = 12, days:
 
 #: Longest ladder that one task permutes as arrays (some 100 bytes a position); longer ones are ranked by windows.
 ARRAY_LADDER = 1_000_000
-#: Copies of a ladder that one task makes.
+#: Copies of a ladder, or null children of a field, that one task makes.
 COPIES = 8
 
 
-def _digests(prefix: str, ends: list[bytes]) -> np.ndarray:
-    start = prefix.encode()
-    return np.frombuffer(b"".join([hashlib.md5(start + e).digest() for e in ends]), np.uint8).reshape(-1, 16)
-
-
 def _permuted(seed: str, child: int, places: np.ndarray, ends: list[bytes], omega: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """Places, in an array, of ``nulls.permuted_within``."""
-    high, low = _digests(f"{seed}|{child}", ends).view(">u8").T
-    return omega[np.lexsort((places, low, high))]
+    return omega[nulls.md5_order(f"{seed}|{child}", ends, places)]
 
 
 def _noisy(seed: str, child: int, places: np.ndarray, ends: list[bytes], omega: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     """Omega and sigma times ``ladder.hash_normal`` of (seed, child, ladder, pos)."""
     def uniform(tag: str) -> np.ndarray:
-        bits = _digests(f"{tag}|{seed}|{child}", ends)[:, 1:6].astype(np.uint64)  # 40 of the first 48 bits
+        bits = nulls.digests(f"{tag}|{seed}|{child}", ends)[:, 1:6].astype(np.uint64)  # 40 of the first 48 bits
         return (bits @ (np.uint64(256) ** np.arange(4, -1, -1, dtype=np.uint64)) + 0.5) / float(2**40)
 
     return omega + sigma * np.sqrt(-2 * np.log(uniform("u"))) * np.cos(ladder.TWO_PI * uniform("v"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import fixtures, geometry, ladder, nulls, spectral, typed
+from gneiss.operators import fixtures, geometry, ladder, nulls, rasters, spectral, typed
 
 
 def test_suites_find_what_is_there(spark):
@@ -117,3 +117,44 @@ def test_single_channels_equal_all_scores(spark):
         one = {r.parent: r.score for r in typed.channel_score(family.kind, rows, ["parent"], family.channel).collect()}
         every = {r.parent: r.score for r in typed.projected(typed.typed_scores(family.kind, rows, ["parent"]), ["parent"], family.channel).collect()}
         assert len(one) == 2 and one == pytest.approx(every, abs=1e-12), name
+
+
+def test_suites_exchange_cells_once_for_all_families(spark, monkeypatch):
+    plans, stored = [], fixtures.stored
+    monkeypatch.setattr(fixtures, "stored", lambda df, name: (plans.append(df), stored(df, name))[1])
+    rows = fixtures.suite(spark, list(fixtures.FAMILIES), 1, 1)
+    text = "".join(df._jdf.queryExecution().executedPlan().toString() for df in [*plans, rows])
+    assert text.count("Exchange ") <= 4 and "Join" not in text  # all families at once filled a driver of 1 GB
+
+
+def test_fields_in_arrays_equal_rows(spark):
+    seen = set()
+    for name, family in fixtures.FAMILIES.items():
+        kind = (family.kind, family.channel, family.seen)
+        if kind in seen:
+            continue
+        seen.add(kind)
+        rows = fixtures.field_family(spark, name, 2)
+        rows = rows if family.depth > 1 else rows.drop("k")
+        parts = [typed.typed_null(family.kind, rows, ["parent"], 9, seed=name).withColumn("seen", F.lit(True)), rows.withColumn("child", F.lit(0).cast("long"))]
+        if family.kind in typed.TURNS:
+            parts.append(typed.TURNS[family.kind](rows, ["parent"]).select(*rows.columns).withColumn("child", F.lit(-1).cast("long")))
+        every = parts[0].unionByName(parts[1]) if len(parts) < 3 else parts[0].unionByName(parts[1]).unionByName(parts[2])
+        want = {(r.parent, r.child): r.score for r in typed.channel_score(family.kind, every, ["parent", "child"], family.channel).collect()}
+        got = {(r.parent, r.child): r.score for r in fixtures._suite_scores(spark, [name], 2, 9).collect()}  # more children than a task makes
+        assert len(got) == 2 * (10 + (family.kind in typed.TURNS)) and got == pytest.approx(want, abs=1e-12), name
+        assert len({round(x, 9) for x in got.values()}) > 10, name
+    assert {k[:2] for k in seen} == set(rasters.CHANNELS) == set(typed.CHANNELS)
+
+
+def test_masked_fields_that_arrays_do_not_cover_are_an_error():
+    seen = np.ones((1, 4, 4), bool)
+    seen[0, 0, 0] = False
+    with pytest.raises(ValueError, match="unobserved"):
+        rasters.Field("vector_field_2d", "curl_energy", ("u", "v"), np.zeros((2, 1, 4, 4)), seen, 0, "s")
+    with pytest.raises(ValueError, match="masked"):
+        rasters.Field("scalar_field_2d", "spectral_concentration", ("value",), np.zeros((1, 1, 4, 4)), seen, 0, "s").score(np.zeros((1, 1, 4, 4)))
+    with pytest.raises(ValueError, match="registered"):
+        rasters.Field("scalar_field_2d", "no_such", ("value",), np.zeros((1, 1, 4, 4)), seen, 0, "s")
+    half = rasters.Field("scalar_field_2d", "neighbour_coherence", ("value",), np.zeros((1, 1, 4, 4)), np.zeros((1, 4, 4), bool), 0, "s")
+    assert half.score(half.child(1)) == 0.0
